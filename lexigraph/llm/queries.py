@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, media, mixing, omh, sharding, simhash, urls
+from . import bpe, chat, katz, langid, media, mixing, omh, sharding, simhash, urls
 from .common import table
 
 #: Rules of the URL filter: host, path, verdict.
@@ -53,9 +53,18 @@ def op8_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs)).select("doc_id", "held_out", "lang_pred", "score", "share")
+
+
+def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_media_columns, op2_simhash, op3_order_minhash, op4_url_filters, op5_byte_bpe, op6_chat_formatting, op7_rendezvous_sharding, op8_pivotal_mixing)
+    for f in (op1_media_columns, op2_simhash, op3_order_minhash, op4_url_filters, op5_byte_bpe, op6_chat_formatting, op7_rendezvous_sharding, op8_pivotal_mixing, op9_language_mixture, op10_katz_scores)
 }
 
 _PARTS = """
