@@ -34,4 +34,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/lexigraph-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes what materialise wrote, once nothing reads it any more."""
+    forget(df.sparkSession, df._written_at)
