@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialise
+
+__all__ = ["LOWER", "UPPER", "WORD", "lower_ascii", "materialise", "sliced", "table"]
+
+#: Rows whose texts are Python objects at one time.
+SLICE = 256
+
 #: Characters that separate words in every contract of this subpackage.
 WORD = r"[^\x20\x09-\x0D]++"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -23,29 +29,8 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is
-    unset (tests on one machine) a folder made here."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or getattr(spark, "_own_shared_dir", "")
-    if not found:
-        found = spark._own_shared_dir = "file://" + tempfile.mkdtemp(prefix="lexigraph-")
-        atexit.register(_forget, spark, found)
-    return found.rstrip("/")
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    """Deletes a folder when the program ends, if Spark still runs then."""
-    jvm = spark.sparkContext._jvm
-    if jvm is not None and spark.sparkContext._jsc is not None:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again. It cuts
-    the lineage, computes df once, and outlives a lost executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexigraph-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches, so that Python holds few texts at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)

@@ -15,9 +15,11 @@ Counting and scoring cover the whole corpus in tables dealt to ``parts`` by the
 word, so that a word's count and probability are at hand where its bigrams are.
 Words so frequent that they would fill a quarter of a part are dealt by the
 whole bigram; there are at most 4 x parts of them, and only their counts are
-sent to all tasks. Tasks send packed arrays: each distinct bigram of a batch of
-documents once, with the documents it occurs in. A document's score is the sum
-of its backoff terms, word by word, plus what kept bigrams differ from those.
+sent to all tasks. Which words those are is read from a sample of documents: it
+decides where bigrams are counted, not what is counted. Tasks send packed
+arrays: each distinct bigram of a batch of documents once, with the documents it
+occurs in. A document's score is the sum of its backoff terms, word by word, plus
+what kept bigrams differ from those.
 
 Defined results: a null text is an empty one, scored by its end token; without
 training rows every token is unknown and scores 0; a null id trains; repeated
@@ -33,14 +35,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from ..storage import drop
+from .common import materialise, sliced
 
 MIN_COUNT, GT_MAX = 2, 5
-PART_TOKENS = 4_000_000
+#: Bytes of training text for each part; bytes of the sample that names frequent words.
+PART_BYTES, SAMPLE_BYTES = 25_000_000, 8_000_000
 BATCH_TOKENS, BATCH_DOCS = 3_000_000, 60_000
 #: Hashes that stand for the end of a text and for what precedes its first word.
 END, START = 0, 1
@@ -78,7 +83,7 @@ def _tokens(text: str | None, hashes: _Hashes) -> np.ndarray:
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray], list[bool]]]:
     """Documents' ids, token hashes and training marks, in bounded batches."""
     hashes, ids, tokens, train, n = _Hashes(), [], [], [], 0
-    for b in batches:
+    for b in sliced(batches):
         for doc, text, t in zip(b["id"].to_pylist(), b["text"].to_pylist(), b["train"].to_pylist(), strict=True):
             x = _tokens(text, hashes)
             ids.append(doc)
@@ -123,17 +128,26 @@ def _pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return np.array([len(a) for a in arrays], "<i8").tobytes() + b"".join(a.tobytes() for a in arrays)
+    """Arrays as bytes: those of one significance together, compressed."""
+    turned = [a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in map(np.ascontiguousarray, arrays)]
+    return zstandard.ZstdCompressor(level=1).compress(np.array([len(a) for a in arrays], "<i8").tobytes() + b"".join(turned))
 
 
 def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(data)
     sizes, at, out = np.frombuffer(data, "<i8", len(kinds)), 8 * len(kinds), []
     for n, kind in zip(sizes.tolist(), kinds, strict=True):
-        out.append(np.frombuffer(data, kind, n, at))
-        at += n * np.dtype(kind).itemsize
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T).view(kind).reshape(n))
+        at += n * width
     return out
 
 
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Differences of neighbours; cumsum undoes it."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
 def _narrow(x: np.ndarray) -> np.ndarray:
     return x.astype("<u4")
 
@@ -149,17 +163,20 @@ def _pairs(tokens: list[np.ndarray], hot: np.ndarray, parts: int):
     part begins, the first and second words, counts, and document numbers."""
     lengths = np.array([len(t) for t in tokens])
     second = np.concatenate(tokens)
-    first = np.empty_like(second)
-    first[1:] = second[:-1]
-    first[np.cumsum(lengths) - lengths] = START
     doc = np.repeat(np.arange(len(tokens), dtype=np.uint16), lengths)
-    words, at = np.unique(np.append(second, U(START)), return_inverse=True)
-    begin_id, at = at[-1], at[:-1]
+    order = np.argsort(second)
+    run = second[order]
+    new = np.append(True, run[1:] != run[:-1])
+    words = np.append(run[new], U(START))
+    at = np.empty(len(second), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - 1
+    del run, new
     before = np.empty_like(at)
     before[1:] = at[:-1]
-    before[np.cumsum(lengths) - lengths] = begin_id
-    key = at * len(words) + before
-    order = np.argsort(key, kind="stable")
+    before[np.cumsum(lengths) - lengths] = len(words) - 1
+    key = at.astype(np.int64) * len(words) + before
+    del at, before
+    order = np.argsort(key)
     key = key[order]
     begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     count = np.diff(np.append(begin, len(key)))
@@ -183,7 +200,12 @@ def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _packed_words(w1: np.ndarray, w2: np.ndarray) -> list[np.ndarray]:
     names, at = np.unique(w1, return_inverse=True)
     second, runs = _runs(w2)
-    return [names.astype("<u8"), _narrow(at), second.astype("<u8"), _narrow(runs)]
+    return [_steps(names.astype("<u8")), _narrow(at), _steps(second.astype("<u8")), _narrow(runs)]
+
+
+def _unpacked_words(names: np.ndarray, at: np.ndarray, second: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words, and the second words of runs."""
+    return np.cumsum(names, dtype=np.uint64)[at], np.cumsum(second, dtype=np.uint64)
 
 
 WORDS = ("<u8", "<u4", "<u8", "<u4")
@@ -202,35 +224,44 @@ def _pack_counts(hot: np.ndarray, parts: int):
     return run
 
 
-def _merge(hot: dict[int, int], min_count: int, most: int):
-    """Kept bigrams of each part with the second word's count; and, with null
-    words, how many bigrams have count r (in w2) for r to most + 1."""
-    hot_words = np.array(sorted(hot), np.uint64)
-    hot_counts = np.array([hot[h] for h in sorted(hot)], np.int64)
+#: Kinds of rows that counting makes: kept bigrams (w1, w2, c, count of w2 in
+#: this part); numbers of bigrams (w2: their count, c: how many); words (w2, c).
+PAIR, NUMBER, WORD_COUNT = 0, 1, 2
+
 
+def _merge(min_count: int, most: int):
     def merged(part: int, found: list[bytes]) -> Iterator[pa.RecordBatch]:
         w1, w2, c = [], [], []
-        for data in found:
-            names, at, second, runs, count = _unpack(data, *WORDS, "<u4")
-            w1.append(names[at])
+        while found:
+            names, at, second, runs, count = _unpack(found.pop(), *WORDS, "<u4")
+            first, second = _unpacked_words(names, at, second, runs)
+            w1.append(first)
             w2.append(np.repeat(second, runs))
             c.append(count)
-        w1, w2, c = np.concatenate(w1), np.concatenate(w2), np.concatenate(c).astype(np.int64)
-        order = np.lexsort((w1, w2))
-        w1, w2, c = w1[order], w2[order], c[order]
-        begin = np.flatnonzero(np.append(True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])))
-        w1, w2, c = w1[begin], w2[begin], np.add.reduceat(c, begin)
-        new = np.append(True, w2[1:] != w2[:-1])
-        total = np.add.reduceat(c, np.flatnonzero(new))[np.cumsum(new) - 1]
-        if len(hot_words):
-            at = np.minimum(np.searchsorted(hot_words, w2), len(hot_words) - 1)
-            total = np.where(hot_words[at] == w2, hot_counts[at], total)
+        w1, w2, c = np.concatenate(w1), np.concatenate(w2), np.concatenate(c)
+        key = _pair_key(w1, w2)
+        order = np.argsort(key)
+        if _mixed(key[order], w1[order], w2[order]):
+            order = np.lexsort((w1, w2, key))
+        key, w1, w2, c = key[order], w1[order], w2[order], c[order]
+        del order
+        begin = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])))
+        w1, w2, c = w1[begin], w2[begin], np.add.reduceat(c.astype(np.int64), begin)
         n = np.bincount(np.minimum(c, most + 2), minlength=most + 3)[1 : most + 2]
-        yield _columns(np.full(most + 1, part), None, np.arange(1, most + 2), n, np.zeros(most + 1, np.int64))
+        yield _columns(part, NUMBER, None, np.arange(1, most + 2), n, None)
+        order = np.argsort(w2)
+        run = w2[order]
+        start = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+        words, total = run[start], np.add.reduceat(c[order], start)
+        del order, run
+        for i in range(0, len(words), 100_000):
+            yield _columns(part, WORD_COUNT, None, words[i : i + 100_000].view(np.int64), total[i : i + 100_000], None)
         keep = np.flatnonzero(c >= min_count)
-        for i in range(0, len(keep), 100_000):
-            k = keep[i : i + 100_000]
-            yield _columns(np.full(len(k), part), w1[k].view(np.int64), w2[k].view(np.int64), c[k], total[k])
+        w1, w2, c = w1[keep], w2[keep], c[keep]
+        of = total[np.searchsorted(words, w2)]
+        for i in range(0, len(c), 100_000):
+            k = slice(i, i + 100_000)
+            yield _columns(part, PAIR, w1[k].view(np.int64), w2[k].view(np.int64), c[k], of[k])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, found = None, []
@@ -247,12 +278,17 @@ def _merge(hot: dict[int, int], min_count: int, most: int):
     return run
 
 
-KEPT = ["part", "w1", "w2", "c", "c2"]
+def _mixed(key: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> bool:
+    """Whether different bigrams share a key somewhere."""
+    return bool(((key[1:] == key[:-1]) & ((w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]))).any())
 
 
-def _columns(part, w1, w2, c, c2) -> pa.RecordBatch:
-    w1 = pa.nulls(len(part), pa.int64()) if w1 is None else pa.array(w1, pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), w1, *[pa.array(x, pa.int64()) for x in (w2, c, c2)]], KEPT)
+KEPT = ["part", "kind", "w1", "w2", "c", "c2"]
+
+
+def _columns(part: int, kind: int, w1, w2, c, c2) -> pa.RecordBatch:
+    column = lambda x: pa.nulls(len(w2), pa.int64()) if x is None else pa.array(x, pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(w2), part, np.int64)), pa.array(np.full(len(w2), kind, np.int32)), *map(column, (w1, w2, c, c2))], KEPT)
 
 
 def _discounted(count: Column, discounts: dict[int, float]) -> Column:
@@ -270,43 +306,66 @@ class KatzModel:
     gain is what a kept bigram's log10 probability differs from its backoff's.
     """
 
-    def __init__(self, rows: DataFrame, part_tokens: int = PART_TOKENS, min_count: int = MIN_COUNT, most: int = GT_MAX):
+    def __init__(self, rows: DataFrame, part_bytes: int = PART_BYTES, min_count: int = MIN_COUNT, most: int = GT_MAX):
         spark = rows.sparkSession
         train = rows.where("train")
-        unigrams = materialise(train.mapInArrow(_unigrams, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "lm-words")
-        first = unigrams.agg(F.sum("c"), F.count(F.lit(1)), *[F.count_if(F.col("c") == r) for r in range(1, most + 2)]).first()
-        self.n, self.v = int(first[0] or 0), int(first[1])
-        self.parts = parts = max(1, -(-self.n // part_tokens))
-        d1 = self.word_discounts = good_turing({r: first[r + 1] for r in range(1, most + 2)}, most)
-        self.unknown = sum(first[r + 1] * r * (1 - x) for r, x in d1.items()) / self.n if self.n else 1.0
-        if self.n and not self.unknown:  # no word is that rare: half a token is unknown
-            self.unknown = 0.5 / (self.n + 0.5)
-        self.known_scale = (1 - self.unknown) / (1 - (sum(first[r + 1] * r * (1 - x) for r, x in d1.items()) / self.n)) if self.n else 1.0
-        hot = {int(r["h"]) % (1 << 64): int(r["c"]) for r in unigrams.where(F.col("c") * 4 * parts >= self.n).collect()} if parts > 1 else {}
-        self.hot = np.array(sorted(hot), np.uint64)
+        size = int(train.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0)
+        self.parts = parts = max(1, -(-size // part_bytes))
+        self.hot = self._frequent(train, size)
+        hot = [_signed(int(h)) for h in self.hot]
 
         counts = train.mapInArrow(_pack_counts(self.hot, parts), "part long, data binary").repartition(parts, "part").sortWithinPartitions("part")
-        merged = materialise(counts.mapInArrow(_merge(hot, min_count, most), "part long, w1 long, w2 long, c long, c2 long"), "lm-bigrams")
+        merged = materialise(counts.mapInArrow(_merge(min_count, most), "part long, kind int, w1 long, w2 long, c long, c2 long"), "lm-counts")
+        del counts
         _release(spark)
-        n2 = {r["w2"]: r["n"] for r in merged.where("w1 is null").groupBy("w2").agg(F.sum("c").alias("n")).collect()}
-        self.pair_discounts = d2 = good_turing(n2, most, min_count)
-        kept = merged.where("w1 is not null")
+        # A word is counted in one part, but for the frequent ones.
+        counted = merged.where(F.col("kind") == WORD_COUNT).select(F.col("w2").alias("h"), "c")
+        is_hot = F.col("h").isin(hot)
+        words = counted.where(~is_hot).unionByName(counted.where(is_hot).groupBy("h").agg(F.sum("c").alias("c"))) if hot else counted
+        first = words.agg(F.sum("c"), F.count(F.lit(1)), *[F.count_if(F.col("c") == r) for r in range(1, most + 2)]).first()
+        self.n, self.v = int(first[0] or 0), int(first[1])
+        d1 = self.word_discounts = good_turing({r: first[r + 1] for r in range(1, most + 2)}, most)
+        freed = sum(first[r + 1] * r * (1 - x) for r, x in d1.items()) / self.n if self.n else 1.0
+        # Where no word is that rare, half a token is unknown.
+        self.unknown = freed or 0.5 / (self.n + 0.5)
+        self.known_scale = (1 - self.unknown) / (1 - freed) if self.n else 1.0
+        n2 = {r["w2"]: r["n"] for r in merged.where(F.col("kind") == NUMBER).groupBy("w2").agg(F.sum("c").alias("n")).collect()}
+        d2 = self.pair_discounts = good_turing(n2, most, min_count)
+        totals = {r["h"]: r["c"] for r in words.where(is_hot).collect()} if hot else {}
+        kept = merged.where(F.col("kind") == PAIR)
+        if totals:
+            kept = kept.withColumn("c2", F.coalesce(F.create_map(*[F.lit(x) for kv in totals.items() for x in kv])[F.col("w2")], "c2"))
 
         p1 = _discounted(F.col("c2"), d1) * (self.known_scale / max(self.n, 1))
         contexts = kept.groupBy("w1").agg(F.sum(_discounted(F.col("c"), d2)).alias("mass"), F.sum(p1).alias("covered"))
-        ends = unigrams.where(F.col("h") == END).select(F.lit(START).cast("long").alias("h"), "c")
-        t = unigrams.unionByName(ends).join(contexts, F.col("h") == F.col("w1"), "left").select("h", "c", F.coalesce("mass", F.lit(0.0)).alias("mass"), F.coalesce("covered", F.lit(0.0)).alias("covered"))
+        ends = words.where(F.col("h") == END).select(F.lit(START).cast("long").alias("h"), "c")
+        t = words.unionByName(ends).join(contexts, F.col("h") == F.col("w1"), "left").select("h", "c", F.coalesce("mass", F.lit(0.0)).alias("mass"), F.coalesce("covered", F.lit(0.0)).alias("covered"))
         full = F.col("mass") > F.col("c") - 1e-6
         over = F.when(full, F.col("c") + 0.5).otherwise(F.col("c"))
         t = t.withColumn("lead", -F.log10(over)).withColumn("back", F.log10((1 - F.col("mass") / over) / (1 - F.col("covered"))))
         part = F.shiftrightunsigned("h", SHIFT) % parts
         self.words = materialise(t.select(part.alias("part"), "h", "c", "back", "lead"), "lm-contexts")
         gain = F.log10(_discounted(F.col("c"), d2)) + F.col("lead") - F.col("back") - F.log10(p1)
-        lead = self.words.where("back != 0 or lead != 0").select("h", "lead", "back")
+        # A context of one token has no kept bigram.
+        lead = self.words.where("c > 1").select("h", "lead", "back")
         self.bigrams = materialise(kept.join(lead, kept["w1"] == lead["h"]).select("part", "w1", "w2", gain.alias("gain")), "lm-gains")
-        special = {int(r["h"]) % (1 << 64): (int(r["c"]), float(r["back"])) for r in self.words.where(F.col("h").isin([START, *[_signed(h) for h in hot]])).select("h", "c", "back").collect()}
+        special = {int(r["h"]): (int(r["c"]), float(r["back"])) for r in self.words.where(F.col("h").isin([START, *hot])).select("h", "c", "back").collect()}
         self.start_back = special.get(START, (0, 0.0))[1]
-        self.hot_table = np.array(sorted(hot), np.uint64), np.array([special[h][0] for h in sorted(hot)], np.int64), np.array([special[h][1] for h in sorted(hot)], np.float64)
+        mine = [h for h in self.hot if _signed(int(h)) in special]
+        self.hot_table = np.array(mine, np.uint64), np.array([special[_signed(int(h))][0] for h in mine], np.int64), np.array([special[_signed(int(h))][1] for h in mine], np.float64)
+        drop(merged)
+
+    def _frequent(self, train: DataFrame, size: int) -> np.ndarray:
+        """Words that would fill a quarter of a part, by a sample of documents."""
+        if self.parts == 1:
+            return np.empty(0, np.uint64)
+        of = 1 << 20
+        share = min(of, max(1, of * SAMPLE_BYTES // size))
+        sample = train.where(F.pmod(F.xxhash64("id", F.lit("lm")), F.lit(of)) < share)
+        counted = sample.mapInArrow(_unigrams, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+        total = sample.mapInArrow(_unigrams, "h long, c long").agg(F.sum("c")).first()[0] or 0
+        found = counted.where(F.col("c") * 4 * self.parts >= max(total, 1)).collect()
+        return np.array(sorted(int(r["h"]) % (1 << 64) for r in found), np.uint64)
 
     def numbers(self) -> dict:
         return {"n": self.n, "v": self.v, "unknown": self.unknown, "scale": self.known_scale, "d1": self.word_discounts, "start_back": self.start_back}
@@ -381,11 +440,12 @@ def _score(num: dict, hot_table):
                 out.append((batch, kind, data))
                 continue
             names, at, word, runs, count, docs = _unpack(data, *WORDS, "<u4", "<u2")
+            a, word = _unpacked_words(names, at, word, runs)
             place, there = _find(h, word)
             n = np.where(there, c[place] if len(c) else 0, 0)
             base = np.log10((n + 0.1) / (num["n"] + 0.1 * (num["v"] + 1)))
             score = log_word(n) + np.where(there & (word != END), back[place] if len(back) else 0.0, 0.0)
-            a, b = names[at], np.repeat(word, runs)
+            b = np.repeat(word, runs)
             score = np.repeat(score, runs)
             if len(key):
                 where = np.searchsorted(key, _pair_key(a, b))
@@ -430,11 +490,12 @@ def _assemble(num: dict):
     return run
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_tokens: int = PART_TOKENS) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """Learns from the training rows of docs and scores all. Returns id_col,
     held_out, n_tokens, n_known, train_tokens, base_score and score."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), training_row(F.col(id_col)).alias("train"))
-    model = KatzModel(rows, part_tokens)
+    model = KatzModel(rows, part_bytes)
+    _release(docs.sparkSession)
     num, parts = model.numbers(), model.parts
     blobs = rows.mapInArrow(_pack_docs(model.hot, parts), "part long, batch long, kind int, data binary")
     tables = model.words.select("part", F.lit(None).cast("long").alias("w1"), F.col("h").alias("w2"), "c", F.col("back").alias("value")).unionByName(

@@ -81,11 +81,11 @@ def brute(docs):
     return out
 
 
-@pytest.mark.parametrize("part_tokens", [4_000_000, 3_000])
-def test_op10(spark, sf_dir, part_tokens):
+@pytest.mark.parametrize("part_bytes", [25_000_000, 20_000])
+def test_op10(spark, sf_dir, part_bytes):
     docs = table(spark, sf_dir, "documents")
     want = brute([(r.doc_id, r.text) for r in docs.collect()])
-    got = katz.score_documents(docs, part_tokens=part_tokens).collect()
+    got = katz.score_documents(docs, part_bytes=part_bytes).collect()
     assert sorted(r.doc_id for r in got) == sorted(want)
     for r in got:
         w = want[r.doc_id]
