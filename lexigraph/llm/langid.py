@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 SAMPLE, MAX_LANGUAGES, BITS = 2_000, 200, 15
 SMOOTH = 0.5
 #: Log-likelihood that another language must bring, in units of log(trigrams).
@@ -104,7 +106,7 @@ def training_row(doc_id: Column) -> Column:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
-    for b in batches:
+    for b in sliced(batches):
         for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True):
             seen = np.bincount(grams(text), minlength=1 << BITS)
             totals[lang] = totals[lang] + seen if lang in totals else seen
@@ -131,7 +133,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 def _predict(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, logp = model.tables()
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for text in b["text"].to_pylist():
                 if not model.languages or not has_letter(text):
@@ -164,7 +166,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, logp = model.tables()
-        for b in batches:
+        for b in sliced(batches):
             keep = [bool(model.languages) and has_letter(t) and infer(t, p, logp)[1].max() >= least_share for t in b.column(names.index(text_col)).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 UNIT = 64  # bytes of a sample's frame, and what payloads are padded to
 TIMESCALE = 8000  # 8-bit samples a second
 FRAMES_PER_CHUNK = 1024
@@ -194,7 +196,7 @@ def sample_bytes(media: bytes, track: Track) -> bytes:
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches):
         made = [(write_container(p), n) for p, n in map(payload_of, b["text"].to_pylist())]
         yield pa.RecordBatch.from_arrays([b["id"], pa.array([n for _, n in made], pa.int64()), pa.array([m for m, _ in made], pa.binary())], ["id", "n_bytes", "media"])
 
@@ -228,7 +230,7 @@ def feature_text(x: dict) -> str:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches):
         out = [describe(m.as_py())[0] for m in b["media"]]
         yield pa.RecordBatch.from_arrays([*b.columns, *pa.array(out, _TYPES).flatten()], [*b.schema.names, *[f.name for f in _TYPES]])
 
@@ -243,7 +245,7 @@ def media_features(df: DataFrame, media_col: str = "media") -> DataFrame:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in sliced(batches):
         rows = []
         for n, m in zip(b["n_bytes"].to_pylist(), b["media"], strict=True):
             media = m.as_py()

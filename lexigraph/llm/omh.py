@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sliced
+
 K, L, M = 16, 2, 32
 #: Hash values below this multiple of l / n are looked at before all are.
 SLACK = 12
@@ -187,7 +189,7 @@ def _edits(k: int, l: int, m: int):  # noqa: E741
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # (range, id, text) that waits for its successor
         waiting = None  # the finished part of the row before held
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for at, doc, text, guest in zip(*[b[c].to_pylist() for c in ("range", "doc", "text", "guest")], strict=True):
                 if held is not None and held[0] != at:
