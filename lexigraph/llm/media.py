@@ -206,7 +206,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_store, "id long, n_bytes long, media binary")
 
 
-FEATURES = "handler string, codec string, timescale long, duration long, n_samples long, keyframes array<struct<offset:long,length:long>>, error string"
+FEATURES = "handler:string,codec:string,timescale:long,duration:long,n_samples:long,keyframes:array<struct<offset:long,length:long>>,error:string"
 _TYPES = pa.struct(
     [("handler", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))), ("error", pa.string())]
 )
@@ -229,19 +229,18 @@ def feature_text(x: dict) -> str:
     return f"{x['handler']}/{x['codec'].strip()} scale={x['timescale']} duration={x['duration']} samples={x['n_samples']} keyframes={len(x['keyframes'])} ranges={hashlib.sha256(ranges.encode()).hexdigest()[:16]}"
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in sliced(batches):
-        out = [describe(m.as_py())[0] for m in b["media"]]
-        yield pa.RecordBatch.from_arrays([*b.columns, *pa.array(out, _TYPES).flatten()], [*b.schema.names, *[f.name for f in _TYPES]])
+def media_features(df: DataFrame, media_col: str = "media", out: str = "features") -> DataFrame:
+    """df with a struct of the first track's features; payloads stay undecoded.
+    A column of that name is replaced."""
+    kept = [n for n in df.columns if n != out]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            found = pa.array([describe(m.as_py())[0] for m in b[media_col]], _TYPES)
+            yield pa.RecordBatch.from_arrays([*[b[n] for n in kept], found], [*kept, out])
 
-def media_features(df: DataFrame, media_col: str = "media") -> DataFrame:
-    """Adds the first track's features to df; payloads stay undecoded."""
-    kept = [f"`{n}` {t}" for n, t in df.dtypes]
-    if media_col != "media":
-        df = df.withColumn("media", F.col(media_col))
-        kept.append("media binary")
-    return df.mapInArrow(_features, ", ".join([*kept, FEATURES]))
+    types = dict(df.dtypes)
+    return df.mapInArrow(run, ", ".join([*[f"`{n}` {types[n]}" for n in kept], f"`{out}` struct<{FEATURES}>"]))
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
