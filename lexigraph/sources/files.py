@@ -29,7 +29,7 @@ def find_markdown(spark: SparkSession, root: str, ignore: tuple[str, ...] = IGNO
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     tail = root.rstrip("/").split("://")[-1].rstrip("/")
     relative = F.element_at(F.split(F.col("path"), "\\Q" + tail + "/\\E", 2), -1)
-    out = files.select(relative.alias("path"), F.decode("content", F.lit("UTF-8")).alias("body"))
+    out = files.select(relative.alias("path"), F.decode("content", "UTF-8").alias("body"))
     skip = "|".join(re.escape(x) for x in ignore)
     return out.where(F.col("path").rlike(r"(?i)\.(md|markdown)$") & ~F.col("path").rlike(rf"(^|/)({skip})/"))
 
