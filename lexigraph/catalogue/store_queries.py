@@ -135,7 +135,7 @@ def rev3_revision_diffs(spark, sf_dir):
 
 @query(
     ctes(X.REVISIONS)
-    + """, marked AS (SELECT author, note_id, created_at, coalesce(created_at - lag(created_at) OVER w >= 600000, true) AS starts FROM revisions WINDOW w AS (PARTITION BY author ORDER BY created_at)),
+    + """, marked AS (SELECT author, note_id, created_at, coalesce(created_at - lag(created_at) OVER w > 600000, true) AS starts FROM revisions WINDOW w AS (PARTITION BY author ORDER BY created_at)),
 counted AS (SELECT *, sum(starts::INT) OVER (PARTITION BY author ORDER BY created_at ROWS UNBOUNDED PRECEDING) AS burst FROM marked)
 SELECT author, count(*) AS writes, count(DISTINCT note_id) AS notes FROM counted GROUP BY author, burst"""
 )

@@ -25,6 +25,14 @@ def merge_passes(lexical: DataFrame, vector: DataFrame, text_weight: float, vect
     return both.withColumn("combined", F.lit(float(text_weight)) * F.col("text") + F.lit(float(vector_weight)) * F.col("vector"))
 
 
+def reweighted(scored: DataFrame, text_weight: float, vector_weight: float) -> DataFrame:
+    """Merged passes under other weights; a half without weight finds nothing."""
+    text = F.col("text") if text_weight > 0 else F.lit(0.0)
+    vector = F.col("vector") if vector_weight > 0 else F.lit(0.0)
+    out = scored.select("qid", "chunk_id", text.alias("text"), vector.alias("vector")).where("text > 0 or vector > 0")
+    return out.withColumn("combined", F.lit(float(text_weight)) * F.col("text") + F.lit(float(vector_weight)) * F.col("vector"))
+
+
 def best_per_strategy(scored: DataFrame) -> DataFrame:
     """Adds scoring: whether a passage is the best of its note and strategy. Of
     equal ones the least id is."""
