@@ -8,9 +8,10 @@ import random
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULTS, apply_patch, read
-from ..operators import metrics
+from ..config import DEFAULTS, apply_patch, read, resolve_weights
+from ..operators import fusion, lexical, metrics
 from ..operators.ranking import every_nth, holdout_stride
+from ..storage import materialise
 from . import search as S
 
 #: The knobs that tuning turns, and between what.
@@ -58,24 +59,35 @@ def split(golden: DataFrame, fraction: float = 0.5) -> tuple[DataFrame, DataFram
     return marked.where("not held_out").drop("position", "held_out"), marked.where("held_out").drop("position", "held_out")
 
 
-def tune(index: S.SearchIndex, golden: DataFrame, config: dict | None = None, n: int = 60, objective: str = "ndcg", seed: int = 1, fraction: float = 0.5) -> dict:
+def tune(index: S.SearchIndex, golden: DataFrame, config: dict | None = None, n: int = 60, objective: str = "ndcg", seed: int = 1, fraction: float = 0.5, together: int = 8) -> dict:
     """The best of n random settings on the searched half, and what both it and
-    the settings at hand score on the held-out half. All trials are one union of
-    plans, collected as one row for each."""
+    the settings at hand score on the held-out half.
+
+    Both passes and the metadata matches are made once and written: no knob
+    changes what they find. Trials only rank them, `together` in one job, with
+    one row for each trial sent to the driver.
+    """
     config = config or DEFAULTS
     part, held = split(golden, fraction)
     patches = [{}, *trials(config, n, seed)]
+    queries = S.check_gate(golden.select("qid", "q"))
+    scored = materialise(S.retrieve(index, queries, config, (1.0, 1.0)), "tune-passes")
+    named = materialise(lexical.matches(queries, index.note_words), "tune-names")
 
     def means(on: DataFrame, which: list[int]) -> dict[int, float]:
-        out = None
+        out, ids = None, on.select("qid")
+        mine = scored.join(ids, "qid", "left_semi"), named.join(ids, "qid", "left_semi")
         for i in which:
-            rows = run(index, on, apply_patch(config, patches[i])).withColumn("trial", F.lit(i))
+            c = apply_patch(config, patches[i])
+            w = resolve_weights(c, "hybrid")
+            hits = S.rank(index, fusion.reweighted(mine[0], *w), mine[1], c, w)
+            rows = metrics.per_query(on, hits.select("qid", "id", "rank")).withColumn("trial", F.lit(i))
             out = rows if out is None else out.unionByName(rows)
         return {r["trial"]: r[objective] for r in metrics.means(out, "trial").collect()}
 
     scores: dict[int, float] = {}
-    for i in range(0, len(patches), 8):  # plans of eight trials at a time
-        scores |= means(part, list(range(i, min(len(patches), i + 8))))
+    for i in range(0, len(patches), together):
+        scores |= means(part, list(range(i, min(len(patches), i + together))))
     best = max(scores, key=lambda i: (scores[i], -i))
     changed = [{"path": p, "from": read(config, p), "to": v} for p, v in sorted(patches[best].items()) if read(config, p) != v]
     out = {"objective": objective, "trials": n, "baseline": scores[0], "best": scores[best], "changes": changed, "holdout": None, "improved": scores[best] > scores[0]}

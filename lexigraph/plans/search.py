@@ -74,14 +74,20 @@ def search(index: SearchIndex, queries: DataFrame, config: dict | None = None, m
     weights = resolve_weights(config, mode)
     queries = check_gate(queries)
     scored = retrieve(index, queries, config, weights, fuzzy)
-    meta = queries.sparkSession.createDataFrame([], "qid string, doc string, score double")
-    if weights[0] > 0:
-        meta = lexical.search(queries, index.note_words, metadata_boosts(config), config["search"]["limits"]["candidateK"], require_all=True, tolerance=config["search"]["tolerance"] if fuzzy else 0)
-    hits = fusion.fuse(scored, index.chunks, meta, index.notes, config, weights)
-    out = fusion.finish(fusion.apply_graph(hits, index.edges, index.notes, config), k or config["search"]["limits"]["resultK"])
+    named = lexical.matches(queries, index.note_words, config["search"]["tolerance"] if fuzzy else 0)
+    out = rank(index, scored, named, config, weights, k)
     return graph.attach_neighbours(out, index.edges, index.notes) if expand_links else out
 
 
+def rank(index: SearchIndex, scored: DataFrame, named: DataFrame, config: dict, weights: tuple[float, float], k: int | None = None) -> DataFrame:
+    """Hits of what the passes found (scored) and of matches in metadata
+    (named), under a configuration. A pure vector search uses no metadata."""
+    s = config["search"]
+    meta = lexical.rank(named, metadata_boosts(config), s["limits"]["candidateK"], require_all=True) if weights[0] > 0 else named.sparkSession.createDataFrame([], "qid string, doc string, score double")
+    hits = fusion.fuse(scored, index.chunks, meta, index.notes, config, weights)
+    return fusion.finish(fusion.apply_graph(hits, index.edges, index.notes, config), k or s["limits"]["resultK"])
+
+
 def check_model(space_model: str, requested: str) -> None:
     if space_model != requested:
         raise BadRequest(f'the index was made with "{space_model}", not "{requested}"', {"space": space_model, "requested": requested})
