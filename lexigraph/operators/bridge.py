@@ -143,3 +143,14 @@ def doctor(notes: DataFrame, links: DataFrame, aliases: DataFrame, chunks: DataF
         one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check"), "n")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def repair(notes: DataFrame, aliases: DataFrame, adopted: DataFrame, links: DataFrame, prefix: str, counter: int) -> tuple[DataFrame, dict]:
+    """Mechanical repairs alone: links made anew from the bodies, and the id
+    counter raised to the highest id. Returns the links and what changed."""
+    from . import links as L
+
+    fresh = L.rebuild(notes, aliases, adopted)
+    before, after = (df.where("not resolved").count() for df in (links, fresh))
+    highest = highest_id(notes, prefix).first()["highest"]
+    return fresh, {"links_resolved": max(0, before - after), "counter": max(counter, highest), "raised": highest > counter}

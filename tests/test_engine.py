@@ -236,3 +236,10 @@ def test_adoption_report(spark):
     assert bridge.losing_links(acts, f, n).first().losing == ["Two"]
     assert bridge.collisions(f).first().paths == ["x/a.md", "y/a.md"]
     assert {(r.action, r.files) for r in bridge.adopt_counts(acts).collect()} == {("claimed", 1), ("created", 1)}
+
+
+def test_repair(spark, note_rows):
+    e = lambda t: spark.createDataFrame([], t)
+    old = spark.createDataFrame([("LT-0001", "LT-0002", False), ("LT-0003", "Missing note", False)], "src string, dst string, resolved boolean")
+    fresh, report = bridge.repair(note_rows, e("note_id string, alias string"), e("note_id string, source_path string"), old, "LT", 2)
+    assert fresh.count() == 5 and report == {"links_resolved": 1, "counter": 4, "raised": True}
