@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialise
 
-__all__ = ["LOWER", "UPPER", "WORD", "lower_ascii", "materialise", "sliced", "table"]
+__all__ = ["LOWER", "UPPER", "WORD", "lean", "lower_ascii", "materialise", "sliced", "table", "trim"]
 
 #: Rows whose texts are Python objects at one time.
 SLICE = 256
@@ -34,3 +36,28 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+
+
+def trim() -> None:
+    """Gives memory that is free back to the system: Python workers are kept for
+    later tasks, and what they hold counts against their executor meanwhile."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        return
+
+
+def lean(make: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A function of batches that trims when its task ends."""
+
+    @wraps(make)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if pa.default_memory_pool().backend_name != "system":
+            pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from make(batches)
+        finally:
+            trim()
+
+    return run

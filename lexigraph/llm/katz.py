@@ -41,12 +41,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import drop
-from .common import materialise, sliced
+from .common import lean, materialise, sliced, trim
 
 MIN_COUNT, GT_MAX = 2, 5
 #: Bytes of training text for each part; bytes of the sample that names frequent words.
-PART_BYTES, SAMPLE_BYTES = 25_000_000, 8_000_000
-BATCH_TOKENS, BATCH_DOCS = 3_000_000, 60_000
+PART_BYTES, SAMPLE_BYTES = 20_000_000, 8_000_000
+BATCH_TOKENS, BATCH_DOCS = 1_500_000, 60_000
 #: Hashes that stand for the end of a text and for what precedes its first word.
 END, START = 0, 1
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -62,7 +62,7 @@ class _Hashes(dict):
     """Word to its 64-bit hash; forgets when it grows large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = max(2, xxhash.xxh64_intdigest(word, 10))
         return h
@@ -238,15 +238,23 @@ def _merge(min_count: int, most: int):
             w1.append(first)
             w2.append(np.repeat(second, runs))
             c.append(count)
-        w1, w2, c = np.concatenate(w1), np.concatenate(w2), np.concatenate(c)
+        w1 = np.concatenate(w1)
+        w2 = np.concatenate(w2)
+        c = np.concatenate(c)
         key = _pair_key(w1, w2)
         order = np.argsort(key)
         if _mixed(key[order], w1[order], w2[order]):
             order = np.lexsort((w1, w2, key))
-        key, w1, w2, c = key[order], w1[order], w2[order], c[order]
+        key = key[order]
+        w1 = w1[order]
+        w2 = w2[order]
+        c = c[order]
         del order
         begin = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])))
-        w1, w2, c = w1[begin], w2[begin], np.add.reduceat(c.astype(np.int64), begin)
+        c = np.add.reduceat(c, begin, dtype=np.int64)
+        del key
+        w1 = w1[begin]
+        w2 = w2[begin]
         n = np.bincount(np.minimum(c, most + 2), minlength=most + 3)[1 : most + 2]
         yield _columns(part, NUMBER, None, np.arange(1, most + 2), n, None)
         order = np.argsort(w2)
@@ -314,8 +322,8 @@ class KatzModel:
         self.hot = self._frequent(train, size)
         hot = [_signed(int(h)) for h in self.hot]
 
-        counts = train.mapInArrow(_pack_counts(self.hot, parts), "part long, data binary").repartition(parts, "part").sortWithinPartitions("part")
-        merged = materialise(counts.mapInArrow(_merge(min_count, most), "part long, kind int, w1 long, w2 long, c long, c2 long"), "lm-counts")
+        counts = train.mapInArrow(lean(_pack_counts(self.hot, parts)), "part long, data binary").repartition(parts, "part").sortWithinPartitions("part")
+        merged = materialise(counts.mapInArrow(lean(_merge(min_count, most)), "part long, kind int, w1 long, w2 long, c long, c2 long"), "lm-counts")
         del counts
         _release(spark)
         # A word is counted in one part, but for the frequent ones.
@@ -362,8 +370,8 @@ class KatzModel:
         of = 1 << 20
         share = min(of, max(1, of * SAMPLE_BYTES // size))
         sample = train.where(F.pmod(F.xxhash64("id", F.lit("lm")), F.lit(of)) < share)
-        counted = sample.mapInArrow(_unigrams, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-        total = sample.mapInArrow(_unigrams, "h long, c long").agg(F.sum("c")).first()[0] or 0
+        counted = sample.mapInArrow(lean(_unigrams), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+        total = sample.mapInArrow(lean(_unigrams), "h long, c long").agg(F.sum("c")).first()[0] or 0
         found = counted.where(F.col("c") * 4 * self.parts >= max(total, 1)).collect()
         return np.array(sorted(int(r["h"]) % (1 << 64) for r in found), np.uint64)
 
@@ -466,6 +474,7 @@ def _score(num: dict, hot_table):
             seen = np.flatnonzero(np.bincount(docs, minlength=size))
             out.append((batch, 0, _pack(seen.astype("<u2"), sums[0][seen], sums[1][seen], _narrow(sums[2][seen]))))
         columns = list(zip(*out, strict=True)) or [[], [], []]
+        trim()
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], ["batch", "kind", "data"])
 
     return run
@@ -497,7 +506,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     model = KatzModel(rows, part_bytes)
     _release(docs.sparkSession)
     num, parts = model.numbers(), model.parts
-    blobs = rows.mapInArrow(_pack_docs(model.hot, parts), "part long, batch long, kind int, data binary")
+    blobs = rows.mapInArrow(lean(_pack_docs(model.hot, parts)), "part long, batch long, kind int, data binary")
     tables = model.words.select("part", F.lit(None).cast("long").alias("w1"), F.col("h").alias("w2"), "c", F.col("back").alias("value")).unionByName(
         model.bigrams.select("part", "w1", "w2", F.lit(0).cast("long").alias("c"), F.col("gain").alias("value"))
     )
