@@ -45,7 +45,7 @@ from .common import lean, materialise, sliced, trim
 
 MIN_COUNT, GT_MAX = 2, 5
 #: Bytes of training text for each part; bytes of the sample that names frequent words.
-PART_BYTES, SAMPLE_BYTES = 20_000_000, 8_000_000
+PART_BYTES, SAMPLE_BYTES = 13_000_000, 8_000_000
 BATCH_TOKENS, BATCH_DOCS = 1_500_000, 60_000
 #: Hashes that stand for the end of a text and for what precedes its first word.
 END, START = 0, 1
@@ -62,7 +62,7 @@ class _Hashes(dict):
     """Word to its 64-bit hash; forgets when it grows large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = max(2, xxhash.xxh64_intdigest(word, 10))
         return h
@@ -243,12 +243,13 @@ def _merge(min_count: int, most: int):
         c = np.concatenate(c)
         key = _pair_key(w1, w2)
         order = np.argsort(key)
-        if _mixed(key[order], w1[order], w2[order]):
-            order = np.lexsort((w1, w2, key))
         key = key[order]
         w1 = w1[order]
         w2 = w2[order]
         c = c[order]
+        if _mixed(key, w1, w2):
+            order = np.lexsort((w1, w2, key))
+            w1, w2, c = w1[order], w2[order], c[order]  # equal keys stay together
         del order
         begin = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])))
         c = np.add.reduceat(c, begin, dtype=np.int64)
