@@ -1,12 +1,13 @@
 """Language-model scores by Katz backoff over word bigrams.
 
-    P(w | v) = d(c) c(v w) / c(v)      for kept bigrams (c >= MIN_COUNT)
+    P(w | v) = d(c) c(v w) / c(v)      for kept bigrams (c >= min_count)
              = alpha(v) P(w)           for all others
     P(w)     = d(c) c(w) / N           for known words; the rest of the mass is
                                        that of any unknown word
 
 The discounts d are Good-Turing's as Katz scales them for counts up to
-``GT_MAX``. Bigrams seen once are not kept: their mass goes to the backoff, and
+``GT_MAX``. The query keeps every bigram (min_count 1). With a larger min_count,
+of which MIN_COUNT is the default, rarer ones leave their mass to the backoff.
 alpha(v) = (1 - mass of v's kept bigrams) / (1 - P of their words) makes each
 context's distribution sum to one exactly. A context without mass left for
 others has its kept counts scaled by c / (c + 1/2).
@@ -19,7 +20,9 @@ sent to all tasks. Which words those are is read from a sample of documents: it
 decides where bigrams are counted, not what is counted. Tasks send packed
 arrays: each distinct bigram of a batch of documents once, with the documents it
 occurs in. A document's score is the sum of its backoff terms, word by word, plus
-what kept bigrams differ from those.
+what kept bigrams differ from those. What a bigram's first word adds is not joined
+with the bigrams: each part asks the part of each of its first words once, in
+packed arrays, and is answered in the same order.
 
 Defined results: a null text is an empty one, scored by its end token; without
 training rows every token is unknown and scores 0; a null id trains; repeated
@@ -40,7 +43,6 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import drop
 from .common import lean, materialise, sliced, trim
 
 MIN_COUNT, GT_MAX = 2, 5
@@ -224,9 +226,12 @@ def _pack_counts(hot: np.ndarray, parts: int):
     return run
 
 
-#: Kinds of rows that counting makes: kept bigrams (w1, w2, c, count of w2 in
-#: this part); numbers of bigrams (w2: their count, c: how many); words (w2, c).
-PAIR, NUMBER, WORD_COUNT = 0, 1, 2
+#: Kinds of rows: kept bigrams of a part (packed, c of them); numbers of bigrams
+#: (h: their count, c: how many); words (h, c); answers of the part h (packed).
+PAIR, NUMBER, WORD_COUNT, ANSWER = 0, 1, 2, 3
+#: A part's kept bigrams in order of their words: first words, second words, counts,
+#: and the count in this part of each second word.
+PAIRS = (*WORDS, "<u4", "<i8")
 
 
 def _merge(min_count: int, most: int):
@@ -257,20 +262,22 @@ def _merge(min_count: int, most: int):
         w1 = w1[begin]
         w2 = w2[begin]
         n = np.bincount(np.minimum(c, most + 2), minlength=most + 3)[1 : most + 2]
-        yield _columns(part, NUMBER, None, np.arange(1, most + 2), n, None)
-        order = np.argsort(w2)
-        run = w2[order]
-        start = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
-        words, total = run[start], np.add.reduceat(c[order], start)
-        del order, run
+        yield _columns(part, NUMBER, np.arange(1, most + 2), n)
+        order = np.lexsort((w1, w2))
+        w1 = w1[order]
+        w2 = w2[order]
+        c = c[order]
+        del order
+        start = np.flatnonzero(np.append(True, w2[1:] != w2[:-1]))
+        words, total = w2[start], np.add.reduceat(c, start)
         for i in range(0, len(words), 100_000):
-            yield _columns(part, WORD_COUNT, None, words[i : i + 100_000].view(np.int64), total[i : i + 100_000], None)
-        keep = np.flatnonzero(c >= min_count)
-        w1, w2, c = w1[keep], w2[keep], c[keep]
-        of = total[np.searchsorted(words, w2)]
-        for i in range(0, len(c), 100_000):
-            k = slice(i, i + 100_000)
-            yield _columns(part, PAIR, w1[k].view(np.int64), w2[k].view(np.int64), c[k], of[k])
+            yield _columns(part, WORD_COUNT, words[i : i + 100_000].view(np.int64), total[i : i + 100_000])
+        if min_count > 1:
+            keep = np.flatnonzero(c >= min_count)
+            w1, w2, c = w1[keep], w2[keep], c[keep]
+        if len(c):
+            of = total[np.searchsorted(words, _runs(w2)[0])]
+            yield _columns(part, PAIR, None, [len(c)], _pack(*_packed_words(w1, w2), _narrow(c), of.astype("<i8")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, found = None, []
@@ -292,29 +299,111 @@ def _mixed(key: np.ndarray, w1: np.ndarray, w2: np.ndarray) -> bool:
     return bool(((key[1:] == key[:-1]) & ((w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]))).any())
 
 
-KEPT = ["part", "kind", "w1", "w2", "c", "c2"]
+KEPT = ["part", "kind", "h", "c", "data"]
 
 
-def _columns(part: int, kind: int, w1, w2, c, c2) -> pa.RecordBatch:
-    column = lambda x: pa.nulls(len(w2), pa.int64()) if x is None else pa.array(x, pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(w2), part, np.int64)), pa.array(np.full(len(w2), kind, np.int32)), *map(column, (w1, w2, c, c2))], KEPT)
+def _columns(part: int, kind: int, h, c, data: bytes | None = None) -> pa.RecordBatch:
+    h = pa.nulls(len(c), pa.int64()) if h is None else pa.array(h, pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(c), part, np.int64)), pa.array(np.full(len(c), kind, np.int32)), h, pa.array(c, pa.int64()), pa.array([data] * len(c), pa.binary())], KEPT)
 
 
-def _discounted(count: Column, discounts: dict[int, float]) -> Column:
-    d = F.lit(1.0)
+def _discount(c: np.ndarray, discounts: dict[int, float]) -> np.ndarray:
+    d = np.ones(len(c))
     for r, x in discounts.items():
-        d = F.when(count == r, x).otherwise(d)
-    return d * count
+        d[c == r] = x
+    return d * c
+
+
+def _kept(data: bytes, num: dict, totals: tuple[np.ndarray, np.ndarray]):
+    """A part's kept bigrams: distinct first words and each bigram's place in
+    them, second words, discounted counts, and P of the second words. totals has
+    the counts of words that are counted in several parts."""
+    names, at, second, runs, c, of = _unpack(data, *PAIRS)
+    names, second = _unpacked_words(names, slice(None), second, runs)
+    place, there = _find(totals[0], second)
+    if there.any():
+        of = np.where(there, totals[1][place], of)
+    p1 = _discount(of, num["d1"]) * (num["scale"] / max(num["n"], 1))
+    return names, at, np.repeat(second, runs), _discount(c, num["d2"]), np.repeat(p1, runs)
+
+
+def _by_home(names: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The parts of some words, and the places of each one's."""
+    home = part_of(names, parts)
+    order = np.argsort(home, kind="stable")
+    limits = np.searchsorted(home[order], np.arange(parts + 1))
+    for p in np.unique(home).tolist():
+        yield p, order[limits[p] : limits[p + 1]]
+
+
+def _ask(num: dict, totals: tuple[np.ndarray, np.ndarray], parts: int):
+    """What a part's kept bigrams say of their first words, to those words' parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, data in zip(b["part"].to_pylist(), b["data"], strict=True):
+                names, at, _, c, p1 = _kept(data.as_py(), num, totals)
+                mass, covered = np.bincount(at, c, len(names)), np.bincount(at, p1, len(names))
+                for home, k in _by_home(names, parts):
+                    data = _pack(_steps(names[k].astype("<u8")), mass[k], covered[k])
+                    yield pa.RecordBatch.from_arrays([pa.array([home], pa.int64()), pa.array([part], pa.int64()), pa.array([data], pa.binary())], ["home", "part", "data"])
+
+    return run
+
+
+CONTEXTS = "part long, kind int, h long, c long, back double, lead double, data binary"
+
+
+def _contexts(asked: pa.Table, words: pa.Table) -> pa.Table:
+    """back and lead of a part's words, and lead - back for the parts that ask."""
+    h, first = np.unique(words["h"].to_numpy().view(np.uint64), return_index=True)
+    c = words["c"].to_numpy()[first]
+    mass, covered, places = np.zeros(len(h)), np.zeros(len(h)), []
+    for data in asked["data"]:
+        names, m, p = _unpack(data.as_py(), "<u8", "<f8", "<f8")
+        at = np.searchsorted(h, np.cumsum(names, dtype=np.uint64)).astype(np.uint32)
+        mass[at] += m
+        covered[at] += p
+        places.append(at)
+    over = np.where(mass > c - 1e-6, c + 0.5, c)
+    lead = -np.log10(over)
+    back = np.log10((1 - mass / over) / (1 - covered))
+    home = (words["part"] if words.num_rows else asked["home"])[0].as_py()
+    n, k = len(h), len(places)
+    out = [
+        pa.array(np.append(np.full(n, home, np.int64), asked["part"].to_numpy())), pa.array(np.repeat([WORD_COUNT, ANSWER], [n, k]).astype(np.int32)),
+        pa.array(np.append(h.view(np.int64), np.full(k, home, np.int64))), pa.array(np.append(c, np.zeros(k, np.int64))),
+        pa.array(np.append(back, np.zeros(k))), pa.array(np.append(lead, np.zeros(k))), pa.array([None] * n + [_pack((lead - back)[at]) for at in places], pa.binary()),
+    ]
+    trim()
+    return pa.table(out, ["part", "kind", "h", "c", "back", "lead", "data"])
+
+
+def _gains(model: pa.Table, num: dict, totals: tuple[np.ndarray, np.ndarray], parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A part's kept bigrams, and what their log10 probability differs from their
+    backoff's."""
+    kinds = model["kind"].to_numpy()
+    packed = np.flatnonzero(kinds == PAIR).tolist()
+    if not packed:
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0)
+    names, at, w2, c, p1 = _kept(model["data"][packed[0]].as_py(), num, totals)
+    answers = {model["h"][i].as_py(): i for i in np.flatnonzero(kinds == ANSWER).tolist()}
+    more = np.empty(len(names))
+    for home, k in _by_home(names, parts):
+        more[k] = _unpack(model["data"][answers[home]].as_py(), "<f8")[0]
+    return names[at], w2, np.log10(c) + more[at] - np.log10(p1)
 
 
 class KatzModel:
-    """The tables of a model: words (part, h, c, back, lead) and bigrams (part,
-    w1, w2, gain), and a few numbers.
+    """The tables of a model: words (part, h, c, back, lead), packed (of each part,
+    its words, bigrams and answers), bigrams (part, w1, w2, gain), and a few numbers.
 
     back is log10 alpha of the word as a context, lead log10 of its scale / c;
     gain is what a kept bigram's log10 probability differs from its backoff's.
     """
 
+    start_back = 0.0
+
     def __init__(self, rows: DataFrame, part_bytes: int = PART_BYTES, min_count: int = MIN_COUNT, most: int = GT_MAX):
         spark = rows.sparkSession
         train = rows.where("train")
@@ -324,11 +413,11 @@ class KatzModel:
         hot = [_signed(int(h)) for h in self.hot]
 
         counts = train.mapInArrow(lean(_pack_counts(self.hot, parts)), "part long, data binary").repartition(parts, "part").sortWithinPartitions("part")
-        merged = materialise(counts.mapInArrow(lean(_merge(min_count, most)), "part long, kind int, w1 long, w2 long, c long, c2 long"), "lm-counts")
+        merged = materialise(counts.mapInArrow(lean(_merge(min_count, most)), "part long, kind int, h long, c long, data binary"), "lm-counts")
         del counts
         _release(spark)
         # A word is counted in one part, but for the frequent ones.
-        counted = merged.where(F.col("kind") == WORD_COUNT).select(F.col("w2").alias("h"), "c")
+        counted = merged.where(F.col("kind") == WORD_COUNT).select("h", "c")
         is_hot = F.col("h").isin(hot)
         words = counted.where(~is_hot).unionByName(counted.where(is_hot).groupBy("h").agg(F.sum("c").alias("c"))) if hot else counted
         first = words.agg(F.sum("c"), F.count(F.lit(1)), *[F.count_if(F.col("c") == r) for r in range(1, most + 2)]).first()
@@ -338,31 +427,32 @@ class KatzModel:
         # Where no word is that rare, half a token is unknown.
         self.unknown = freed or 0.5 / (self.n + 0.5)
         self.known_scale = (1 - self.unknown) / (1 - freed) if self.n else 1.0
-        n2 = {r["w2"]: r["n"] for r in merged.where(F.col("kind") == NUMBER).groupBy("w2").agg(F.sum("c").alias("n")).collect()}
+        n2 = {r["h"]: r["n"] for r in merged.where(F.col("kind") == NUMBER).groupBy("h").agg(F.sum("c").alias("n")).collect()}
         d2 = self.pair_discounts = good_turing(n2, most, min_count)
-        totals = {r["h"]: r["c"] for r in words.where(is_hot).collect()} if hot else {}
+        totals = {r["h"] % (1 << 64): r["c"] for r in words.where(is_hot).collect()} if hot else {}
+        self.totals = np.array(sorted(totals), np.uint64), np.array([totals[h] for h in sorted(totals)], np.int64)
         kept = merged.where(F.col("kind") == PAIR)
-        if totals:
-            kept = kept.withColumn("c2", F.coalesce(F.create_map(*[F.lit(x) for kv in totals.items() for x in kv])[F.col("w2")], "c2"))
-
-        p1 = _discounted(F.col("c2"), d1) * (self.known_scale / max(self.n, 1))
-        contexts = kept.groupBy("w1").agg(F.sum(_discounted(F.col("c"), d2)).alias("mass"), F.sum(p1).alias("covered"))
+        asked = kept.select("part", "data").mapInArrow(lean(_ask(self.numbers(), self.totals, parts)), "home long, part long, data binary")
         ends = words.where(F.col("h") == END).select(F.lit(START).cast("long").alias("h"), "c")
-        t = words.unionByName(ends).join(contexts, F.col("h") == F.col("w1"), "left").select("h", "c", F.coalesce("mass", F.lit(0.0)).alias("mass"), F.coalesce("covered", F.lit(0.0)).alias("covered"))
-        full = F.col("mass") > F.col("c") - 1e-6
-        over = F.when(full, F.col("c") + 0.5).otherwise(F.col("c"))
-        t = t.withColumn("lead", -F.log10(over)).withColumn("back", F.log10((1 - F.col("mass") / over) / (1 - F.col("covered"))))
-        part = F.shiftrightunsigned("h", SHIFT) % parts
-        self.words = materialise(t.select(part.alias("part"), "h", "c", "back", "lead"), "lm-contexts")
-        gain = F.log10(_discounted(F.col("c"), d2)) + F.col("lead") - F.col("back") - F.log10(p1)
-        # A context of one token has no kept bigram.
-        lead = self.words.where("c > 1").select("h", "lead", "back")
-        self.bigrams = materialise(kept.join(lead, kept["w1"] == lead["h"]).select("part", "w1", "w2", gain.alias("gain")), "lm-gains")
+        mine = words.unionByName(ends).select((F.shiftrightunsigned("h", SHIFT) % parts).alias("part"), "h", "c")
+        contexts = materialise(asked.groupBy("home").cogroup(mine.groupBy("part")).applyInArrow(_contexts, CONTEXTS), "lm-contexts")
+        _release(spark)
+        self.words = contexts.where(F.col("kind") == WORD_COUNT).select("part", "h", "c", "back", "lead")
+        self.packed = contexts.select("part", "kind", "h", "c", "back", "data").unionByName(kept.withColumn("back", F.lit(0.0)))
         special = {int(r["h"]): (int(r["c"]), float(r["back"])) for r in self.words.where(F.col("h").isin([START, *hot])).select("h", "c", "back").collect()}
         self.start_back = special.get(START, (0, 0.0))[1]
-        mine = [h for h in self.hot if _signed(int(h)) in special]
-        self.hot_table = np.array(mine, np.uint64), np.array([special[_signed(int(h))][0] for h in mine], np.int64), np.array([special[_signed(int(h))][1] for h in mine], np.float64)
-        drop(merged)
+        found = [h for h in self.hot if _signed(int(h)) in special]
+        self.hot_table = np.array(found, np.uint64), np.array([special[_signed(int(h))][0] for h in found], np.int64), np.array([special[_signed(int(h))][1] for h in found], np.float64)
+
+    @property
+    def bigrams(self) -> DataFrame:
+        num, totals, parts = self.numbers(), self.totals, self.parts
+
+        def run(model: pa.Table) -> pa.Table:
+            w1, w2, gain = _gains(model, num, totals, parts)
+            return pa.table([pa.array(np.full(len(w1), model["part"][0].as_py(), np.int64)), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(gain)], ["part", "w1", "w2", "gain"])
+
+        return self.packed.groupBy("part").applyInArrow(run, "part long, w1 long, w2 long, gain double")
 
     def _frequent(self, train: DataFrame, size: int) -> np.ndarray:
         """Words that would fill a quarter of a part, by a sample of documents."""
@@ -377,7 +467,7 @@ class KatzModel:
         return np.array(sorted(int(r["h"]) % (1 << 64) for r in found), np.uint64)
 
     def numbers(self) -> dict:
-        return {"n": self.n, "v": self.v, "unknown": self.unknown, "scale": self.known_scale, "d1": self.word_discounts, "start_back": self.start_back}
+        return {"n": self.n, "v": self.v, "unknown": self.unknown, "scale": self.known_scale, "d1": self.word_discounts, "d2": self.pair_discounts, "start_back": self.start_back}
 
 
 def _signed(x: int) -> int:
@@ -423,26 +513,24 @@ def _find(table: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == x
 
 
-def _score(num: dict, hot_table):
+def _score(num: dict, hot_table, totals, parts: int):
     def log_word(c: np.ndarray) -> np.ndarray:
-        d = np.ones(len(c))
-        for r, x in num["d1"].items():
-            d[c == r] = x
-        return np.log10(np.where(c > 0, d * c * num["scale"] / max(num["n"], 1), num["unknown"]))
+        return np.log10(np.where(c > 0, _discount(c, num["d1"]) * num["scale"] / max(num["n"], 1), num["unknown"]))
 
     def run(blobs: pa.Table, model: pa.Table) -> pa.Table:
-        is_word = model["w1"].is_null().to_numpy()
-        second = model["w2"].to_numpy().view(np.uint64)
-        value = model["value"].to_numpy()
-        h, c, back = second[is_word], model["c"].to_numpy()[is_word], value[is_word]
+        is_word = model["kind"].to_numpy() == WORD_COUNT
+        h, c, back = model["h"].fill_null(0).to_numpy().view(np.uint64)[is_word], model["c"].to_numpy()[is_word], model["back"].to_numpy()[is_word]
         h, c, back = np.append(h, hot_table[0]), np.append(c, hot_table[1]), np.append(back, hot_table[2])
         h, first = np.unique(h, return_index=True)
         c, back = c[first], back[first]
-        w1 = model["w1"].fill_null(0).to_numpy().view(np.uint64)[~is_word]
-        w2, gain = second[~is_word], value[~is_word]
+        w1, w2, gain = _gains(model, num, totals, parts)
         key = _pair_key(w1, w2)
-        order = np.lexsort((w1, key))
-        w1, w2, gain, key = w1[order], w2[order], gain[order], key[order]
+        order = np.argsort(key)
+        w1 = w1[order]
+        w2 = w2[order]
+        gain = gain[order]
+        key = key[order]
+        del order
         out = []
         for part, batch, kind, data in zip(*[blobs[x].to_pylist() for x in ("part", "batch", "kind", "data")], strict=True):
             if kind:
@@ -500,17 +588,15 @@ def _assemble(num: dict):
     return run
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
-    """Learns from the training rows of docs and scores all. Returns id_col,
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES, min_count: int = MIN_COUNT) -> DataFrame:
+    """Learns from the training rows of docs, keeping bigrams seen min_count times
+    or more, and scores all. Returns id_col,
     held_out, n_tokens, n_known, train_tokens, base_score and score."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), training_row(F.col(id_col)).alias("train"))
-    model = KatzModel(rows, part_bytes)
+    model = KatzModel(rows, part_bytes, min_count)
     _release(docs.sparkSession)
     num, parts = model.numbers(), model.parts
     blobs = rows.mapInArrow(lean(_pack_docs(model.hot, parts)), "part long, batch long, kind int, data binary")
-    tables = model.words.select("part", F.lit(None).cast("long").alias("w1"), F.col("h").alias("w2"), "c", F.col("back").alias("value")).unionByName(
-        model.bigrams.select("part", "w1", "w2", F.lit(0).cast("long").alias("c"), F.col("gain").alias("value"))
-    )
-    scored = blobs.groupBy("part").cogroup(tables.groupBy("part")).applyInArrow(_score(num, model.hot_table), "batch long, kind int, data binary")
+    scored = blobs.groupBy("part").cogroup(model.packed.groupBy("part")).applyInArrow(_score(num, model.hot_table, model.totals, parts), "batch long, kind int, data binary")
     out = scored.groupBy("batch").applyInArrow(_assemble(num), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)

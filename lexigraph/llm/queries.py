@@ -61,7 +61,7 @@ def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Smaller batches than Spark's 10,000 rows: whole texts pass between Spark and Python.
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    return katz.score_documents(table(spark, sf_dir, "documents"))
+    return katz.score_documents(table(spark, sf_dir, "documents"), min_count=1)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
