@@ -112,6 +112,17 @@ def jn17_gazetteer(spark, sf_dir):
     return M.gazetteer_matches(X.notes(spark, sf_dir), terms)
 
 
+@query(
+    ctes(X.NOTE_TERMS, "phrases AS (SELECT DISTINCT array_to_string(string_split(text, ' ')[1:6], ' ') AS term FROM documents WHERE doc_id % 100 = 0)")
+    + """SELECT note_id, term FROM (SELECT DISTINCT note_id, term FROM words) SEMI JOIN note_terms USING (term)
+UNION SELECT doc_id, term FROM documents JOIN phrases ON term != '' AND contains(lower(text), lower(term)) WHERE regexp_matches(lower(text), '(^|[^a-z0-9])' || regexp_escape(lower(term)) || '([^a-z0-9]|$)')"""
+)
+def jn17_gazetteer_phrases(spark, sf_dir):
+    first = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
+    phrases = table(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(first.alias("term"))
+    return M.gazetteer_matches(X.notes(spark, sf_dir), X.note_terms(spark, sf_dir).select("term").unionByName(phrases).distinct())
+
+
 @query(ctes(X.NOTE_TERMS) + "SELECT term, count(*) AS n FROM note_terms GROUP BY term ORDER BY length(term) DESC, term")
 def srt4_longest_first(spark, sf_dir):
     terms = X.note_terms(spark, sf_dir).groupBy("term").agg(F.count(F.lit(1)).alias("n")).withColumn("source", F.lit("manual")).withColumn("blocked", F.lit(False))
