@@ -139,6 +139,19 @@ def set6_jaccard(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.round(T.jaccard(half(1, 6), half(4, 6)), 6).alias("likeness"))
 
 
+@query(
+    """WITH w AS (SELECT doc_id, string_split(lower(text), ' ') AS w FROM documents),
+l AS (SELECT doc_id, list_distinct(w[1:(len(w) + 1) // 2]) AS a, list_distinct(w[(len(w) + 1) // 2 + 1:len(w)]) AS b FROM w)
+SELECT doc_id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS likeness FROM l"""
+)
+def set6_jaccard_halves(spark, sf_dir):
+    """The first half of a text's words and the second."""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.split(F.lower("text"), " ").alias("w"))
+    half = F.floor((F.size("w") + 1) / 2).cast("int")
+    a, b = F.array_distinct(F.slice("w", F.lit(1), half)), F.array_distinct(F.slice("w", half + 1, F.size("w") - half))
+    return words.select("doc_id", F.round(T.jaccard(a, b), 6).alias("likeness"))
+
+
 @query()
 def trm1_candidates(spark, sf_dir):
     return M.candidates(X.notes(spark, sf_dir)).select("note_id", "lemma", "text", "kind", "count", "first_sentence", "sentences")
