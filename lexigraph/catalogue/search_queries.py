@@ -80,6 +80,27 @@ def fil3_vector_floor(spark, sf_dir):
     return vectors.search(*_vector_case(spark, sf_dir), 150, 0.25).select("qid", "doc", "rank", F.round("score", 6).alias("score"))
 
 
+HUNDREDTHS = """
+vecs AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings),
+pairs AS (SELECT a.id::VARCHAR AS qid, v.id AS doc, list_dot_product(a.vec, v.vec) AS score FROM vecs a, vecs v WHERE a.id % 100 = 0)"""
+
+
+def _hundredths(spark, sf_dir):
+    vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return vecs.where("id % 100 = 0").select(F.col("id").cast("string").alias("qid"), "vec"), vecs
+
+
+@query(ctes(HUNDREDTHS) + "SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc)::INT AS rank, round(score, 6) AS score FROM pairs QUALIFY rank <= 20")
+def ret4_vector_top_k_hundredths(spark, sf_dir):
+    """Every vector whose id is divisible by 100 as a query."""
+    return vectors.search(*_hundredths(spark, sf_dir), 20).select("qid", "doc", "rank", F.round("score", 6).alias("score"))
+
+
+@query(ctes(HUNDREDTHS) + "SELECT qid, doc, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc)::INT AS rank, round(score, 6) AS score FROM pairs WHERE score >= 0.25 QUALIFY rank <= 150")
+def fil3_vector_floor_hundredths(spark, sf_dir):
+    return vectors.search(*_hundredths(spark, sf_dir), 150, 0.25).select("qid", "doc", "rank", F.round("score", 6).alias("score"))
+
+
 @query(
     """WITH x AS (SELECT label, generate_subscripts(embedding, 1) AS pos, unnest(embedding::DOUBLE[]) AS v FROM embeddings),
 s AS (SELECT label, pos, sum(v) AS v FROM x GROUP BY ALL),
