@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import materialise
+from ..storage import drop, materialise
 
-__all__ = ["LOWER", "UPPER", "WORD", "lean", "lower_ascii", "materialise", "sliced", "table", "trim"]
+__all__ = ["LOWER", "UPPER", "WORD", "drop", "lean", "lower_ascii", "materialise", "sliced", "table", "trim"]
 
 #: Rows whose texts are Python objects at one time.
 SLICE = 256

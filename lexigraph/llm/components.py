@@ -11,13 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import drop, materialise
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """Of (u, v): adds m, the least of u and its neighbours."""
+    """Of (u, v): adds m, the least of u and its neighbours. A merge join: the
+    aggregate is dealt by u already, and nothing is sent to all tasks."""
     m = edges.groupBy("u").agg(F.min("v").alias("m"))
-    return edges.join(m, "u").withColumn("m", F.least("m", "u"))
+    return edges.join(m.hint("merge"), "u").withColumn("m", F.least("m", "u"))
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -31,15 +32,19 @@ def _small(edges: DataFrame) -> DataFrame:
     return to.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(to.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
+def _done(edges: DataFrame) -> bool:
+    """Whether edges (u > v) are stars: no node has two edges down, and none that
+    has one is another's least. One aggregate by node shows both."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(edges.select(F.col("v").alias("n"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    return ends.groupBy("n").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or (down = 1 and up = 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges (u, v) of longs. Returns (node, component) of every node with an
-    edge to another one; the component is its least node."""
+    edge to another one; the component is its least node. A round's table goes
+    once the next one is written."""
     now = materialise(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
-    while True:
-        now = materialise(_small(_large(now)), "stars")
-        shape = now.agg(F.count(F.lit(1)), F.count_distinct("u"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        # Stars: one edge for each node that isn't a centre, and no change.
-        if shape == before or not shape[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = shape
+    while not _done(now):
+        before, now = now, materialise(_small(_large(now)), "stars")
+        drop(before)
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

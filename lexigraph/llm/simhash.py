@@ -128,17 +128,19 @@ def links(distinct: DataFrame, radius: int = RADIUS, n_segments: int = SEGMENTS,
     if crowded is None:
         return pairs.distinct()
     points = crowded.repartition("fp").withColumn("point", F.explode(F.transform(_longs(_masks(BITS, radius // 2)), lambda m: F.col("fp").bitwiseXOR(m))))
-    stars = _stars(points)
+    stars = _stars(points, radius)
     if radius % 2:  # an odd distance: balls that share no point may still be neighbours
         raise ValueError("dense buckets need an even radius")
     return pairs.unionByName(stars).distinct()
 
 
-def _stars(points: DataFrame) -> DataFrame:
-    """(fp, point): edges from each point's fingerprints to its least one. Only
-    the least and, for each fingerprint, the points' least others travel on."""
+def _stars(points: DataFrame, radius: int) -> DataFrame:
+    """(fp, point): edges from each point's fingerprints to its least one, their
+    complete distance verified. Only the least and, for each fingerprint, the
+    points' least others travel on."""
     least = points.groupBy("point").agg(F.min("fp").alias("b"), F.max("fp").alias("most")).where("b < most").select("point", "b")
-    return points.join(least, "point").where("fp != b").groupBy("fp", "b").agg(F.count(F.lit(1)).alias("n")).select(F.col("fp").alias("a"), "b")
+    near = (F.col("fp") != F.col("b")) & (distance(F.col("fp"), F.col("b")) <= radius)
+    return points.join(least, "point").where(near).groupBy("fp", "b").agg(F.count(F.lit(1)).alias("n")).select(F.col("fp").alias("a"), "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, n_segments: int = SEGMENTS, dense: int = DENSE) -> DataFrame:
