@@ -2,12 +2,15 @@
 
 ``write_container`` stores a payload losslessly as 8-bit PCM samples of one
 audio track; ``read_container`` walks the nested boxes, decodes the sample
-tables (stts, stsc, stsz, stco or co64, stss) and returns codec, time scale,
-duration and the byte ranges of samples and key frames, reading no payload.
-
-Defined results: a null text is an empty one; a null or broken container gives
-null features with the error's name in ``error``; repeated rows give repeated
-rows. Other columns of the input are not read.
+tables (stts, stsc, stsz, stco or co64, stss) and the runs of movie fragments
+(trex, tfhd, trun) of every track, and returns codec, time scale, duration and
+the byte ranges of samples and key frames, reading no payload. Boxes are walked
+without recursion, no deeper than ``MAX_DEPTH``; every count is checked against
+the file's size before anything is allocated by it.
+
+Defined results: a null text is an empty one; a null or broken container, however
+it is broken, gives null features with the error's name in ``error``; repeated
+rows give repeated rows. Other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ UNIT = 64  # bytes of a sample's frame, and what payloads are padded to
 TIMESCALE = 8000  # 8-bit samples a second
 FRAMES_PER_CHUNK = 1024
 KEY_EVERY = 256  # one sync frame in so many
+MAX_DEPTH = 32  # of boxes within boxes
 #: Boxes that hold boxes, and the bytes of their own fields before those.
 CONTAINERS = {b"moov": 0, b"trak": 0, b"mdia": 0, b"minf": 0, b"dinf": 0, b"stbl": 0, b"edts": 0, b"udta": 0, b"mvex": 0, b"moof": 0, b"traf": 0, b"stsd": 8, b"dref": 8, b"meta": 4}
 MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
@@ -97,7 +101,7 @@ def write_container(payload: bytes, frame: int = UNIT, timescale: int = TIMESCAL
 
 @dataclass
 class Track:
-    """One track: runs are (offset, bytes) of the samples, in order."""
+    """One track: samples in order, the fragments' after the sample tables'."""
 
     handler: str
     codec: str
@@ -112,9 +116,14 @@ class Track:
         return list(zip(self.offsets[self.keys].tolist(), self.sizes[self.keys].tolist(), strict=True))
 
 
-def boxes(data: memoryview, start: int, end: int, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """Each box below [start, end): its path, and where its body begins and ends."""
-    while start < end:
+def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[tuple[bytes, ...], int, int, int]]:
+    """Each box in [start, end): its path, where it and its body begin, and where
+    it ends; a box before those within it."""
+    open_boxes: list[tuple[tuple[bytes, ...], int, int]] = [((), start, end)]
+    while open_boxes:
+        path, start, end = open_boxes.pop()
+        if start >= end:
+            continue
         if end - start < 8:
             raise ContainerError("a box's header is cut off")
         size, kind = struct.unpack_from(">I4s", data, start)
@@ -126,10 +135,12 @@ def boxes(data: memoryview, start: int, end: int, path: tuple[bytes, ...] = ())
         stop = end if size == 0 else start + size
         if stop > end or stop < body:
             raise ContainerError(f"box {kind!r} leaves its parent")
-        yield (*path, kind), body, stop
+        yield (*path, kind), start, body, stop
+        open_boxes.append((path, stop, end))
         if kind in CONTAINERS:
-            yield from boxes(data, body + CONTAINERS[kind], stop, (*path, kind))
-        start = stop
+            if len(path) == MAX_DEPTH:
+                raise ContainerError(f"boxes are nested deeper than {MAX_DEPTH}")
+            open_boxes.append(((*path, kind), body + CONTAINERS[kind], stop))
 
 
 def _table(data: memoryview, at: int, end: int, kind: str, columns: int = 1, skip: int = 0) -> np.ndarray:
@@ -139,50 +150,155 @@ def _table(data: memoryview, at: int, end: int, kind: str, columns: int = 1, ski
     return np.frombuffer(data, kind, n * columns, at + 8 + skip).astype(np.int64).reshape(n, columns)
 
 
-def _track(data: memoryview, found: dict[bytes, tuple[int, int]], codec: str) -> Track:
-    need = {b"mdhd", b"hdlr", b"stts", b"stsc", b"stsz"} - found.keys()
-    if need or not {b"stco", b"co64"} & found.keys():
-        raise ContainerError(f"a track lacks {sorted(need) or 'chunk offsets'}")
-    at = found[b"mdhd"][0]
-    scale, duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
+def _need(holds: bool, what: str) -> None:
+    if not holds:
+        raise ContainerError(what)
+
+
+def _in_file(offsets: np.ndarray, sizes: np.ndarray, length: int) -> None:
+    if len(offsets):
+        _need(offsets.min() >= 0 and offsets.max() <= length and (offsets + sizes).max() <= length, "samples leave the file")
+
+
+def _sample_tables(data: memoryview, found: dict[bytes, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Offsets, sizes and key numbers of a track's sample tables, and its ticks."""
+    lacking = {b"stts", b"stsc", b"stsz"} - found.keys()
+    _need(not lacking and bool({b"stco", b"co64"} & found.keys()), f"a track lacks {sorted(lacking) or 'chunk offsets'}")
     at, end = found[b"stsz"]
     size, n = struct.unpack_from(">II", data, at + 4)
+    _need(n * max(size, 1) <= len(data), "stsz claims more than the file holds")
     sizes = np.full(n, size, np.int64) if size else _table(data, at, end, ">u4", skip=4)[:, 0]
     times = _table(data, *found[b"stts"], ">u4", 2)
-    if times[:, 0].sum() != n:
-        raise ContainerError("stts and stsz disagree")
+    _need(times[:, 0].sum() == n, "stts and stsz disagree")
     chunks = _table(data, *found[b"co64"], ">u8")[:, 0] if b"co64" in found else _table(data, *found[b"stco"], ">u4")[:, 0]
+    _need(not len(chunks) or chunks.min() >= 0 and chunks.max() <= len(data), "chunks leave the file")
     runs = _table(data, *found[b"stsc"], ">u4", 3)
-    per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(chunks) + 1)))
-    if len(per_chunk) != len(chunks) or per_chunk.sum() != n:
-        raise ContainerError("stsc, stco and stsz disagree")
+    spans = np.diff(np.append(runs[:, 0], len(chunks) + 1))
+    whole = bool((spans > 0).all()) and runs[0, 0] == 1 if len(runs) else not len(chunks)
+    _need(whole and (spans * runs[:, 1]).sum() == n, "stsc, stco and stsz disagree")
+    per_chunk = np.repeat(runs[:, 1], spans)
     begins = np.cumsum(per_chunk) - per_chunk
     before = np.cumsum(sizes) - sizes
-    offsets = np.repeat(chunks - (before[begins] if n else 0), per_chunk) + before
-    if n and (offsets[0] < 0 or (offsets + sizes).max() > len(data)):
-        raise ContainerError("samples leave the file")
+    # A chunk without samples begins nowhere.
+    firsts = before[np.minimum(begins, n - 1)] if n else np.zeros(len(chunks), np.int64)
+    offsets = np.repeat(chunks - firsts, per_chunk) + before
+    _in_file(offsets, sizes, len(data))
     keys = _table(data, *found[b"stss"], ">u4")[:, 0] - 1 if b"stss" in found else np.arange(n)
-    handler = bytes(data[found[b"hdlr"][0] + 8 : found[b"hdlr"][0] + 12]).decode("latin-1")
-    return Track(handler, codec, scale, int(duration or (times[:, 0] * times[:, 1]).sum()), offsets, sizes, keys)
+    _need(not len(keys) or keys.min() >= 0 and keys.max() < n and bool((np.diff(keys) > 0).all()), "stss names samples that there aren't")
+    return offsets, sizes, keys, int((times[:, 0] * times[:, 1]).sum())
+
+
+#: Flags of tfhd and trun: which fields follow.
+BASE, DESCRIPTION, DURATION, SIZE, FLAGS, FROM_MOOF = 0x1, 0x2, 0x8, 0x10, 0x20, 0x20000
+RUN_OFFSET, RUN_FIRST, RUN_DURATION, RUN_SIZE, RUN_FLAGS, RUN_SHIFT = 0x1, 0x4, 0x100, 0x200, 0x400, 0x800
+NOT_SYNC = 0x10000
+
+
+def _fields(data: memoryview, at: int, end: int, flags: int, known: list[tuple[int, str]]) -> tuple[dict[int, int], int]:
+    """The optional fields that flags announce, and where they end."""
+    out = {}
+    for flag, kind in known:
+        if flags & flag:
+            _need(at + struct.calcsize(kind) <= end, "a fragment's fields are cut off")
+            out[flag] = struct.unpack_from(kind, data, at)[0]
+            at += struct.calcsize(kind)
+    return out, at
+
+
+def _run(data: memoryview, at: int, end: int, base: int, usual: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """One trun: offsets, sizes, which are key frames, ticks, and where its data ends."""
+    flags, n = struct.unpack_from(">I", data, at)[0] & 0xFFFFFF, struct.unpack_from(">I", data, at + 4)[0]
+    head, at = _fields(data, at + 8, end, flags, [(RUN_OFFSET, ">i"), (RUN_FIRST, ">I")])
+    names = [f for f in (RUN_DURATION, RUN_SIZE, RUN_FLAGS, RUN_SHIFT) if flags & f]
+    _need(at + 4 * n * len(names) <= end and n <= len(data), "a run leaves its box")
+    rows = np.frombuffer(data, ">u4", n * len(names), at).astype(np.int64).reshape(n, len(names))
+    column = lambda flag, default: rows[:, names.index(flag)] if flag in names else np.full(n, default, np.int64)
+    sizes = column(RUN_SIZE, usual.get(SIZE, 0))
+    marks = column(RUN_FLAGS, usual.get(FLAGS, 0)).copy()
+    if n and RUN_FIRST in head and RUN_FLAGS not in names:
+        marks[0] = head[RUN_FIRST]
+    start = base + head.get(RUN_OFFSET, 0)
+    offsets = start + np.cumsum(sizes) - sizes
+    _in_file(offsets, sizes, len(data))
+    return offsets, sizes, marks & NOT_SYNC == 0, int(column(RUN_DURATION, usual.get(DURATION, 0)).sum()), start + int(sizes.sum())
+
+
+class _Fragments:
+    """The samples of movie fragments, by track."""
+
+    def __init__(self, data: memoryview):
+        self.data, self.usual, self.found = data, {}, {}
+        self.moof = self.after = 0
+        self.track, self.base, self.own = 0, 0, {}
+
+    def trex(self, at: int) -> None:
+        track, _, duration, size, flags = struct.unpack_from(">5I", self.data, at + 4)
+        self.usual[track] = {DURATION: duration, SIZE: size, FLAGS: flags}
+
+    def begin(self, moof: int) -> None:
+        self.moof = self.after = moof
+
+    def tfhd(self, at: int, end: int) -> None:
+        flags, self.track = struct.unpack_from(">I", self.data, at)[0] & 0xFFFFFF, struct.unpack_from(">I", self.data, at + 4)[0]
+        given, _ = _fields(self.data, at + 8, end, flags, [(BASE, ">Q"), (DESCRIPTION, ">I"), (DURATION, ">I"), (SIZE, ">I"), (FLAGS, ">I")])
+        self.own = self.usual.get(self.track, {}) | given
+        self.base = given.get(BASE, self.moof if flags & FROM_MOOF else self.after)
+        _need(self.base <= len(self.data), "a fragment's data leaves the file")
+        self.first = True
+
+    def trun(self, at: int, end: int) -> None:
+        # A run without an offset follows the one before it.
+        begin = self.base if self.first or struct.unpack_from(">I", self.data, at)[0] & RUN_OFFSET else self.after
+        *run, self.after = _run(self.data, at, end, begin, self.own)
+        self.first = False
+        self.found.setdefault(self.track, []).append(run)
+
+
+def _read(data: memoryview) -> list[Track]:
+    tracks: list[tuple[dict[bytes, tuple[int, int]], list[str]]] = []
+    fragments = _Fragments(data)
+    for path, start, body, end in boxes(data, 0, len(data)):
+        kind = path[-1]
+        if kind == b"trak":
+            tracks.append(({}, []))
+        elif b"trak" in path:
+            if path[-2] == b"stsd":
+                tracks[-1][1].append(kind.decode("latin-1"))
+            tracks[-1][0].setdefault(kind, (body, end))
+        elif path[-2:] == (b"mvex", b"trex"):
+            fragments.trex(body)
+        elif kind == b"moof":
+            fragments.begin(start)
+        elif path[-2:] == (b"traf", b"tfhd"):
+            fragments.tfhd(body, end)
+        elif path[-2:] == (b"traf", b"trun"):
+            fragments.trun(body, end)
+    _need(bool(tracks), "no track")
+    out = []
+    for found, codecs in tracks:
+        lacking = {b"tkhd", b"mdhd", b"hdlr"} - found.keys()
+        _need(not lacking, f"a track lacks {sorted(lacking)}")
+        at = found[b"tkhd"][0]
+        number = struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))[0]
+        at = found[b"mdhd"][0]
+        scale, duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
+        _need(scale > 0 and duration < 1 << 63, "a track has no time scale")
+        handler = bytes(data[found[b"hdlr"][0] + 8 : found[b"hdlr"][0] + 12]).decode("latin-1")
+        offsets, sizes, keys, ticks = _sample_tables(data, found)
+        runs = fragments.found.get(number, [])
+        before = len(sizes) + np.cumsum([0, *(len(r[0]) for r in runs)])
+        keys = np.concatenate([keys, *(np.flatnonzero(r[2]) + n for r, n in zip(runs, before, strict=False))])
+        whole = ticks + sum(r[3] for r in runs)
+        out.append(Track(handler, codecs[0] if codecs else "", scale, whole if runs else int(duration or whole), np.concatenate([offsets, *(r[0] for r in runs)]), np.concatenate([sizes, *(r[1] for r in runs)]), keys.astype(np.int64)))
+    return out
 
 
 def read_container(media: bytes) -> list[Track]:
-    data = memoryview(media)
-    tracks, found, codec = [], {}, ""
-    for path, body, end in boxes(data, 0, len(data)):
-        if path[-1] == b"trak":
-            if found:
-                tracks.append(_track(data, found, codec))
-            found, codec = {}, ""
-        elif b"trak" in path:
-            if path[-2] == b"stsd":
-                codec = codec or path[-1].decode("latin-1")
-            found.setdefault(path[-1], (body, end))
-    if found:
-        tracks.append(_track(data, found, codec))
-    if not tracks:
-        raise ContainerError("no track")
-    return tracks
+    """All tracks. Whatever is wrong with the bytes is a ContainerError."""
+    try:
+        return _read(memoryview(media))
+    except (struct.error, ValueError, IndexError, KeyError, ArithmeticError, MemoryError) as e:
+        raise e if isinstance(e, ContainerError) else ContainerError(f"{type(e).__name__}: {e}") from e
 
 
 def sample_bytes(media: bytes, track: Track) -> bytes:
@@ -206,19 +322,20 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_store, "id long, n_bytes long, media binary")
 
 
-FEATURES = "handler:string,codec:string,timescale:long,duration:long,n_samples:long,keyframes:array<struct<offset:long,length:long>>,error:string"
-_TYPES = pa.struct(
-    [("handler", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))), ("error", pa.string())]
-)
+_TRACK = "handler:string,codec:string,timescale:long,duration:long,n_samples:long,keyframes:array<struct<offset:long,length:long>>"
+FEATURES = f"{_TRACK},error:string,tracks:array<struct<{_TRACK}>>"
+_TRACK_TYPES = [("handler", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()), ("keyframes", pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())])))]
+_TYPES = pa.struct([*_TRACK_TYPES, ("error", pa.string()), ("tracks", pa.list_(pa.struct(_TRACK_TYPES)))])
 
 
 def describe(media: bytes | None) -> tuple[dict, Track | None]:
+    """The first track's features, and all tracks' as tracks; and the first track."""
     try:
-        t = read_container(media or b"")[0]
-    except (ContainerError, struct.error, OverflowError) as e:
+        found = read_container(media or b"")
+    except ContainerError as e:
         return {"error": type(e).__name__}, None
-    keys = [{"offset": a, "length": b} for a, b in t.key_ranges]
-    return {"handler": t.handler, "codec": t.codec, "timescale": t.timescale, "duration": t.duration, "n_samples": len(t.sizes), "keyframes": keys}, t
+    each = [{"handler": t.handler, "codec": t.codec, "timescale": t.timescale, "duration": t.duration, "n_samples": len(t.sizes), "keyframes": [{"offset": a, "length": b} for a, b in t.key_ranges]} for t in found]
+    return each[0] | {"tracks": each}, found[0]
 
 
 def feature_text(x: dict) -> str:
@@ -230,8 +347,8 @@ def feature_text(x: dict) -> str:
 
 
 def media_features(df: DataFrame, media_col: str = "media", out: str = "features") -> DataFrame:
-    """df with a struct of the first track's features; payloads stay undecoded.
-    A column of that name is replaced."""
+    """df with a struct of the first track's features and of all tracks'; payloads
+    stay undecoded. A column of that name is replaced."""
     kept = [n for n in df.columns if n != out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
