@@ -1,12 +1,13 @@
 """URL filters: hashed host-suffix and path-prefix lookups.
 
 Each URL is expanded into the host suffixes and path prefixes that a rule could
-name, the expressions are joined with the rules on the first 32 bits of their
-SHA-256, and the full digest confirms a match. The longest rule decides; at
-equal length the one with the longer host, then the one that blocks.
+name. The expressions are joined with the rules on the first 32 bits of their
+SHA-256 alone: the rules of one prefix are one row, a bucket of full digests
+among which the expression's own digest confirms a match. The longest rule
+decides; at equal length the one with the longer host, then the one that blocks.
 
-Defined results: a null URL and one without ``://`` have an empty host and path
-and match nothing; a URL that no rule fits gets ``default``. Repeated rows stay
+Defined results: a null URL and one without ``://`` have an empty host and path,
+match nothing and take no part in the joins; a URL that no rule fits gets ``default``. Repeated rows stay
 repeated, null ids stay null. Other columns of the input are not read.
 """
 
@@ -30,12 +31,19 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
-def _hashed(df: DataFrame, expression: str) -> DataFrame:
+def _hashed(df: DataFrame, expression: str, prefix_hex: int) -> DataFrame:
     digest = F.sha2(F.col(expression), 256)
-    return df.withColumn("digest", digest).withColumn("prefix", F.substring(digest, 1, PREFIX_HEX))
+    return df.withColumn("digest", digest).withColumn("prefix", F.substring(digest, 1, prefix_hex))
 
 
-def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
+def buckets(rules: DataFrame, prefix_hex: int = PREFIX_HEX) -> DataFrame:
+    """(prefix, rules): the rules whose digests begin alike. A bucket holds the
+    distinct rules that share 32 bits, whatever the number of URLs."""
+    one = F.struct("digest", "rule", "r_host", "r_verdict")
+    return _hashed(rules, "rule", prefix_hex).groupBy("prefix").agg(F.collect_set(one).alias("bucket"))
+
+
+def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", prefix_hex: int = PREFIX_HEX) -> DataFrame:
     """rules has host, path, verdict (``allow`` or ``block``). Returns id_col,
     host, path, rule, verdict: one row for each row of pages.
 
@@ -61,9 +69,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
         lambda x: x.isNotNull(),
     )
     expanded = distinct.withColumn("s", F.explode(hosts)).withColumn("expression", F.explode(F.transform(paths, lambda p: F.concat(F.col("s"), p))))
-    hits = _hashed(expanded, "expression").join(_hashed(known, "rule"), ["prefix", "digest"])
+    near = _hashed(expanded, "expression", prefix_hex).join(buckets(known, prefix_hex), "prefix")
+    hits = near.withColumn("hit", F.explode(F.filter("bucket", lambda r: r["digest"] == F.col("digest")))).select("host", "path", "hit.*")
     rank = F.struct(F.length("rule"), F.length("r_host"), F.col("r_verdict") == "block", F.col("rule"))
     best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "r_verdict"), rank).alias("best"))
-    return urls.join(best, ["host", "path"], "left").select(
-        F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.r_verdict", F.lit(default)).alias("verdict")
-    )
+    named = urls.where("host != ''").join(best, ["host", "path"], "left").select("id", "host", "path", "best")
+    rest = urls.where("host = ''").select("id", "host", "path", F.lit(None).cast(best.schema["best"].dataType).alias("best"))
+    return named.unionByName(rest).select(F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.r_verdict", F.lit(default)).alias("verdict"))
