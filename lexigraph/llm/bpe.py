@@ -5,8 +5,9 @@ Two neighbours resynchronise at the first place in their overlap that both hold
 for a pre-token boundary between a letter or digit and a blank:
 from such a place on the pre-tokens depend only on what follows, so the pieces
 between those places are encoded each on its own, and their ids in order are
-the whole text's. A text with an overlap that never resynchronises (one pre-token
-longer than the overlap) is encoded in one piece. Decoding joins the ids' bytes.
+the whole text's. Where an overlap never resynchronises (one pre-token longer
+than the overlap) the two chunks beside it, and they alone, make one piece: a
+pre-token is never cut. Decoding joins the ids' bytes.
 
 Defined results: a null text is an empty one, without ids; repeated rows stay
 repeated. Other columns of the input are not read.
@@ -23,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialise, sliced
@@ -144,20 +146,23 @@ def encode_long(docs: DataFrame, path: str, pattern: str, size: int, overlap: in
     chunks = docs.mapInArrow(_chunk(size, overlap), "row string, doc long, no long, n_chunks long, part string").repartition(F.col("row"), F.col("no"))
     spans = chunks.mapInArrow(_pretokenise(pattern, size, overlap), "row string, doc long, no long, n_chunks long, part string, left array<long>, right array<long>")
     spans = materialise(spans, "bpe-spans")
-    # The neighbour's boundaries come by an equi-join on (row, no): only the overlaps' lists travel.
-    rights = spans.select("row", (F.col("no") + 1).alias("no"), F.col("right").alias("before"))
-    lefts = spans.select("row", (F.col("no") - 1).alias("no"), F.col("left").alias("after")).where("no >= 0")
-    spans = spans.join(rights, ["row", "no"], "left").join(lefts, ["row", "no"], "left")
-    first = lambda a, b: F.when(F.size(F.array_intersect(a, b)) > 0, F.array_min(F.array_intersect(a, b))).otherwise(F.lit(-1))
-    begin = F.when(F.col("no") == 0, F.lit(0)).otherwise(first(F.col("before"), F.col("left")))
-    end = F.when(F.col("no") == F.col("n_chunks") - 1, F.lit(1 << 62)).otherwise(first(F.col("right"), F.col("after")))
-    spans = spans.withColumn("begin", begin).withColumn("end", end)
-    lost = spans.where("begin < 0 or end < 0").select("row").distinct()
+    # Only the overlaps' lists travel: the first place that a chunk and its neighbour share, or null.
+    ends = spans.select("row", "no", "n_chunks", "left", "right")
+    by_no = W.partitionBy("row").orderBy("no")
+    both = F.array_intersect("left", F.lag("right").over(by_no))
     start = F.col("no") * size
-    piece = F.substring("part", (F.col("begin") - start + 1).cast("int"), F.least(F.col("end") - F.col("begin"), F.lit(size + 2 * overlap)).cast("int"))
-    pieces = spans.join(lost, "row", "left_anti").select("row", "doc", "no", piece.alias("text"))
-    entire = docs.join(lost, "row", "left_semi").select("row", "doc", F.lit(0).cast("long").alias("no"), "text")
-    return pieces.unionByName(entire).mapInArrow(_encode(path, pattern), PIECES_SQL)
+    begin = F.when(F.col("no") == 0, F.lit(0)).otherwise(F.array_min(both))
+    ends = ends.select("row", "no", "n_chunks", begin.alias("begin")).withColumn("end", F.lead("begin").over(by_no))
+    ends = ends.withColumn("piece", F.sum(F.col("begin").isNotNull().cast("int")).over(by_no))
+    # Of a chunk its piece has what lies between those places, or between the chunks' own starts.
+    first = F.coalesce("begin", start)
+    after = F.coalesce("end", F.when(F.col("no") == F.col("n_chunks") - 1, F.lit(1 << 62)).otherwise(start + size))
+    ends = ends.select("row", "no", "piece", (first - start).cast("int").alias("skip"), F.least(after - first, F.lit(size + overlap)).cast("int").alias("length"))
+    parts = spans.select("row", "doc", "no", "part").join(ends, ["row", "no"])
+    parts = parts.select("row", "doc", "no", "piece", F.substring("part", F.col("skip") + 1, F.col("length")).alias("text"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "text"))), lambda x: x["text"]), "")
+    pieces = parts.groupBy("row", "doc", "piece").agg(joined.alias("text")).select("row", "doc", F.col("piece").cast("long").alias("no"), "text")
+    return pieces.mapInArrow(_encode(path, pattern), PIECES_SQL)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
