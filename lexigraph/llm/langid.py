@@ -7,9 +7,11 @@ raises the penalised log-likelihood most, until none raises it. The language
 with the largest proportion is the prediction.
 
 The trigram tables are fitted on a bounded sample of labelled training rows, at
-most ``SAMPLE`` for each language, those with the least hashes of their ids; all
-else covers all rows and whole texts. The model has at most MAX_LANGUAGES x
-2**BITS entries, whatever the corpus's size.
+most ``SAMPLE`` for each language, those with the least hashes of their ids and
+texts; all else covers all rows and whole texts. The model has at most
+MAX_LANGUAGES x 2**BITS entries, whatever the corpus's size. No task holds a
+language: rows are counted by language and hash bucket, and only the bucket in
+which a language's sample ends is put in order.
 
 Defined results: a null text or one without a letter is ``und`` with score 0, as
 is every text if nothing was learned; repeated rows give repeated rows; a null
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import sliced
 
 SAMPLE, MAX_LANGUAGES, BITS = 2_000, 200, 15
+#: Hash buckets of each language's rows; bytes of a text that are counted at once.
+BUCKETS, PIECE = 4096, 1 << 20
 SMOOTH = 0.5
 #: Log-likelihood that another language must bring, in units of log(trigrams).
 #: A byte takes part in three trigrams, so theirs counts threefold; BIC's half
@@ -39,11 +43,16 @@ OVERLAP = 3.0
 ROUNDS, CLOSE = 40, 1e-4
 
 
-def grams(text: str, bits: int = BITS) -> np.ndarray:
-    """Hashed byte trigrams of the lower-cased text between blanks."""
-    b = np.frombuffer(f" {text.lower()} ".encode(errors="replace"), np.uint8).astype(np.uint32)
-    x = b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]
-    return (x * np.uint32(2654435761) >> np.uint32(32 - bits)).astype(np.int64)
+def gram_counts(text: str, bits: int = BITS) -> np.ndarray:
+    """How often each hashed byte trigram of the lower-cased text between blanks
+    occurs. A long text is counted piece by piece."""
+    whole = np.frombuffer(f" {text.lower()} ".encode(errors="replace"), np.uint8)
+    out = np.zeros(1 << bits, np.int64)
+    for i in range(0, max(1, len(whole) - 2), PIECE):
+        b = whole[i : i + PIECE + 2].astype(np.uint32)
+        x = b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]
+        out += np.bincount(x * np.uint32(2654435761) >> np.uint32(32 - bits), minlength=1 << bits)
+    return out
 
 
 def has_letter(text: str | None) -> bool:
@@ -76,7 +85,7 @@ def _em(q: np.ndarray, c: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, float
 def infer(text: str, p: np.ndarray, logp: np.ndarray) -> tuple[list[int], np.ndarray, float]:
     """The languages, their proportions, and the first one's posterior among
     all as the only language."""
-    counts = np.bincount(grams(text), minlength=len(p))
+    counts = gram_counts(text)
     at = np.flatnonzero(counts)
     c, q = counts[at].astype(np.float64), p[at]
     alone = c @ logp[at]
@@ -108,26 +117,47 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
     for b in sliced(batches):
         for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist(), strict=True):
-            seen = np.bincount(grams(text), minlength=1 << BITS)
+            seen = gram_counts(text)
             totals[lang] = totals[lang] + seen if lang in totals else seen
-    yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array([x.astype("<i8").tobytes() for x in totals.values()], pa.binary())], ["lang", "counts"])
+    for lang, counts in totals.items():
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["lang", "gram", "n"])
+
+
+def sampled(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Of rows (id, lang, text): each language's first ones in the order of a
+    hash of the id, then of the text; exactly sample of them, or all there are."""
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(BUCKETS)).cast("int")).withColumn("h", F.xxhash64("id", F.lit("order"))).withColumn("t", F.xxhash64("text"))
+    counts = rows.groupBy("lang", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    # At most BUCKETS rows a language, of its sums alone.
+    before = F.coalesce(F.sum("n").over(W.partitionBy("lang").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    found = counts.withColumn("room", F.lit(sample) - before).where("room > 0").select("lang", "bucket", "n", "room").limit(MAX_LANGUAGES * BUCKETS + 1).collect()
+    if len({r["lang"] for r in found}) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # One row a language: its last bucket, and how many rows of that one there is room for.
+    last: dict[str, tuple[int, int, bool]] = {}
+    for r in found:
+        if r["lang"] not in last or r["bucket"] > last[r["lang"]][0]:
+            last[r["lang"]] = (r["bucket"], r["room"], r["n"] > r["room"])
+    limits = rows.sparkSession.createDataFrame([(k, *v) for k, v in last.items()], "lang string, last int, room long, crowded boolean")
+    chosen = rows.join(F.broadcast(limits), "lang").where("bucket <= last")
+    # The window's limit is pushed below its exchange: a task passes on `sample` rows of a bucket at most.
+    cut = chosen.where("bucket = last and crowded").withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "t"))).where(F.col("k") <= sample).where("k <= room")
+    return chosen.where("bucket < last or not crowded").select("lang", "h", "t", "text").unionByName(cut.select("lang", "h", "t", "text"))
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where(training_row(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = rows.withColumn("h", F.xxhash64("id", F.lit("sample")))
-    # A task passes on at most `sample` hashes of a language: the window's limit is pushed below its exchange.
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    limits = rows.select("lang", "h").withColumn("k", rank).where(F.col("k") <= sample).groupBy("lang").agg(F.max("h").alias("most")).limit(MAX_LANGUAGES + 1).collect()
-    if len(limits) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not limits:
-        return Model((), np.zeros((0, 1 << BITS)))
-    most = docs.sparkSession.createDataFrame([(r["lang"], r["most"]) for r in limits], "lang string, most long")
-    chosen = rows.join(F.broadcast(most), "lang").where("h <= most").select("lang", "text")
-    found = sorted((r["lang"], bytes(r["counts"])) for r in chosen.repartition("lang").mapInArrow(_count, "lang string, counts binary").collect())
-    return Model(tuple(x for x, _ in found), np.array([np.frombuffer(c, "<i8") for _, c in found], np.float64))
+    # A bounded sample, spread by its hashes: no task has more of a language than of another.
+    spread = sampled(rows, sample).repartition("h", "t").select("lang", "text")
+    sums = spread.mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    found = sums.toArrow()  # at most MAX_LANGUAGES x 2**BITS rows
+    names = sorted(set(found["lang"].to_pylist()))
+    place = {x: i for i, x in enumerate(names)}
+    counts = np.zeros((len(names), 1 << BITS))
+    counts[np.fromiter(map(place.__getitem__, found["lang"].to_pylist()), np.int64, found.num_rows), found["gram"].to_numpy()] = found["n"].to_numpy()
+    return Model(tuple(names), counts)
 
 
 def _predict(model: Model):
