@@ -5,9 +5,10 @@ A record goes to the shard with the largest ``-w / ln(u)``, u being a hash of
 the new shard alone. DataFrame expressions only.
 
 Slots number the rows of a shard without gaps in two levels: rows are dealt to
-``slot_buckets`` hash buckets of their shard, numbered within the bucket, and
-the bucket's offset (a table of at most shards x slot_buckets rows) is added.
-No task holds a shard.
+``slot_buckets`` hash buckets of their shard, by id, size and checksum, numbered
+within the bucket, and the bucket's offset (a table of at most shards x
+slot_buckets rows) is added. No task holds a shard; rows with one id, a null one
+too, are spread unless they are equal in all that is returned.
 
 Defined results: a null key is a key like any other; repeated rows share a
 shard and get slots of their own; a null text has size 1 and CRC 0. Other
@@ -40,16 +41,12 @@ def shard_documents(docs: DataFrame, weights: Sequence[float], grown_weight: flo
     """Returns id_col, size, text_crc32, law, shard, slot, grown_shard (the shard
     once one of grown_weight is added)."""
     text = F.col(text_col)
-    bucket = F.pmod(F.xxhash64("id", F.lit("slot")), F.lit(slot_buckets)).cast("int")
+    bucket = F.pmod(F.xxhash64("id", "size", "text_crc32", F.lit("slot")), F.lit(slot_buckets)).cast("int")
     placed = lambda df: df.withColumn("shard", rendezvous(F.col("id"), weights)).withColumn("bucket", bucket)
-    rows = placed(
-        docs.select(
-            F.col(id_col).alias("id"),
-            (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
-            F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
-        )
-    ).withColumn("grown_shard", rendezvous(F.col("id"), [*weights, grown_weight]))
-    counts = placed(docs.select(F.col(id_col).alias("id"))).groupBy("shard", "bucket").count()
+    size, crc = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long"), F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
+    known = placed(docs.select(F.col(id_col).alias("id"), size.alias("size"), crc.alias("text_crc32")))
+    rows = known.withColumn("grown_shard", rendezvous(F.col("id"), [*weights, grown_weight]))
+    counts = known.groupBy("shard", "bucket").count()
     before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     local = F.row_number().over(W.partitionBy("shard", "bucket").orderBy("id", "size", "text_crc32"))
