@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..storage import drop, materialise
 
-__all__ = ["LOWER", "UPPER", "WORD", "drop", "lean", "lower_ascii", "materialise", "sliced", "table", "trim"]
+__all__ = ["LOWER", "UPPER", "WORD", "drop", "lean", "lower_ascii", "materialise", "sliced", "small_batches", "table", "trim"]
 
 #: Rows whose texts are Python objects at one time.
 SLICE = 256
@@ -61,3 +62,16 @@ def lean(make: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterato
             trim()
 
     return run
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within it at most so many rows pass between Spark and Python at once; the
+    session's own setting is back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

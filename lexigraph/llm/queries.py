@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, chat, katz, langid, media, mixing, omh, sharding, simhash, urls
-from .common import table
+from .common import materialise, small_batches, table
 
 #: Rules of the URL filter: host, path, verdict.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -59,9 +59,9 @@ def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Smaller batches than Spark's 10,000 rows: whole texts pass between Spark and Python.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    return katz.score_documents(table(spark, sf_dir, "documents"), min_count=1)
+    # Whole texts pass between Spark and Python: in smaller batches than Spark's own.
+    with small_batches(spark, 1000):
+        return materialise(katz.score_documents(table(spark, sf_dir, "documents"), min_count=1), "lm-scores")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
