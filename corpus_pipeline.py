@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigraph.llm import bpe, langid, mixing, simhash
-from lexigraph.llm.common import materialise, table
+from lexigraph.llm.common import estimated_bytes, fewer, materialise, table
 from lexigraph.llm.queries import vocabulary
 
 
@@ -25,7 +25,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows without an id stay; rows that share an id share its fate."""
     groups = simhash.near_duplicates(docs)
     gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    return fewer(docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti"), estimated_bytes(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,12 +33,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that share an id are taken as often as one of them."""
     mix = mixing.mix_documents(docs).where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
     taken = docs.join(mix, docs["doc_id"].eqNullSafe(mix["__id"]))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    copied = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    return fewer(copied, 2 * estimated_bytes(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of what they decode to."""
-    return bpe.encode_documents(docs, *vocabulary())
+    return fewer(bpe.encode_documents(docs, *vocabulary()), estimated_bytes(docs))
 
 
 STAGES = [

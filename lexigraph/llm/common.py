@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import drop, materialise
+from ..storage import drop, estimated_bytes, fewer, materialise
 
-__all__ = ["LOWER", "UPPER", "WORD", "drop", "lean", "lower_ascii", "materialise", "sliced", "small_batches", "table", "trim"]
+__all__ = ["LOWER", "UPPER", "WORD", "drop", "estimated_bytes", "fewer", "lean", "lower_ascii", "materialise", "sliced", "small_batches", "table", "trim"]
 
 #: Rows whose texts are Python objects at one time.
 SLICE = 256

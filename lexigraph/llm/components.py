@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialise
+from .common import drop, estimated_bytes, materialise
 
 
 def _nodes(edges: DataFrame) -> DataFrame:
@@ -37,17 +37,18 @@ def _small(edges: DataFrame) -> DataFrame:
     return to.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(to.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges (u, v) of longs. Returns (node, component) of every node with an
-    edge to another one; the component is its least node. Edges are stars once
+def components(edges: DataFrame, size: int | None = None) -> DataFrame:
+    """edges (u, v) of longs, of about size bytes. Returns (node, component) of every
+    node with an edge to another one; the component is its least node. Edges are stars once
     no node has two edges down, nor one down and one up. A round's tables go
     once the next one is written."""
-    now = materialise(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    now = materialise(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", size)
     while True:
-        nodes = materialise(_nodes(now), "nodes")
+        size = 4 * estimated_bytes(now)  # of any table of a round: there are no more edges in the next one
+        nodes = materialise(_nodes(now), "nodes", size)
         if nodes.where("down > 1 or (down = 1 and up)").isEmpty():
             drop(nodes)
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before, now = now, materialise(_small(_large(now, nodes)), "stars")
+        before, now = now, materialise(_small(_large(now, nodes)), "stars", size)
         drop(before)
         drop(nodes)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, estimated_bytes, materialise
 
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL, CAP = 1.5, 2.0
@@ -120,6 +120,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
     rows = materialise(rows, "mix-sizes")
+    about = 8 * estimated_bytes(rows)  # of a level's table, which has more columns
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     t = targets.withColumnRenamed("source", "t_source")
     rows = rows.join(t, rows["source"].eqNullSafe(t["t_source"])).drop("t_source")
@@ -130,7 +131,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     level = level.select(*_NAMES)
     done, n = [], buckets
     while True:
-        folded = materialise(level.repartition("source", "bucket").sortWithinPartitions("source", "bucket", "order").mapInArrow(_fold(seed), FOLD), "mix-level")
+        folded = materialise(level.repartition("source", "bucket").sortWithinPartitions("source", "bucket", "order").mapInArrow(_fold(seed), FOLD), "mix-level", about)
         done.append(folded.where("not open"))
         level = folded.where("open")
         if n == 1:

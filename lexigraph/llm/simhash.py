@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, sliced
+from .common import estimated_bytes, materialise, sliced
 from .components import components
 
 WORDS, SEED = 4, 42
@@ -149,7 +149,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marked = materialise(fingerprints(docs, id_col, text_col), "simhash")
     groups = materialise(marked.groupBy("fp").agg(F.min("id").alias("least")), "simhash-groups")
     found = links(groups.select("fp"), radius, n_segments, dense)
-    joined = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    joined = components(found.select(F.col("a").alias("u"), F.col("b").alias("v")), 16 * estimated_bytes(groups))
     named = groups.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     names = named.join(least, "component").select("fp", "component_id")
