@@ -38,7 +38,7 @@ def forget(spark: SparkSession, path: str) -> None:
 
 def estimated_bytes(df: DataFrame) -> int:
     """Spark's own estimate: exact for files, an upper bound above joins."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def fewer(df: DataFrame, size: int | None = None) -> DataFrame:
