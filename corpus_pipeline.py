@@ -25,14 +25,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows without an id stay; rows that share an id share its fate."""
     groups = simhash.near_duplicates(docs)
     gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return fewer(docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti"), estimated_bytes(docs))
+    # Ids alone are hashed: the texts need no sort.
+    return fewer(docs.join(gone.hint("shuffle_hash"), docs["doc_id"] == gone["__gone"], "left_anti"), estimated_bytes(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice.
     Rows that share an id are taken as often as one of them."""
     mix = mixing.mix_documents(docs).where("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    taken = docs.join(mix, docs["doc_id"].eqNullSafe(mix["__id"]))
+    taken = docs.join(mix.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(mix["__id"]))
     copied = taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
     return fewer(copied, 2 * estimated_bytes(docs))
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, sliced
+from .common import lean, materialise, sliced
 
 CHUNK, OVERLAP = 32_768, 1_024
 #: What a pre-token's end may depend on beyond it: two characters of a contraction.
@@ -143,8 +143,8 @@ def _whole(path: str, pattern: str):
 def encode_long(docs: DataFrame, path: str, pattern: str, size: int, overlap: int) -> DataFrame:
     """Of (row, doc, text): the pieces (row, doc, no, n_tokens, ids, decoded) of
     texts. row names a row of docs. What is gathered for a text is its own."""
-    chunks = docs.mapInArrow(_chunk(size, overlap), "row string, doc long, no long, n_chunks long, part string").repartition(F.col("row"), F.col("no"))
-    spans = chunks.mapInArrow(_pretokenise(pattern, size, overlap), "row string, doc long, no long, n_chunks long, part string, left array<long>, right array<long>")
+    chunks = docs.mapInArrow(lean(_chunk(size, overlap)), "row string, doc long, no long, n_chunks long, part string").repartition(F.col("row"), F.col("no"))
+    spans = chunks.mapInArrow(lean(_pretokenise(pattern, size, overlap)), "row string, doc long, no long, n_chunks long, part string, left array<long>, right array<long>")
     spans = materialise(spans, "bpe-spans")
     # Only the overlaps' lists travel: the first place that a chunk and its neighbour share, or null.
     ends = spans.select("row", "no", "n_chunks", "left", "right")
@@ -157,12 +157,14 @@ def encode_long(docs: DataFrame, path: str, pattern: str, size: int, overlap: in
     # Of a chunk its piece has what lies between those places, or between the chunks' own starts.
     first = F.coalesce("begin", start)
     after = F.coalesce("end", F.when(F.col("no") == F.col("n_chunks") - 1, F.lit(1 << 62)).otherwise(start + size))
-    ends = ends.select("row", "no", "piece", (first - start).cast("int").alias("skip"), F.least(after - first, F.lit(size + overlap)).cast("int").alias("length"))
+    alone = F.count(F.lit(1)).over(W.partitionBy("row", "piece")) == 1
+    ends = ends.select("row", "no", "piece", alone.alias("alone"), (first - start).cast("int").alias("skip"), F.least(after - first, F.lit(size + overlap)).cast("int").alias("length"))
     parts = spans.select("row", "doc", "no", "part").join(ends, ["row", "no"])
-    parts = parts.select("row", "doc", "no", "piece", F.substring("part", F.col("skip") + 1, F.col("length")).alias("text"))
+    parts = parts.select("row", "doc", "no", "piece", "alone", F.substring("part", F.col("skip") + 1, F.col("length")).alias("text"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("no", "text"))), lambda x: x["text"]), "")
-    pieces = parts.groupBy("row", "doc", "piece").agg(joined.alias("text")).select("row", "doc", F.col("piece").cast("long").alias("no"), "text")
-    return pieces.mapInArrow(_encode(path, pattern), PIECES_SQL)
+    several = parts.where("not alone").groupBy("row", "doc", "piece").agg(joined.alias("text"))
+    pieces = parts.where("alone").select("row", "doc", "piece", "text").unionByName(several).select("row", "doc", F.col("piece").cast("long").alias("no"), "text")
+    return pieces.mapInArrow(lean(_encode(path, pattern)), PIECES_SQL)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -170,7 +172,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     row of docs. path and pattern name the vocabulary's ranks."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     short = F.coalesce(F.length("text"), F.lit(0)) <= size
-    done = rows.where(short).mapInArrow(_whole(path, pattern), "doc long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    done = rows.where(short).mapInArrow(lean(_whole(path, pattern)), "doc long, n_tokens long, ids_sha256 string, decoded_sha256 string")
     # Equal rows of long texts have equal results: they are encoded once and counted.
     long_rows = rows.where(~short).groupBy("doc", "text").agg(F.count(F.lit(1)).alias("times"))
     long_rows = materialise(long_rows.withColumn("row", F.concat_ws(":", "doc", F.sha2("text", 256))), "bpe-long")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import sliced
+from .common import lean, sliced
 
 SAMPLE, MAX_LANGUAGES, BITS = 2_000, 200, 15
 #: Hash buckets of each language's rows; bytes of a text that are counted at once.
@@ -151,7 +151,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = rows.where(training_row(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     # A bounded sample, spread by its hashes: no task has more of a language than of another.
     spread = sampled(rows, sample).repartition("h", "t").select("lang", "text")
-    sums = spread.mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = spread.mapInArrow(lean(_count), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     found = sums.toArrow()  # at most MAX_LANGUAGES x 2**BITS rows
     names = sorted(set(found["lang"].to_pylist()))
     place = {x: i for i, x in enumerate(names)}
@@ -186,7 +186,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """Returns id_col, held_out, lang_pred, score (share x posterior), share (of
     the largest language) and languages (of the mixture, largest first)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (~training_row(F.col(id_col))).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_predict(model), "id long, held_out boolean, lang_pred string, score double, share double, languages array<string>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(_predict(model)), "id long, held_out boolean, lang_pred string, score double, share double, languages array<string>").withColumnRenamed("id", id_col)
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least_share: float = 0.5) -> DataFrame:
@@ -200,4 +200,4 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least
             keep = [bool(model.languages) and has_letter(t) and infer(t, p, logp)[1].max() >= least_share for t in b.column(names.index(text_col)).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import estimated_bytes, materialise, sliced
+from .common import estimated_bytes, lean, materialise, sliced
 from .components import components
 
 WORDS, SEED = 4, 42
@@ -74,7 +74,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, fp) of every row; fp holds the 64 bits as a signed long."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_fingerprints, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(_fingerprints), "id long, fp long")
 
 
 def _masks(bits: int, radius: int, shift: int = 0) -> list[int]:
