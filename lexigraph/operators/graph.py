@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialise
+
 
 def adjacency(links: DataFrame) -> DataFrame:
     """Distinct resolved edges without loops."""
@@ -65,18 +67,20 @@ def orphans(notes: DataFrame, links: DataFrame) -> DataFrame:
     return no_out.join(ends.select(F.col("dst").alias("id")), "id", "left_anti")
 
 
-def adjust(hits: DataFrame, edges: DataFrame, boost: float, expand: bool = True, min_votes: int = 2) -> tuple[DataFrame, DataFrame]:
+def adjust(hits: DataFrame, edges: DataFrame, boost: float, expand: bool = True, min_votes: int = 2, both: bool = False) -> tuple[DataFrame, DataFrame]:
     """For hits (qid, id, score): boosts (qid, id, boost) of hits whose neighbours
     are hits too, and expansions (qid, id, score, via) that enough hits link with.
 
     A hit's boost is boost x the sum of its neighbours' scores / its degree,
     counting neighbours that are no hits; an expansion's score is boost x the
-    mean of its voters'.
+    mean of its voters'. With both, what the two are made from is written once.
     """
     near = symmetric(edges)
     reached = hits.join(near, hits["id"] == near["a"]).select("qid", F.col("a").alias("voter"), F.col("b").alias("id"), "score")
     mine = hits.select("qid", "id", F.lit(True).alias("is_hit"))
     marked = reached.join(mine, ["qid", "id"], "left").withColumn("is_hit", F.coalesce("is_hit", F.lit(False)))
+    if both:
+        marked = materialise(marked, "graph-votes")
     sums = marked.where("is_hit").groupBy("qid", "id").agg(F.sum("score").alias("around")).where("around > 0")
     deg = degree(edges).withColumnRenamed("node", "id")
     boosts = sums.join(deg, "id").select("qid", "id", (F.lit(float(boost)) * F.col("around") / F.greatest(F.lit(1), F.col("degree"))).alias("boost"))
@@ -129,3 +133,25 @@ def merge_layout(stored: DataFrame, local: DataFrame) -> DataFrame:
     both = stored.select("note_id", "x", "y").join(l, "note_id", "full_outer")
     mine = F.coalesce("pending", F.lit(False)) | F.col("x").isNull()
     return both.select("note_id", F.when(mine, F.col("lx")).otherwise(F.col("x")).alias("x"), F.when(mine, F.col("ly")).otherwise(F.col("y")).alias("y"))
+
+
+def save_layout(stored: DataFrame, moved: DataFrame, notes: DataFrame) -> DataFrame:
+    """stored (note_id, x, y, updated_at) with what moved (note_id, x, y): only
+    finite positions of notes that there are."""
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    known = moved.where(finite("x") & finite("y")).dropDuplicates(["note_id"]).join(notes.select(F.col("id").alias("note_id")), "note_id", "left_semi")
+    kept = stored.join(known.select("note_id"), "note_id", "left_anti")
+    return kept.unionByName(known.select("note_id", "x", "y", F.current_timestamp().alias("updated_at")))
+
+
+def clear_layout(stored: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """Without the positions of gone (note_id); of all notes if gone is None."""
+    return stored.limit(0) if gone is None else stored.join(gone.select("note_id"), "note_id", "left_anti")
+
+
+def list_layout(stored: DataFrame) -> DataFrame:
+    return stored.select("note_id", "x", "y").orderBy("note_id")
+
+
+def read_layout(stored: DataFrame, note_id) -> DataFrame:
+    return stored.where(F.col("note_id") == note_id).select("note_id", "x", "y")

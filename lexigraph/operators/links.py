@@ -92,9 +92,9 @@ def anchors_of(links: DataFrame) -> DataFrame:
 HEADING = re.compile(r"^##\s+Related\s*$", re.I)
 
 
-def insert_related(body: str, target: str, title: str) -> str:
+def insert_related(body: str, target: str, title: str, anchor: str | None = None) -> str:
     """body with a link in its Related section, which is made if it has none."""
-    line = f"- [[{target} {title}]]"
+    line = f"- [[{f'{target} {title}'.strip()}{f'|{anchor}' if anchor is not None else ''}]]"
     lines = body.rstrip().split("\n")
     at = next((i for i, x in enumerate(lines) if HEADING.match(x.strip())), None)
     if at is None:
@@ -119,16 +119,31 @@ def drop_related(body: str, target: str) -> str:
     return "\n".join([*lines[: at + 1], *kept, *lines[end:], ""])
 
 
-def relate(bodies: DataFrame, add: bool = True) -> DataFrame:
-    """(id, body, target, title) with new_body: the link added or taken out.
-    A note can't be linked with itself."""
+def relate(bodies: DataFrame, add: bool = True, links: DataFrame | None = None) -> DataFrame:
+    """(id, body, target, title, and anchor if links are to be named) with new_body:
+    the link added or taken out. A note can't be linked with itself. Given the
+    links (src, dst) that there are, one that exists can't be added, and one that
+    doesn't, or that stands outside the Related section, can't be taken out."""
+    names = bodies.columns
+    anchor = F.col("anchor") if "anchor" in names else F.lit(None).cast("string")
 
     @F.pandas_udf("string")
-    def edit(body: pd.Series, target: pd.Series, title: pd.Series) -> pd.Series:
-        return pd.Series([insert_related(b, t, n or "") if add else drop_related(b, t) for b, t, n in zip(body, target, title, strict=True)])
-
-    guard = F.when(F.col("id") == F.col("target"), F.raise_error(F.lit("a note can't be linked with itself")).cast("string")).otherwise(F.col("target"))
-    return bodies.withColumn("new_body", edit("body", guard, "title"))
+    def edit(body: pd.Series, target: pd.Series, title: pd.Series, anchor: pd.Series) -> pd.Series:
+        return pd.Series([insert_related(b, t, n or "", a) if add else drop_related(b, t) for b, t, n, a in zip(body, target, title, anchor, strict=True)])
+
+    out = bodies.withColumn("new_body", edit("body", "target", "title", anchor))
+    pair = F.concat("id", F.lit(" and "), "target")
+    bad = F.when(F.col("id") == F.col("target"), F.lit("a note can't be linked with itself"))
+    if links is not None:
+        have = links.select(F.col("src").alias("id"), F.col("dst").alias("target"), F.lit(True).alias("linked")).distinct()
+        out = out.join(have, ["id", "target"], "left")
+        linked = F.coalesce("linked", F.lit(False))
+        if add:
+            bad = bad.when(linked, F.concat(F.lit("a link is there already between "), pair))
+        else:
+            bad = bad.when(~linked, F.concat(F.lit("there is no link between "), pair))
+            bad = bad.when(F.col("new_body") == F.col("body"), F.concat(F.lit("written into the text, not its Related section: the link between "), pair))
+    return out.select(*names, F.when(bad.isNotNull(), F.raise_error(bad).cast("string")).otherwise(F.col("new_body")).alias("new_body"))
 
 
 def require_distinct(src: str, dst: str) -> None:

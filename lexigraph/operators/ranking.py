@@ -28,13 +28,15 @@ def min_max(score: str, key: str) -> Column:
     return F.when(hi > lo, (F.col(score) - lo) / (hi - lo)).otherwise(1.0)
 
 
-def row_numbers(df: DataFrame, order: str, name: str, parts: int = 64) -> DataFrame:
+def row_numbers(df: DataFrame, order: str, name: str, part_rows: int = 250_000) -> DataFrame:
     """df with a number from 1 in the order of a column, without one task that
     sees all rows: rows are dealt to ranges of the order, counted, numbered
-    within their range, and the counts of the ranges before are added."""
-    # Cuts come from a sample of about 2,000 values: they decide who counts what, not the numbers.
+    within their range, and the counts of the ranges before are added. There are
+    64 ranges, or as many of part_rows as hold all rows, 1,024 at most."""
+    # Cuts come from a sample of about 30 values for each: they decide who counts what, not the numbers.
     n = df.count()
-    seen = sorted({r[0] for r in df.select(order).where(F.col(order).isNotNull()).sample(min(1.0, 2_000 / max(n, 1)), seed=1).collect()})
+    parts = min(1024, max(64, n // part_rows))
+    seen = sorted({r[0] for r in df.select(order).where(F.col(order).isNotNull()).sample(min(1.0, 30.0 * parts / max(n, 1)), seed=1).collect()})
     at = seen[:: max(1, len(seen) // parts)]
     ranged = df.withColumn("__range", F.size(F.filter(F.array(*[F.lit(c) for c in at]), lambda c: c < F.col(order))) if at else F.lit(0))
     counts = ranged.groupBy("__range").count()

@@ -29,10 +29,23 @@ def with_previous(revisions: DataFrame) -> DataFrame:
 
 
 def revision_before(asked: DataFrame, revisions: DataFrame) -> DataFrame:
-    """asked (note_id, rev) with the greatest revision below it, null if none."""
-    r = revisions.select(F.col("note_id").alias("n"), F.col("rev").alias("r"))
-    near = asked.join(r, (asked["note_id"] == r["n"]) & (r["r"] < asked["rev"]), "left")
-    return near.groupBy("note_id", "rev").agg(F.max("r").alias("previous_rev"))
+    """asked (note_id, rev) with the greatest revision below it, null if none:
+    asked and stored revisions in one order, each asked one looks back once."""
+    wanted = asked.select("note_id", "rev").distinct().select("note_id", "rev", F.lit(0).alias("stored"))
+    both = wanted.unionByName(revisions.select("note_id", "rev", F.lit(1).alias("stored")))
+    before = W.partitionBy("note_id").orderBy("rev", "stored").rowsBetween(W.unboundedPreceding, -1)
+    seen = F.last(F.when(F.col("stored") == 1, F.col("rev")), ignorenulls=True).over(before)
+    return both.withColumn("previous_rev", seen).where("stored = 0").select("note_id", "rev", "previous_rev")
+
+
+def list_revisions(revisions: DataFrame, note_id, limit: int | None = None) -> DataFrame:
+    """A note's revisions, the latest first; without their bodies."""
+    out = revisions.where(F.col("note_id") == note_id).drop("body").orderBy(F.col("rev").desc())
+    return out if limit is None else out.limit(limit)
+
+
+def get_revision(revisions: DataFrame, note_id, rev: int) -> DataFrame:
+    return revisions.where((F.col("note_id") == note_id) & (F.col("rev") == rev))
 
 
 def read_revision(revisions: DataFrame, note_id, rev: int = 0) -> DataFrame:

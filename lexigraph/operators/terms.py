@@ -9,12 +9,16 @@ from __future__ import annotations
 
 import gc
 import re
+from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..errors import NotFound
 from ..functions import text as T
 from ..storage import materialise
 from .ranking import max_normalised, reciprocal_rank_fusion, row_numbers
@@ -100,7 +104,7 @@ def phrase_costs(candidates: DataFrame, costs: DataFrame) -> DataFrame:
     total = F.aggregate("costs", F.lit(0.0), lambda a, x: a + x)
     cost = product / (F.greatest(F.lit(1), F.col("occurrences")) * (1 + total))
     both = candidates.join(sums, ["note_id", "lemma"], "left")
-    return both.select(*candidates.columns, F.when(F.col("costs").isNotNull(), 1 / (1 + cost)).otherwise(0.0).alias("yake"))
+    return both.select(*candidates.columns, inverted(F.when(F.col("costs").isNotNull(), cost)).alias("yake"))
 
 
 # ---- candidates ----
@@ -116,24 +120,45 @@ _BARE_VERBS = frozenset("is are was were be been being has have had do does did
 _TOKEN = re.compile(r"[A-Za-z0-9_+#][A-Za-z0-9_+#.'-]*|[^\sA-Za-z0-9]")
 
 
+_STOP = frozenset(T.STOP_WORDS)
+
+
+@lru_cache(maxsize=100_000)
+def word_class(word: str) -> str:
+    """What a word may be by itself: x nothing, P participle, J adjective, G a noun
+    or gerund, W a noun or verb, B either of the last two, N noun."""
+    low = word.lower().rstrip(".")
+    if not re.search("[A-Za-z]", word) or low in _STOP or _ADVERB.search(low) or low in _BARE_VERBS:
+        return "x"
+    if len(low) > 4 and _PARTICIPLE.search(low):
+        return "P"
+    if len(low) > 4 and _ADJECTIVE.search(low):
+        return "J"
+    if len(low) <= 5:
+        return "N"
+    gerund, verb = bool(_GERUND.search(low)), bool(_VERB.search(low))
+    return "B" if gerund and verb else "G" if gerund else "W" if verb else "N"
+
+
+@lru_cache(maxsize=100_000)
+def _modified(word: str) -> bool:
+    """Whether a participle before this word may modify it."""
+    low = word.lower()
+    return bool(low) and low not in _STOP and "a" <= low[0] <= "z"
+
+
 def tag(words: list[str]) -> list[str]:
     """A letter for each word: N noun, J adjective, V participle as modifier,
     x anything else. A small tagger by endings and neighbours."""
     out: list[str] = []
-    for i, word in enumerate(words):
-        low = word.lower().rstrip(".")
-        before = out[-1] if out else "x"
-        if not re.search("[A-Za-z]", word) or low in T.STOP_WORDS or _ADVERB.search(low) or low in _BARE_VERBS:
-            out.append("x")
-        elif _PARTICIPLE.search(low) and len(low) > 4:
-            follows = words[i + 1].lower() if i + 1 < len(words) else ""
-            out.append("V" if follows and follows not in T.STOP_WORDS and re.match("[a-z]", follows) else "x")
-        elif _ADJECTIVE.search(low) and len(low) > 4:
-            out.append("J")
-        elif _GERUND.search(low) and before not in "NJ" and len(low) > 5 or _VERB.search(low) and before == "N" and len(low) > 5:
-            out.append("x")
-        else:
-            out.append("N")
+    before = "x"
+    for kind, follows in zip(map(word_class, words), [*words[1:], ""], strict=False):
+        if kind == "P":
+            kind = "V" if _modified(follows) else "x"
+        elif kind in "GWB":
+            kind = "x" if kind in "GB" and before not in "NJ" or kind in "WB" and before == "N" else "N"
+        out.append(kind)
+        before = kind
     return out
 
 
@@ -142,11 +167,13 @@ def _spans(run: list[str], most: int) -> list[list[str]]:
     return [run, *([run[-1:]] if len(run) > 1 else []), *([run[-2:]] if len(run) > 2 else [])]
 
 
+@lru_cache(maxsize=100_000)
 def _lemma(text: str) -> str:
     words = [re.sub(r"^[.\-_]+|[.\-_]+$", "", w) for w in re.split(r"[^a-z0-9_+#.-]+", text.lower())]
     return " ".join(_singular(w) for w in words if len(w) > 1 and re.search("[a-z]", w))
 
 
+@lru_cache(maxsize=100_000)
 def _singular(w: str) -> str:
     if len(w) < 4 or re.search("(ss|us|is|as|os)$", w):
         return w
@@ -181,22 +208,44 @@ def noun_phrases(sentences: list[str], most: int = 4) -> list[dict]:
     return [{"position": i, "lemma": x["lemma"], "text": x["text"], "kind": "phrase" if x["words"] >= 3 else "keyword", "count": x["count"], "first_sentence": x["first_sentence"], "sentences": len(x["in"])} for i, x in enumerate(found.values())]
 
 
-CANDIDATES = "array<struct<position:int,lemma:string,text:string,kind:string,count:int,first_sentence:int,sentences:int,occurrences:int>>"
+def occurrences(text: str, phrases: list[str]) -> list[int]:
+    """How often each phrase occurs in text, overlaps of one with itself left
+    out: all phrases in one pass over the text."""
+    import ahocorasick
+
+    finder = ahocorasick.Automaton()
+    for p in phrases:
+        finder.add_word(p, (len(p), p))
+    found: dict[str, int] = dict.fromkeys(phrases, 0)
+    if len(finder):
+        finder.make_automaton()
+        free: dict[str, int] = {}
+        for end, (length, p) in finder.iter(text):
+            if end - length >= free.get(p, -1):
+                found[p] += 1
+                free[p] = end
+    return [found[p] for p in phrases]
+
+
+CANDIDATES = [("position", pa.int32()), ("lemma", pa.string()), ("text", pa.string()), ("kind", pa.string()), ("count", pa.int32()), ("first_sentence", pa.int32()), ("sentences", pa.int32()), ("occurrences", pa.int32())]
 
 
 def candidates(notes: DataFrame, most: int = 4) -> DataFrame:
     """Noun phrases of each note, with how often each reads so in its text."""
 
-    @F.pandas_udf(CANDIDATES)
-    def run(sentences: pd.Series, bodies: pd.Series) -> pd.Series:
-        out = []
-        for s, body in zip(sentences, bodies, strict=True):
-            low = (body or "").lower()
-            out.append([x | {"occurrences": low.count(x["text"].lower())} for x in noun_phrases([] if s is None else list(s), most)])
-        return pd.Series(out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(i, 64) for x in batches for i in range(0, x.num_rows, 64)):
+            at, rows = [], []
+            for i, (s, body) in enumerate(zip(b["ss"].to_pylist(), b["body"].to_pylist(), strict=True)):
+                found = noun_phrases(s or [], most)
+                times = occurrences((body or "").lower(), [x["text"].lower() for x in found])
+                at += [i] * len(found)
+                rows += [(*x.values(), n) for x, n in zip(found, times, strict=True)]
+            columns = list(zip(*rows, strict=True)) or [[] for _ in CANDIDATES]
+            yield pa.RecordBatch.from_arrays([b["note_id"].take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, (_, t) in zip(columns, CANDIDATES, strict=True)]], ["note_id", *[n for n, _ in CANDIDATES]])
 
-    found = run(T.sentences(T.strip_fenced(F.col("body"))), F.col("body"))
-    return notes.select(F.col("id").alias("note_id"), F.explode(found).alias("c")).select("note_id", "c.*")
+    cut = notes.select(F.col("id").alias("note_id"), T.sentences(T.strip_fenced(F.col("body"))).alias("ss"), "body")
+    return cut.mapInArrow(run, f"note_id {dict(notes.dtypes)['id']}, position int, lemma string, text string, kind string, count int, first_sentence int, sentences int, occurrences int")
 
 
 # ---- scores ----
@@ -387,6 +436,44 @@ def terms_of(note_terms: DataFrame, terms: DataFrame) -> DataFrame:
     return named.withColumn("place", F.row_number().over(w)).select("note_id", "place", "term", "kind", "score", "source")
 
 
+def find_term(terms: DataFrame, text: str) -> DataFrame:
+    """The term whose lemma text has."""
+    return terms.where(F.col("lemma") == T.lemma_key(F.lit(text)))
+
+
+def require_term(terms: DataFrame, text: str) -> DataFrame:
+    found = find_term(terms, text)
+    if found.isEmpty():
+        raise NotFound(f'no term "{text}"', {"term": text})
+    return found
+
+
+def inverted(cost: Column) -> Column:
+    """A cost, low for good keywords, as a score up to 1; 0 where there is none."""
+    return F.when(cost.isNotNull(), 1 / (1 + cost)).otherwise(0.0)
+
+
+def kind_of(words: Column) -> Column:
+    """Three words or more make a phrase."""
+    return F.when(words >= 3, "phrase").otherwise("keyword")
+
+
+def attach_manual(selected: DataFrame, matches: DataFrame) -> DataFrame:
+    """The terms of notes: those found by hand-made lists (note_id, term), always
+    and with score 1, and the selected ones (note_id, lemma, text, kind, score)
+    whose lemmas aren't among those."""
+    manual = matches.select("note_id", "term", T.lemma_key(F.col("term")).alias("lemma"), kind_of(F.size(F.split(T.trim_all(F.col("term")), r"\s+"))).alias("kind"), F.lit(1.0).alias("score"), F.lit("manual").alias("source"))
+    auto = selected.join(manual.select("note_id", "lemma").distinct(), ["note_id", "lemma"], "left_anti")
+    return manual.unionByName(auto.select("note_id", F.col("text").alias("term"), "lemma", "kind", "score", F.lit("auto").alias("source")))
+
+
+def vocabulary_view(terms: DataFrame, note_terms: DataFrame, config: dict, limit: int = 200) -> dict:
+    """The vocabulary, what may be promoted to it, and from which thresholds on."""
+    k = config["keywords"]
+    thresholds = {"min_df": k["promoteMinDf"], "min_score": k["promoteMinScore"]}
+    return {"terms": vocabulary(terms, limit), "candidates": promotion_candidates(note_terms, terms, **thresholds), "thresholds": thresholds}
+
+
 def gazetteer(terms: DataFrame) -> DataFrame:
     """Terms that are always looked for, the longest first."""
     return terms.where("source = 'manual' and not blocked").orderBy(F.length("term").desc(), "term")

@@ -1,23 +1,29 @@
 """Vector search and vector aggregates.
 
 Searching is a stated set of queries against all rows: each task multiplies its
-rows, batch by batch, with blocks of the queries' matrix and keeps its k best for
+rows, slice by slice, with blocks of the queries' matrix and keeps its k best for
 each query; only those are shuffled. The queries' matrix is sent to the tasks in
-blocks of at most ``BLOCK_BYTES``.
+blocks of at most ``BLOCK_BYTES``, and a slice has so few rows that its scores
+number ``CELLS`` at most. Queries of over ``SENT_BLOCKS`` blocks are dealt into
+blocks by hash; one block at a time is read, searched and written, so neither the
+driver nor a plan holds more, however many queries there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..errors import NotFound
+from ..storage import materialise
 from .ranking import top_k
 
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES, CELLS, SENT_BLOCKS = 64 << 20, 4 << 20, 8
 
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -32,7 +38,8 @@ def _best(qids: list, q: np.ndarray, k: int, floor: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = np.empty((len(qids), 0))
         ids = np.empty((len(qids), 0), np.int64)
-        for b in batches:
+        few = max(1, CELLS // len(qids))
+        for b in (x.slice(i, few) for x in batches for i in range(0, x.num_rows, few)):
             usable, rows = _matrix(b["vec"], q.shape[1])
             score = np.hstack([score, q @ rows.T])
             ids = np.hstack([ids, np.tile(b["id"].to_numpy(zero_copy_only=False)[usable], (len(qids), 1))])
@@ -48,18 +55,21 @@ def _best(qids: list, q: np.ndarray, k: int, floor: float | None):
 def search(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None = None) -> DataFrame:
     """queries (qid, vec), vectors (id, vec) of unit length. Returns (qid, doc,
     score, rank): each query's k nearest by dot product, none below floor."""
-    asked = sorted((str(r["qid"]), r["vec"]) for r in queries.select("qid", "vec").collect())
-    if not asked:
-        return queries.sparkSession.createDataFrame([], "qid string, doc long, score double, rank int")
-    dim = len(asked[0][1])
-    size = max(1, BLOCK_BYTES // (8 * dim))
     rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
-    out = None
-    for i in range(0, len(asked), size):
-        part = asked[i : i + size]
-        found = rows.mapInArrow(_best([x for x, _ in part], np.array([v for _, v in part], np.float64), k, floor), "qid string, doc long, score double")
-        out = found if out is None else out.unionByName(found)
-    return top_k(out, "qid", "score", "doc", k)
+    about = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    if not about["n"]:
+        return queries.sparkSession.createDataFrame([], "qid string, doc long, score double, rank int")
+    size = max(1, BLOCK_BYTES // (8 * about["dim"]))
+    best = lambda part: rows.mapInArrow(_best([x for x, _ in part], np.array([v for _, v in part], np.float64), k, floor), "qid string, doc long, score double")
+    listed = lambda df: sorted((str(r["qid"]), r["vec"]) for r in df.select("qid", "vec").collect())
+    if about["n"] <= SENT_BLOCKS * size:
+        asked = listed(queries)
+        found = [best(asked[i : i + size]) for i in range(0, len(asked), size)]
+    else:
+        n = -(-2 * about["n"] // size)
+        dealt = materialise(queries.select("qid", "vec", F.pmod(F.xxhash64("qid"), F.lit(n)).alias("block")).repartition("block").sortWithinPartitions("block"), "vector-queries")
+        found = [materialise(best(part), "vector-hits") for part in (listed(dealt.where(F.col("block") == i)) for i in range(n)) if part]
+    return top_k(reduce(DataFrame.unionByName, found), "qid", "score", "doc", k)
 
 
 def mean_vectors(rows: DataFrame, key: str, vec: str = "vec") -> DataFrame:
@@ -87,9 +97,54 @@ def prune_orphans(embeddings: DataFrame, chunks: DataFrame) -> DataFrame:
     return embeddings.join(chunks.select("space_id", "text_hash"), ["space_id", "text_hash"], "left_semi")
 
 
+def has_embedding(embeddings: DataFrame, space: str, text_hash: str) -> bool:
+    return not get_embedding(embeddings, space, text_hash).isEmpty()
+
+
+def get_embedding(embeddings: DataFrame, space: str, text_hash: str) -> DataFrame:
+    return embeddings.where((F.col("space_id") == space) & (F.col("text_hash") == text_hash))
+
+
+def stored_hashes(asked: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """asked (space_id, text_hash) with stored: whether each has a vector."""
+    have = embeddings.select("space_id", "text_hash", F.lit(True).alias("stored")).distinct()
+    return asked.join(have, ["space_id", "text_hash"], "left").withColumn("stored", F.coalesce("stored", F.lit(False)))
+
+
 def space_usage(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Passages, notes and vectors of each space."""
     used = chunks.groupBy("space_id").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("note_id").alias("notes"))
     stored = embeddings.groupBy("space_id").agg(F.count(F.lit(1)).alias("embeddings"))
     out = used.join(stored, "space_id", "full_outer")
     return out.select("space_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("chunks", "notes", "embeddings")])
+
+
+# ---- spaces ----
+
+
+def list_spaces(spaces: DataFrame) -> DataFrame:
+    return spaces.orderBy("created_at", "id")
+
+
+def ensure_space(spaces: DataFrame, new: DataFrame) -> DataFrame:
+    """spaces with new's rows whose ids it lacks, none of them active."""
+    fresh = new.dropDuplicates(["id"]).join(spaces.select("id"), "id", "left_anti")
+    return spaces.unionByName(fresh.withColumn("is_active", F.lit(False)).select(*spaces.columns))
+
+
+def active_space(spaces: DataFrame) -> DataFrame:
+    return spaces.where("is_active")
+
+
+def require_active_space(spaces: DataFrame) -> DataFrame:
+    found = active_space(spaces)
+    if found.isEmpty():
+        raise NotFound("no space is active", hint="index the notes first")
+    return found
+
+
+def space_view(spaces: DataFrame, chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """Each space with its passages, notes and vectors, 0 where it has none."""
+    counts = ("chunks", "notes", "embeddings")
+    used = space_usage(chunks, embeddings).withColumnRenamed("space_id", "id")
+    return spaces.join(used, "id", "left").select(*spaces.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])

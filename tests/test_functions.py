@@ -143,7 +143,7 @@ def test_text_columns(spark):
     )
     assert r.norm == "a\nb" and r.toks == ["c++", "and", "node.js", "net"]
     assert r.sing == ["shader", "box", "city", "glass", "status", "bus", "day"]
-    assert (r.script.script, r.script.char, r.script.index, r.script.line, r.script.column) == ("Han", "漢", 5, 2, 2) and r.clean is None
+    assert tuple(r.script[k] for k in ("script", "char", "index", "line", "column")) == ("Han", "漢", 5, 2, 2) and r.clean is None
     assert r.path == "A > B" and r.ext == [True, False, True, False] and (r.rel, r.up, r.none) == ("a/x/y", "y", None)
 
 
