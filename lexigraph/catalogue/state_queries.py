@@ -204,7 +204,7 @@ def trm8_embedding_scores(spark, sf_dir):
     rows = idx.vectors.join(idx.chunks.select("id", "note_id"), "id").select("note_id", "vec")
     means = V.mean_vectors(rows, "note_id")
     pool = M.candidate_pool(scored_terms(spark, sf_dir).select("note_id", "lemma", "text", "score"), 12, 6)
-    return M.embedding_scores(pool, means, embedding.find_model("hashing-64")).select("note_id", "lemma", F.round("embedding", 6).alias("embedding"))
+    return M.embedding_scores(pool, means, idx.model).select("note_id", "lemma", F.round("embedding", 6).alias("embedding"))
 
 
 @query(ctes(X.LINKS) + "SELECT src, dst FROM links WHERE NOT (src = 5 AND dst = 38)")

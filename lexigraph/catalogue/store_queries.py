@@ -60,14 +60,14 @@ def idx2_changed_notes(spark, sf_dir):
 
 
 @query(
-    ctes(X.NOTES, X.CHUNKS, X.ALIASES, X.REVISIONS)
-    + "SELECT (SELECT count(*) FROM notes) AS notes, (SELECT sum(rev)::BIGINT FROM (SELECT 1 AS rev FROM notes)) AS revs, (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM embeddings_of) AS embeddings, (SELECT count(*) FROM aliases) AS aliases, (SELECT count(*) FROM notes) AS tags"
+    ctes(X.NOTES, X.CHUNKS, X.ALIASES, X.REVISIONS, X.LINKS)
+    + "SELECT (SELECT count(*) FROM notes WHERE status = 'active') AS notes, (SELECT sum(rev)::BIGINT FROM (SELECT 1 AS rev FROM notes WHERE status = 'active')) AS revs, (SELECT count(*) FROM chunks) AS chunks, (SELECT count(*) FROM embeddings_of) AS embeddings, (SELECT count(*) FROM aliases) AS aliases, (SELECT count(*) FROM notes) AS tags, (SELECT count(*) FROM links) AS links"
 )
 def src14_fingerprint(spark, sf_dir):
     notes = X.notes(spark, sf_dir)
     dated = notes.withColumn("rev", F.lit(1)).withColumn("updated_at", F.timestamp_seconds("id"))
-    row = fingerprint_row(dated, X.chunks(spark, sf_dir), X.embeddings_of(spark, sf_dir), notes, X.aliases(spark, sf_dir), notes)
-    return row.select("notes", F.col("revs").cast("long").alias("revs"), "chunks", "embeddings", "aliases", "tags")
+    row = fingerprint_row(dated, X.chunks(spark, sf_dir), X.embeddings_of(spark, sf_dir), notes, X.aliases(spark, sf_dir), notes, X.links(spark, sf_dir), "s")
+    return row.select("notes", F.col("revs").cast("long").alias("revs"), "chunks", "embeddings", "aliases", "tags", "links")
 
 
 @query("SELECT vec_id, embedding::FLOAT[] AS vec, 256 AS bytes FROM embeddings")

@@ -23,6 +23,8 @@ class Model:
     dim: int
     kind: str  # hashing or neural
     query_prefix: str = ""
+    doc_prefix: str = ""
+    batch: int = 32  # texts that a neural encoder gets at once
 
 
 #: The hashing model is the one that runs here; neural ones are plugged in with
@@ -32,11 +34,17 @@ _ENCODERS: dict[str, Callable[[list[str]], np.ndarray]] = {}
 
 
 def register(model: Model, encode: Callable[[list[str]], np.ndarray]) -> None:
-    """Adds a neural model: encode gives a row of dim numbers for each text."""
+    """Adds a neural model: encode gives a row of dim numbers for each text, or the
+    vectors of its tokens (texts x tokens x dim) and their mask, of which the
+    mean is taken."""
     MODELS[model.name] = model
     _ENCODERS[model.name] = encode
 
 
+def list_models() -> list[Model]:
+    return list(MODELS.values())
+
+
 def find_model(name: str) -> Model:
     if name not in MODELS:
         raise NotFound(f'no model "{name}"', {"model": name}, f"known: {', '.join(MODELS)}")
@@ -66,10 +74,20 @@ def hashed_vector(text: str, dim: int) -> np.ndarray:
     return (v / norm).astype(np.float32) if norm else v
 
 
+def pooled(given) -> np.ndarray:
+    """Rows as they are, or the means of the tokens that a mask marks."""
+    if not isinstance(given, tuple):
+        return np.asarray(given, np.float32)
+    hidden, mask = np.asarray(given[0], np.float64), np.asarray(given[1], np.float64)[..., None]
+    return ((hidden * mask).sum(axis=1) / np.maximum(mask.sum(axis=1), 1)).astype(np.float32)
+
+
 def encode(texts: list[str], model: Model, query: bool = False) -> list[np.ndarray]:
     if model.kind == "hashing":
         return [hashed_vector(t, model.dim) for t in texts]
-    rows = np.asarray(_ENCODERS[model.name]([model.query_prefix * query + t for t in texts]), np.float32)
+    prefix = model.query_prefix if query else model.doc_prefix
+    parts = [pooled(_ENCODERS[model.name]([prefix + t for t in texts[i : i + model.batch]])) for i in range(0, len(texts), model.batch)]
+    rows = np.concatenate(parts) if parts else np.empty((0, model.dim), np.float32)
     if rows.shape != (len(texts), model.dim):
         raise ValueError(f"{model.name} gave vectors of shape {rows.shape}")
     norms = np.sqrt((rows.astype(np.float64) ** 2).sum(axis=1, keepdims=True))

@@ -85,12 +85,12 @@ def fuse(scored: DataFrame, chunks: DataFrame, meta: DataFrame, notes: DataFrame
     return out.select("qid", "id", "title", "score", "why", F.coalesce("snippets", F.array().cast(f"array<{SNIPPET}>")).alias("snippets"))
 
 
-def apply_graph(hits: DataFrame, edges: DataFrame, notes: DataFrame, config: dict) -> DataFrame:
+def apply_graph(hits: DataFrame, edges: DataFrame, notes: DataFrame, config: dict, once: bool = False) -> DataFrame:
     """hits with their neighbours' boosts, and the notes that several link with."""
     g = config["search"]["graph"]
     if g["boost"] <= 0 and g["expandDepth"] <= 0:
         return hits.withColumn("via", F.lit(None).cast("array<string>"))
-    boosts, extra = graph.adjust(hits.select("qid", "id", "score"), edges, g["boost"], g["expandDepth"] > 0, g["expandMinVotes"])
+    boosts, extra = graph.adjust(hits.select("qid", "id", "score"), edges, g["boost"], g["expandDepth"] > 0, g["expandMinVotes"], once)
     up = F.coalesce("boost", F.lit(0.0))
     why = F.col("why").withField("graph", F.round(up, 6))
     boosted = hits.join(boosts, ["qid", "id"], "left").select("qid", "id", "title", (F.col("score") + up).alias("score"), why.alias("why"), "snippets", F.lit(None).cast("array<string>").alias("via"))

@@ -72,7 +72,7 @@ def tune(index: S.SearchIndex, golden: DataFrame, config: dict | None = None, n:
     patches = [{}, *trials(config, n, seed)]
     queries = S.check_gate(golden.select("qid", "q"))
     scored = materialise(S.retrieve(index, queries, config, (1.0, 1.0)), "tune-passes")
-    named = materialise(lexical.matches(queries, index.note_words), "tune-names")
+    named = materialise(lexical.matches(queries, index.note_words, S.tolerance_of(config, None), require_all=True), "tune-names")
 
     def means(on: DataFrame, which: list[int]) -> dict[int, float]:
         out, ids = None, on.select("qid")

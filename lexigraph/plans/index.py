@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,8 @@ class Indexed:
     chunks: DataFrame
     embeddings: DataFrame
     links: DataFrame
-    report: DataFrame
+    report: DataFrame  # change, notes
+    counters: DataFrame  # name, n
 
 
 def cut(notes: DataFrame, space: str, settings: dict | None = None, counter: str = "hashing") -> DataFrame:
@@ -52,6 +54,23 @@ def embed_missing(chunks: DataFrame, stored: DataFrame, model: embedding.Model)
     return new.select("space_id", "text_hash", embedding.embed(F.col("embed_text"), model).alias("vec"))
 
 
+def counters(notes: DataFrame, change: DataFrame, fresh: DataFrame, stored: DataFrame, stored_here: DataFrame, kept: DataFrame, links: DataFrame) -> DataFrame:
+    """(name, n) of a run: notes seen, cut anew, unchanged, skipped and dropped,
+    passages, distinct texts, vectors made, reused and pruned, and links. stored:
+    all vectors before, stored_here those of this space, kept all after."""
+    keys = ["space_id", "text_hash"]
+    texts = fresh.select(*keys).distinct()
+    one = F.count(F.lit(1))
+    total = notes.agg(one.alias("notes_total"), F.count_if((F.col("status") != "active") | (F.col("lang") != "en")).alias("notes_skipped"))
+    moved = change.agg(F.count_if(F.col("change").isin("new", "changed")).alias("notes_chunked"), F.count_if(F.col("change") == "current").alias("notes_unchanged"), F.count_if(F.col("change") == "retired").alias("notes_dropped"))
+    parts = [total, moved, fresh.agg(one.alias("chunks")), texts.agg(one.alias("unique_texts"))]
+    parts.append(texts.join(stored_here.select(*keys).withColumn("old", F.lit(True)).distinct(), keys, "left").agg(F.count_if(F.col("old").isNull()).alias("embedded"), F.count_if(F.col("old")).alias("reused")))
+    parts.append(stored.join(kept.select(*keys), keys, "left_anti").agg(one.alias("pruned_vectors")))
+    parts.append(L.sync_totals(links))
+    long = [p.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("long").alias("n")) for c in p.columns])).alias("r")).select("r.*") for p in parts]
+    return reduce(DataFrame.unionByName, long)
+
+
 def index(notes: DataFrame, aliases: DataFrame, adopted: DataFrame, stored_chunks: DataFrame, stored_embeddings: DataFrame, model: embedding.Model, settings: dict | None = None) -> Indexed:
     """A whole run: what is stored is only replaced where it changed."""
     settings = settings or DEFAULTS["chunking"]
@@ -62,7 +81,8 @@ def index(notes: DataFrame, aliases: DataFrame, adopted: DataFrame, stored_chunk
     vectors_now = stored_embeddings.unionByName(embed_missing(fresh, stored_embeddings, model))
     kept = vectors.prune_orphans(vectors_now, chunks.unionByName(stored_chunks.where(F.col("space_id") != space)))
     report = change.groupBy("change").agg(F.count(F.lit(1)).alias("notes"))
-    return Indexed(chunks, kept, L.rebuild(notes, aliases, adopted), report)
+    links = L.rebuild(notes, aliases, adopted)
+    return Indexed(chunks, kept, links, report, counters(notes, change, fresh, stored_embeddings, stored_embeddings.where(F.col("space_id") == space), kept, links))
 
 
 def set_active(spaces: DataFrame, space: str) -> DataFrame:

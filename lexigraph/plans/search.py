@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -12,6 +13,7 @@ from ..errors import BadRequest
 from ..functions import embedding
 from ..functions import text as T
 from ..operators import fusion, graph, lexical, vectors
+from ..storage import materialise
 
 CHUNK_BOOSTS = {"text": 1.0, "heading_path": 1.5}
 
@@ -45,6 +47,37 @@ def build(notes: DataFrame, chunks: DataFrame, embeddings: DataFrame, attributes
     return SearchIndex(active, mine, vecs, words, named, edges, model)
 
 
+#: What a stored index consists of; its version changes when what these hold does.
+KINDS, VERSION = ("notes", "chunks", "vectors", "chunk_postings", "chunk_fields", "note_postings", "note_fields", "edges"), "2"
+
+
+def _tables(index: SearchIndex) -> dict[str, DataFrame]:
+    parts = (index.notes, index.chunks, index.vectors, index.chunk_words.postings, index.chunk_words.fields, index.note_words.postings, index.note_words.fields, index.edges)
+    return dict(zip(KINDS, parts, strict=True))
+
+
+def _of(t: dict[str, DataFrame], model: embedding.Model) -> SearchIndex:
+    words = lexical.LexicalIndex(t["chunk_postings"], t["chunk_fields"]), lexical.LexicalIndex(t["note_postings"], t["note_fields"])
+    return SearchIndex(t["notes"], t["chunks"], t["vectors"], *words, t["edges"], model)
+
+
+def kept(index: SearchIndex) -> SearchIndex:
+    """The index with its tables written once, for many searches."""
+    return _of({k: materialise(df, f"index-{k}") for k, df in _tables(index).items()}, index.model)
+
+
+def stored(project, space: str, model: embedding.Model, make: Callable[[], SearchIndex]) -> SearchIndex:
+    """A project's index: its snapshots where they were made by this version from
+    the data as they are, else made anew and stored."""
+    mark = project.fingerprint(space)
+    found = {k: project.load_snapshot(space, k, VERSION, mark) for k in KINDS}
+    if any(df is None for df in found.values()):
+        for k, df in _tables(make()).items():
+            project.save_snapshot(space, k, VERSION, mark, df)
+        found = {k: project.load_snapshot(space, k, VERSION, mark) for k in KINDS}
+    return _of(found, model)
+
+
 def check_gate(queries: DataFrame) -> DataFrame:
     """Queries in a rejected script fail as they pass."""
     found = T.blocked_script(F.col("q"))
@@ -52,40 +85,48 @@ def check_gate(queries: DataFrame) -> DataFrame:
     return queries.withColumn("q", F.when(found.isNotNull(), F.raise_error(message).cast("string")).otherwise(F.col("q")))
 
 
-def retrieve(index: SearchIndex, queries: DataFrame, config: dict, weights: tuple[float, float], fuzzy: bool = False) -> DataFrame:
+def tolerance_of(config: dict, fuzzy: bool | None) -> int:
+    """Edits that a word may be away from the one asked for: the configuration's,
+    unless a search says otherwise."""
+    return config["search"]["tolerance"] if fuzzy is not False else 0
+
+
+def retrieve(index: SearchIndex, queries: DataFrame, config: dict, weights: tuple[float, float], fuzzy: bool | None = None) -> DataFrame:
     """Scored passages of both passes, each cut to its best before they meet."""
     limits = config["search"]["limits"]
     k = limits["candidateK"]
     spark = queries.sparkSession
     nothing = spark.createDataFrame([], "qid string, doc long, score double, rank int")
-    tolerance = config["search"]["tolerance"] if fuzzy else 0
-    lex = lexical.search(queries, index.chunk_words, CHUNK_BOOSTS, k, tolerance=tolerance) if weights[0] > 0 else nothing
+    lex = lexical.search(queries, index.chunk_words, CHUNK_BOOSTS, k, tolerance=tolerance_of(config, fuzzy)) if weights[0] > 0 else nothing
     asked = queries.select("qid", embedding.embed(F.col("q"), index.model, query=True).alias("vec"))
     vec = vectors.search(asked, index.vectors, k, limits["minSimilarity"]) if weights[1] > 0 else nothing
     return fusion.merge_passes(lex, vec, *weights)
 
 
-def search(index: SearchIndex, queries: DataFrame, config: dict | None = None, mode: str = "hybrid", k: int | None = None, expand_links: bool = False, fuzzy: bool = False) -> DataFrame:
+def search(index: SearchIndex, queries: DataFrame, config: dict | None = None, mode: str = "hybrid", k: int | None = None, expand_links: bool = False, fuzzy: bool | None = None) -> DataFrame:
     """queries (qid, q). Returns hits (qid, rank, id, title, score, why,
-    snippets, via), each query's best first; modes hybrid, semantic, lexical."""
+    snippets, via), each query's best first; modes hybrid, semantic, lexical.
+    What the passes found, and the hits before the graph, are each read several
+    times and written once."""
     if mode not in ("hybrid", "semantic", "lexical"):
         raise BadRequest(f'no mode "{mode}" of passages', {"mode": mode}, "exact, id and graph searches have functions of their own")
     config = config or DEFAULTS
     weights = resolve_weights(config, mode)
     queries = check_gate(queries)
-    scored = retrieve(index, queries, config, weights, fuzzy)
-    named = lexical.matches(queries, index.note_words, config["search"]["tolerance"] if fuzzy else 0)
-    out = rank(index, scored, named, config, weights, k)
+    scored = materialise(retrieve(index, queries, config, weights, fuzzy), "search-passes")
+    named = lexical.matches(queries, index.note_words, tolerance_of(config, fuzzy), require_all=True)
+    out = rank(index, scored, named, config, weights, k, once=True)
     return graph.attach_neighbours(out, index.edges, index.notes) if expand_links else out
 
 
-def rank(index: SearchIndex, scored: DataFrame, named: DataFrame, config: dict, weights: tuple[float, float], k: int | None = None) -> DataFrame:
+def rank(index: SearchIndex, scored: DataFrame, named: DataFrame, config: dict, weights: tuple[float, float], k: int | None = None, once: bool = False) -> DataFrame:
     """Hits of what the passes found (scored) and of matches in metadata
     (named), under a configuration. A pure vector search uses no metadata."""
     s = config["search"]
     meta = lexical.rank(named, metadata_boosts(config), s["limits"]["candidateK"], require_all=True) if weights[0] > 0 else named.sparkSession.createDataFrame([], "qid string, doc string, score double")
     hits = fusion.fuse(scored, index.chunks, meta, index.notes, config, weights)
-    return fusion.finish(fusion.apply_graph(hits, index.edges, index.notes, config), k or s["limits"]["resultK"])
+    hits = materialise(hits, "search-hits") if once else hits
+    return fusion.finish(fusion.apply_graph(hits, index.edges, index.notes, config, once), k or s["limits"]["resultK"])
 
 
 def check_model(space_model: str, requested: str) -> None:

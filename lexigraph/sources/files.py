@@ -118,7 +118,8 @@ def export_actions(wanted: DataFrame, present: DataFrame) -> DataFrame:
 
 
 def apply_export(spark: SparkSession, actions: DataFrame, folder: str) -> dict[str, int]:
-    """Writes and removes files, each by the task that has its row."""
+    """Writes and removes files row by row through the driver, which holds one
+    file's text at a time: the folder is one person's notes, not a corpus."""
     rows = actions.where("action in ('created', 'updated')").select("filename", "contents")
     jvm = spark.sparkContext._jvm
     fs_path = jvm.org.apache.hadoop.fs.Path

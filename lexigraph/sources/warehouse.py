@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..errors import BadRequest, Conflict, NotFound
+from ..functions import text as T
 
 PREFIX = re.compile(r"^[A-Z][A-Z0-9]{1,3}$")
 
@@ -113,28 +114,46 @@ class Project:
 
     # ---- snapshots of the search index ----
 
-    def fingerprint(self) -> str:
-        return fingerprint(self.load("notes"), self.load("chunks"), self.load("embeddings"), self.load("note_terms"), self.load("aliases"), self.load("tags"))
-
-    def save_snapshot(self, name: str, df: DataFrame, mark: str) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/snapshots/{mark}/{name}")
-
-    def load_snapshot(self, name: str, mark: str) -> DataFrame | None:
-        path = f"{self.root}/snapshots/{mark}/{name}"
-        return self.spark.read.parquet(path) if self.files.exists(f"{path}/_SUCCESS") else None
-
-    def snapshots(self) -> list[str]:
-        return self.files.names(f"{self.root}/snapshots")
-
-    def clear_snapshots(self) -> None:
-        self.files.delete(f"{self.root}/snapshots")
-
-
-def fingerprint_row(notes: DataFrame, chunks: DataFrame, embeddings: DataFrame, note_terms: DataFrame, aliases: DataFrame, tags: DataFrame) -> DataFrame:
-    """One row: counts and latest changes of all that an index is made from, and
-    their hash. Each part is one partial aggregate."""
-    parts = [notes.agg(F.count(F.lit(1)).alias("notes"), F.coalesce(F.max("updated_at").cast("string"), F.lit("")).alias("updated"), F.coalesce(F.sum("rev"), F.lit(0)).alias("revs"))]
-    parts += [df.agg(F.count(F.lit(1)).alias(name)) for name, df in (("chunks", chunks), ("embeddings", embeddings), ("note_terms", note_terms), ("aliases", aliases), ("tags", tags))]
+    def fingerprint(self, space: str) -> str:
+        return fingerprint_row(*(self.load(t) for t in ("notes", "chunks", "embeddings", "note_terms", "aliases", "tags", "links")), space).first()["hash"]
+
+    def _snapshot(self, space: str, kind: str) -> str:
+        return f"{self.root}/snapshots/{space}/{kind}"
+
+    def save_snapshot(self, space: str, kind: str, version: str, mark: str, df: DataFrame) -> None:
+        """One snapshot of each kind in a space: of which version of the engine's
+        index, and of which data (their fingerprint)."""
+        here, part = self._snapshot(space, kind), f"s-{uuid.uuid4().hex}"
+        df.write.parquet(f"{here}/{part}")
+        self.files.write(f"{here}/ABOUT", json.dumps({"version": version, "mark": mark, "part": part}))
+        for old in self.files.names(here):
+            if old.startswith("s-") and old != part:
+                self.files.delete(f"{here}/{old}")
+
+    def load_snapshot(self, space: str, kind: str, version: str, mark: str) -> DataFrame | None:
+        """The snapshot, if this version made it from these data."""
+        here = self._snapshot(space, kind)
+        about = json.loads(self.files.read(f"{here}/ABOUT")) if self.files.exists(f"{here}/ABOUT") else {}
+        return self.spark.read.parquet(f"{here}/{about['part']}") if (about.get("version"), about.get("mark")) == (version, mark) else None
+
+    def snapshots(self) -> list[tuple[str, str, str]]:
+        """(space, kind, version), in order."""
+        top = f"{self.root}/snapshots"
+        found = [(s, k, f"{top}/{s}/{k}/ABOUT") for s in self.files.names(top) for k in self.files.names(f"{top}/{s}")]
+        return [(s, k, json.loads(self.files.read(p))["version"]) for s, k, p in found if self.files.exists(p)]
+
+    def clear_snapshots(self, space: str | None = None) -> None:
+        self.files.delete(f"{self.root}/snapshots" + (f"/{space}" if space else ""))
+
+
+def fingerprint_row(notes: DataFrame, chunks: DataFrame, embeddings: DataFrame, note_terms: DataFrame, aliases: DataFrame, tags: DataFrame, links: DataFrame, space: str) -> DataFrame:
+    """One row: counts and latest changes of all that a space's index is made
+    from, and their hash: active notes, the space's passages and vectors, terms,
+    aliases, tags and links. Each part is one partial aggregate."""
+    active, mine = notes.where("status = 'active'"), F.col("space_id") == space
+    parts = [active.agg(F.count(F.lit(1)).alias("notes"), F.coalesce(F.max("updated_at").cast("string"), F.lit("")).alias("updated"), F.coalesce(F.sum("rev"), F.lit(0)).alias("revs"))]
+    rest = (("chunks", chunks.where(mine)), ("embeddings", embeddings.where(mine)), ("note_terms", note_terms), ("aliases", aliases), ("tags", tags), ("links", links))
+    parts += [df.agg(F.count(F.lit(1)).alias(name)) for name, df in rest]
     out = parts[0].withColumn("one", F.lit(1))
     for p in parts[1:]:
         out = out.join(p.withColumn("one", F.lit(1)), "one")
@@ -142,18 +161,12 @@ def fingerprint_row(notes: DataFrame, chunks: DataFrame, embeddings: DataFrame,
     return out.withColumn("hash", F.sha2(F.to_json(F.struct(*out.columns)), 256))
 
 
-def fingerprint(*tables: DataFrame) -> str:
-    return fingerprint_row(*tables).first()["hash"]
-
-
 # ---- projects ----
 
 
-def derive_prefix(name: str) -> str:
-    words = [w for w in re.split(r"[^A-Za-z0-9]+", name) if w[:1].isalpha()]
-    initials = "".join(w[0].upper() for w in words)
-    found = initials[:4] if len(initials) >= 2 else (words[0][:3].upper() if words else "")
-    if not PREFIX.match(found):
+def prefix_for(spark: SparkSession, name: str) -> str:
+    found = spark.range(1).select(T.derive_prefix(F.lit(name))).first()[0]
+    if found is None:
         raise BadRequest(f'no id prefix in "{name}"', {"name": name}, "give one of 2 to 4 capital letters or digits")
     return found
 
@@ -178,7 +191,7 @@ class Registry:
         entries = self._read()
         if name in entries:
             raise Conflict(f'a project "{name}" exists', {"name": name})
-        prefix = prefix or derive_prefix(name)
+        prefix = prefix or prefix_for(self.spark, name)
         if not PREFIX.match(prefix):
             raise BadRequest(f'"{prefix}" is no id prefix', {"prefix": prefix})
         entries[name] = {"prefix": prefix, "root": root or f"{self.home}/{name}"}

@@ -7,6 +7,7 @@ runs one batch at a time and picks up what arrived meanwhile in the next.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,20 +49,21 @@ def start(stream: DataFrame, checkpoint: str, index: Callable[[DataFrame, int],
 
 
 def write_bursts(revisions: DataFrame, gap: str = "10 minutes", late: str = "1 hour") -> DataFrame:
-    """Sessions of an author's writes with no gap between them; on a stream
-    those later than the watermark are dropped by Structured Streaming."""
+    """Sessions of an author's writes with no gap between them, and how many notes
+    each wrote: exactly, on a stream too (which knows no distinct counts, so the
+    burst's notes are a set; a burst is bounded by its gaps). On a stream those
+    later than the watermark are dropped by Structured Streaming."""
     timed = revisions.withWatermark("created_at", late) if revisions.isStreaming else revisions
-    return timed.groupBy("author", F.session_window("created_at", gap).alias("s")).agg(F.count(F.lit(1)).alias("writes"), F.approx_count_distinct("note_id").alias("notes") if revisions.isStreaming else F.count_distinct("note_id").alias("notes")).select(
-        "author", F.col("s.start").alias("began"), F.col("s.end").alias("ended"), "writes", "notes"
-    )
+    notes = F.size(F.collect_set("note_id")).cast("long") if revisions.isStreaming else F.count_distinct("note_id")
+    return timed.groupBy("author", F.session_window("created_at", gap).alias("s")).agg(F.count(F.lit(1)).alias("writes"), notes.alias("notes")).select("author", F.col("s.start").alias("began"), F.col("s.end").alias("ended"), "writes", "notes")
 
 
 class Pool:
     """Tables of the projects used last, kept in memory while their data's
-    fingerprint stays."""
+    fingerprint stays, and until nobody has used them for idle seconds."""
 
-    def __init__(self, size: int = 4):
-        self.size, self._held = size, {}
+    def __init__(self, size: int = 4, idle: float = 900, clock: Callable[[], float] = time.monotonic):
+        self.size, self.idle, self.clock, self._held = size, idle, clock, {}
 
     def get(self, name: str, mark: str, make: Callable[[], DataFrame]) -> DataFrame:
         held = self._held.pop(name, None)
@@ -69,11 +71,18 @@ class Pool:
             if held is not None:
                 held[1].unpersist()
             held = (mark, make().persist())
-        self._held[name] = held
+        self._held[name] = (*held[:2], self.clock())
         while len(self._held) > self.size:
             self._held.pop(next(iter(self._held)))[1].unpersist()
         return held[1]
 
+    def evict_idle(self) -> list[str]:
+        """Lets go what was not used for a while; its names."""
+        due = [n for n, held in self._held.items() if self.clock() - held[2] >= self.idle]
+        for n in due:
+            self.release(n)
+        return due
+
     def release(self, name: str) -> None:
         held = self._held.pop(name, None)
         if held is not None:

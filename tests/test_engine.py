@@ -9,7 +9,7 @@ from lexigraph.functions import embedding
 from lexigraph.operators import bridge, graph, links, notes, revisions, terms
 from lexigraph.plans import evaluate, index, search
 from lexigraph.sources import files
-from lexigraph.sources.warehouse import Registry, derive_prefix
+from lexigraph.sources.warehouse import Registry, prefix_for
 from lexigraph.streaming import reindex
 
 BODIES = {
@@ -50,6 +50,9 @@ def test_index_run(spark, built, note_rows):
     again = index.index(note_rows, spark.createDataFrame([], "note_id string, alias string"), spark.createDataFrame([], "note_id string, source_path string"), run.chunks, run.embeddings, model)
     assert {(r.change, r.notes) for r in again.report.collect()} == {("current", 4)}
     assert again.embeddings.count() == run.embeddings.count()
+    first, second = ({r.name: r.n for r in x.counters.collect()} for x in (run, again))
+    assert first["notes_total"] == first["notes_chunked"] == 4 and first["embedded"] == first["unique_texts"] == run.embeddings.count() and (first["links"], first["dangling"]) == (5, 1)
+    assert second["notes_unchanged"] == 4 and second["reused"] == first["embedded"] and second["embedded"] == second["pruned_vectors"] == second["notes_dropped"] == 0
 
 
 def test_search_order_and_parts(spark, search_index):
@@ -72,7 +75,8 @@ def test_search_order_and_parts(spark, search_index):
 def test_typos(spark, search_index):
     asked = spark.createDataFrame([("a", "filamnet"), ("b", "tungstin")], "qid string, q string")
     hits = search.search(search_index, asked, mode="lexical", fuzzy=True).collect()
-    assert {r.qid for r in hits} == {"b"}
+    assert {r.qid for r in hits} == {"b"} == {r.qid for r in search.search(search_index, asked, mode="lexical").collect()}
+    assert not search.search(search_index, asked, mode="lexical", fuzzy=False).collect()
 
 
 def test_tuning(spark, search_index):
@@ -119,19 +123,28 @@ def test_warehouse(spark, tmp_path, note_rows):
     assert project.load("notes").count() == 0
     full = note_rows.select("id", "title", "body", F.sha2("body", 256).alias("body_hash"), F.lit(None).cast("string").alias("outline"), "lang", "status", "rev", F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"))
     project.save("notes", full)
-    mark = project.fingerprint()
+    mark = project.fingerprint("s")
     project.save("notes", project.load("notes").withColumn("rev", F.col("rev") + 1))
-    assert project.fingerprint() != mark and project.load("notes").count() == 4 and len(project.versions("notes")) == 2
+    assert project.fingerprint("s") != mark and project.load("notes").count() == 4 and len(project.versions("notes")) == 2
     assert project.vacuum("notes") == 1 and project.load("notes").count() == 4
     with pytest.raises(Exception, match="notes.status"):
         project.save("notes", full.withColumn("status", F.lit("gone")))
-    project.save_snapshot("words", note_rows, mark)
-    assert project.load_snapshot("words", mark).count() == 4 and project.load_snapshot("words", "other") is None and project.snapshots() == [mark]
+    mark = project.fingerprint("s")
+    project.save("links", spark.createDataFrame([("LT-0001", "LT-0002", "", None, "wikilink", True)], "src string, dst string, anchor string, heading string, kind string, resolved boolean"))
+    linked = project.fingerprint("s")
+    project.save("notes", project.load("notes").withColumn("status", F.when(F.col("id") == "LT-0001", "archived").otherwise(F.col("status"))))
+    assert len({mark, linked, project.fingerprint("s")}) == 3
+    for version in ("1", "2"):
+        project.save_snapshot("s", "words", version, mark, note_rows)
+    assert project.load_snapshot("s", "words", "2", mark).count() == 4 and project.snapshots() == [("s", "words", "2")]
+    assert project.load_snapshot("s", "words", "2", "other") is None and project.load_snapshot("s", "words", "1", mark) is None
+    project.clear_snapshots("s")
+    assert project.load_snapshot("s", "words", "2", mark) is None
     project.clear_snapshots()
     reg.remove("Lamp Tests", delete=True)
-    assert reg.names() == [] and derive_prefix("kb") == "KB" and derive_prefix("Shaders") == "SHA"
+    assert reg.names() == [] and prefix_for(spark, "kb") == "KB" and prefix_for(spark, "Shaders") == "SHA"
     with pytest.raises(BadRequest):
-        derive_prefix("42")
+        prefix_for(spark, "42")
 
 
 def test_files_round_trip(spark, tmp_path, note_rows):
@@ -226,6 +239,14 @@ def test_pool(spark):
     assert len(made) == 2
     pool.get("q", "x", make)
     pool.release("q")
+    now = [0.0]
+    pool = reindex.Pool(4, idle=10, clock=lambda: now[0])
+    pool.get("a", "x", make)
+    now[0] = 6.0
+    pool.get("b", "x", make)
+    now[0] = 11.0
+    assert pool.evict_idle() == ["a"] and pool.evict_idle() == []
+    pool.release("b")
 
 
 def test_adoption_report(spark):

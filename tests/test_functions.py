@@ -119,6 +119,27 @@ def test_embedder():
     assert a == embedding.space_id(m, {"y": 2, "x": 1}) != embedding.space_id(m, {"x": 2, "y": 2}) and len(a) == 16
 
 
+def test_neural_seam():
+    seen = []
+
+    def tokens(texts):
+        seen.append(len(texts))
+        hidden = np.array([[[len(t), 0.0, 1.0], [1.0, 1.0, 1.0], [9.0, 9.0, 9.0]] for t in texts])
+        return hidden, np.array([[1, 1, 0]] * len(texts))
+
+    m = embedding.Model("test-pooled", 3, "neural", query_prefix="q: ", doc_prefix="doc: ", batch=2)
+    embedding.register(m, tokens)
+    out = embedding.encode(["a", "bb", "ccc"], m)
+    assert seen == [2, 1] and m in embedding.list_models()
+    for t, v in zip(("doc: a", "doc: bb", "doc: ccc"), out, strict=True):
+        want = np.array([(len(t) + 1) / 2, 0.5, 1.0])
+        assert np.allclose(v, want / np.linalg.norm(want), atol=1e-6)
+    assert np.allclose(embedding.encode(["x"], m, query=True)[0] * 0 + 1, 1) and abs(np.linalg.norm(embedding.encode(["x"], m, query=True)[0]) - 1) < 1e-6
+    embedding.register(embedding.Model("test-bad", 4, "neural"), lambda ts: np.ones((len(ts), 3)))
+    with pytest.raises(ValueError, match="shape"):
+        embedding.encode(["x"], embedding.find_model("test-bad"))
+
+
 def test_settings():
     c = config.apply_patch(config.defaults(), {"search.graph.boost": 0.3})
     assert config.read(c, "search.graph.boost") == 0.3 and config.read(config.DEFAULTS, "search.graph.boost") == 0.15
