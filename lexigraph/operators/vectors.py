@@ -44,7 +44,13 @@ def _best(qids: list, q: np.ndarray, k: int, floor: float | None):
             score = np.hstack([score, q @ rows.T])
             ids = np.hstack([ids, np.tile(b["id"].to_numpy(zero_copy_only=False)[usable], (len(qids), 1))])
             if score.shape[1] > k:
-                order = np.lexsort((ids, -np.round(score, 9)), axis=1)[:, :k]
+                shown = np.round(score, 9)
+                # Only what is no worse than the k-th best is put in order.
+                least = -np.partition(-shown, k - 1, axis=1)[:, k - 1]
+                most = int((shown >= least[:, None]).sum(axis=1).max())
+                near = np.argpartition(-shown, min(most, shown.shape[1] - 1), axis=1)[:, :most] if most < shown.shape[1] else np.tile(np.arange(shown.shape[1]), (len(shown), 1))
+                shown, held = np.take_along_axis(shown, near, 1), np.take_along_axis(ids, near, 1)
+                order = np.take_along_axis(near, np.lexsort((held, -shown), axis=1)[:, :k], 1)
                 score, ids = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
         at, which = np.nonzero(score >= floor) if floor is not None else np.nonzero(np.ones_like(score, bool))
         yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in at], pa.string()), pa.array(ids[at, which], pa.int64()), pa.array(score[at, which])], ["qid", "doc", "score"])
