@@ -66,12 +66,12 @@ def fnv1a(text: str) -> int:
 
 def hashed_vector(text: str, dim: int) -> np.ndarray:
     """A bucket for each word, and half a one in a second bucket; unit length."""
-    v = np.zeros(dim, np.float32)
+    v = np.zeros(dim)
     for word in re.findall(r"[a-z0-9]+", text.lower()):
         v[fnv1a(word) % dim] += 1
         v[fnv1a("~" + word) % dim] += 0.5
-    norm = float(np.sqrt((v.astype(np.float64) ** 2).sum()))
-    return (v / norm).astype(np.float32) if norm else v
+    norm = float(np.sqrt((v**2).sum()))
+    return (v / norm if norm else v).astype(np.float32)
 
 
 def pooled(given) -> np.ndarray:
@@ -82,11 +82,11 @@ def pooled(given) -> np.ndarray:
     return ((hidden * mask).sum(axis=1) / np.maximum(mask.sum(axis=1), 1)).astype(np.float32)
 
 
-def encode(texts: list[str], model: Model, query: bool = False) -> list[np.ndarray]:
+def encode(texts: list[str], model: Model, query: bool = False, encoder: Callable | None = None) -> list[np.ndarray]:
     if model.kind == "hashing":
         return [hashed_vector(t, model.dim) for t in texts]
     prefix = model.query_prefix if query else model.doc_prefix
-    parts = [pooled(_ENCODERS[model.name]([prefix + t for t in texts[i : i + model.batch]])) for i in range(0, len(texts), model.batch)]
+    parts = [pooled((encoder or _ENCODERS[model.name])([prefix + t for t in texts[i : i + model.batch]])) for i in range(0, len(texts), model.batch)]
     rows = np.concatenate(parts) if parts else np.empty((0, model.dim), np.float32)
     if rows.shape != (len(texts), model.dim):
         raise ValueError(f"{model.name} gave vectors of shape {rows.shape}")
@@ -95,9 +95,11 @@ def encode(texts: list[str], model: Model, query: bool = False) -> list[np.ndarr
 
 
 def embed(text: Column, model: Model, query: bool = False) -> Column:
+    encoder = _ENCODERS.get(model.name)  # goes with the function: tasks have a registry of their own
+
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(encode([t or "" for t in texts], model, query))
+        return pd.Series(encode([t or "" for t in texts], model, query, encoder))
 
     return run(text)
 

@@ -58,9 +58,15 @@ def holdout_stride(n: int, fraction: float) -> int | None:
     return max(2, int(1 / min(fraction, 0.5) + 0.5))
 
 
+def rank_of(value: str, key: str, tie: str) -> Column:
+    """The place of a value within its key, larger first; ties by tie, each with
+    a place of its own."""
+    return F.row_number().over(W.partitionBy(key).orderBy(F.round(value, 9).desc(), tie))
+
+
 def reciprocal_rank_fusion(df: DataFrame, key: str, signals: list[str], tie: str, k: int = 60) -> DataFrame:
     """Adds rrf: the sum of 1 / (k + rank) over the signals, larger first."""
     for s in signals:
-        df = df.withColumn(f"__{s}", F.row_number().over(W.partitionBy(key).orderBy(F.round(s, 9).desc(), tie)))
+        df = df.withColumn(f"__{s}", rank_of(s, key, tie))
     total = sum((1.0 / (F.lit(float(k)) + F.col(f"__{s}")) for s in signals[1:]), 1.0 / (F.lit(float(k)) + F.col(f"__{signals[0]}")))
     return df.withColumn("rrf", total).drop(*[f"__{s}" for s in signals])

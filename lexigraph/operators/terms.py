@@ -75,13 +75,17 @@ def word_stats(notes: DataFrame) -> DataFrame:
     return a.unionByName(b).groupBy("note_id", "word").agg(*[F.sum(c).alias(c) for c in counts], F.max("middle").alias("middle"), F.max("n_sentences").alias("n_sentences")).withColumn("sentences", F.col("sentences").cast("int"))
 
 
+def tf_spread() -> tuple[Column, Column, Column]:
+    """Mean, population deviation and greatest of a note's word frequencies, stop
+    words left out: 1, 0 and 1 for a note of nothing else."""
+    w = W.partitionBy("note_id")
+    tf = F.when(~F.col("word").isin(*T.STOP_WORDS), F.col("tf"))
+    return F.coalesce(F.avg(tf).over(w), F.lit(1.0)), F.coalesce(F.stddev_pop(tf).over(w), F.lit(0.0)), F.greatest(F.coalesce(F.max(tf).over(w), F.lit(1)), F.lit(1))
+
+
 def yake(stats: DataFrame) -> DataFrame:
     """(note_id, word, tf, cost): low costs make good keywords."""
-    content = ~F.col("word").isin(*T.STOP_WORDS)
-    w = W.partitionBy("note_id")
-    tf = F.when(content, F.col("tf"))
-    mean, dev = F.coalesce(F.avg(tf).over(w), F.lit(1.0)), F.coalesce(F.stddev_pop(tf).over(w), F.lit(0.0))
-    most = F.greatest(F.coalesce(F.max(tf).over(w), F.lit(1)), F.lit(1))
+    mean, dev, most = tf_spread()
     casing = F.greatest("capitalised", "acronyms") / (1 + F.log(F.col("tf").cast("double")))
     position = F.log(F.log(3.0 + F.col("middle")))
     frequency = F.col("tf") / F.greatest(F.lit(1e-9), mean + dev)

@@ -59,6 +59,11 @@ def split(golden: DataFrame, fraction: float = 0.5) -> tuple[DataFrame, DataFram
     return marked.where("not held_out").drop("position", "held_out"), marked.where("held_out").drop("position", "held_out")
 
 
+def changes(config: dict, patch: dict[str, float]) -> list[dict]:
+    """What a patch changes, in order of the paths."""
+    return [{"path": p, "from": read(config, p), "to": v} for p, v in sorted(patch.items()) if read(config, p) != v]
+
+
 def tune(index: S.SearchIndex, golden: DataFrame, config: dict | None = None, n: int = 60, objective: str = "ndcg", seed: int = 1, fraction: float = 0.5, together: int = 8) -> dict:
     """The best of n random settings on the searched half, and what both it and
     the settings at hand score on the held-out half.
@@ -89,7 +94,7 @@ def tune(index: S.SearchIndex, golden: DataFrame, config: dict | None = None, n:
     for i in range(0, len(patches), together):
         scores |= means(part, list(range(i, min(len(patches), i + together))))
     best = max(scores, key=lambda i: (scores[i], -i))
-    changed = [{"path": p, "from": read(config, p), "to": v} for p, v in sorted(patches[best].items()) if read(config, p) != v]
+    changed = changes(config, patches[best])
     out = {"objective": objective, "trials": n, "baseline": scores[0], "best": scores[best], "changes": changed, "holdout": None, "improved": scores[best] > scores[0]}
     if held is not None and best:
         on_held = means(held, [0, best])

@@ -98,9 +98,10 @@ def retrieve(index: SearchIndex, queries: DataFrame, config: dict, weights: tupl
     spark = queries.sparkSession
     nothing = spark.createDataFrame([], "qid string, doc long, score double, rank int")
     lex = lexical.search(queries, index.chunk_words, CHUNK_BOOSTS, k, tolerance=tolerance_of(config, fuzzy)) if weights[0] > 0 else nothing
+    if weights[1] <= 0:
+        return fusion.merge_passes(lex, nothing, *weights)
     asked = queries.select("qid", embedding.embed(F.col("q"), index.model, query=True).alias("vec"))
-    vec = vectors.search(asked, index.vectors, k, limits["minSimilarity"]) if weights[1] > 0 else nothing
-    return fusion.merge_passes(lex, vec, *weights)
+    return fusion.merge_passes(lex, vectors.search(asked, index.vectors, k, limits["minSimilarity"]), *weights)
 
 
 def search(index: SearchIndex, queries: DataFrame, config: dict | None = None, mode: str = "hybrid", k: int | None = None, expand_links: bool = False, fuzzy: bool | None = None) -> DataFrame:
