@@ -84,16 +84,23 @@ def _marked():
     return F.concat(F.lit("**"), "source", F.lit("** uses `"), "lang", F.lit("`"), n, F.lit("```"), n, "text", n, F.lit("```"), n, F.lit("end"))
 
 
-@query("SELECT doc_id, CASE WHEN instr(text, '```') = 0 AND instr(text, '`') = 0 THEN '**' || source || '** uses ' || chr(10) || chr(10) || 'end' ELSE NULL END AS bare FROM documents")
+FENCED_SQL = r"regexp_replace(regexp_replace({}, '(?ms)^```.*?^```', '', 'g'), '(?ms)^~~~.*?^~~~', '', 'g')"
+
+
+@query(f"SELECT doc_id, regexp_replace({FENCED_SQL.format(MARKED)}, '`[^`\\n]*`', '', 'g') AS bare FROM documents")
 def txt7_strip_code(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.when((F.instr("text", "```") == 0) & (F.instr("text", "`") == 0), T.strip_code(_marked())).alias("bare"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.strip_code(_marked()).alias("bare"))
 
 
-@query("SELECT doc_id, source AS bold, lang AS code FROM documents WHERE instr(text, '`') = 0 AND instr(text, '**') = 0")
+@query(
+    rf"""WITH b AS (SELECT doc_id, {FENCED_SQL.format(MARKED)} || chr(10) || text AS body FROM documents),
+found AS (SELECT doc_id, list_transform(list_concat(regexp_extract_all(body, '\*\*([^*\n]+)\*\*', 1), regexp_extract_all(body, '`([^`\n]+)`', 1)), lambda x: trim(x, ' ' || chr(9) || chr(13))) AS found FROM b)
+SELECT doc_id, list_filter(found, lambda x: x <> '' AND length(x) < 60) AS emphasised FROM found"""
+)
 def txt8_emphasised(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("instr(text, '`') = 0 and instr(text, '**') = 0")
-    return docs.select("doc_id", T.emphasised(T.strip_fenced(_marked())).alias("e")).select("doc_id", F.get("e", F.lit(0)).alias("bold"), F.get("e", F.lit(1)).alias("code"))
+    """What stands out in a wrapped text, and in the text as it is."""
+    body = F.concat(T.strip_fenced(_marked()), F.lit("\n"), "text")
+    return table(spark, sf_dir, "documents").select("doc_id", T.emphasised(body).alias("emphasised"))
 
 
 @query("""SELECT doc_id, greatest(1, ceil(length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) / 4.0))::INT AS approximate,
@@ -128,10 +135,9 @@ def txt22_language_gate(spark, sf_dir):
     return docs.select("doc_id", T.gate(text, gate_code=True).alias("g")).select("doc_id", "g.finding.script", "g.finding.char", "g.finding.line", "g.finding.column", "g.ok")
 
 
-@query("SELECT doc_id, regexp_matches(lower(text), '(^|[^a-z0-9])the([^a-z0-9]|$)') AS whole, (length(text) - length(replace(lower(text), 'the', ''))) // 3 AS times FROM documents WHERE length(text) = length(lower(text))")
+@query("SELECT doc_id, regexp_matches(low, '(^|[^a-z0-9])the([^a-z0-9]|$)') AS whole, (length(low) - length(replace(low, 'the', ''))) // 3 AS times FROM (SELECT doc_id, lower(text) AS low FROM documents)")
 def txt23_words_and_occurrences(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.length("text") == F.length(F.lower("text")))
-    the = F.lit("the")
+    docs, the = table(spark, sf_dir, "documents"), F.lit("the")
     return docs.select("doc_id", T.whole_word(F.col("text"), the).alias("whole"), T.count_occurrences(F.col("text"), the).cast("long").alias("times"))
 
 
