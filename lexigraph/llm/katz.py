@@ -410,7 +410,7 @@ class KatzModel:
         size = int(train.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0)
         self.parts = parts = max(1, -(-size // part_bytes))
         self.hot = self._frequent(train, size)
-        hot = [_signed(int(h)) for h in self.hot]
+        hot = spark.createDataFrame([(_signed(int(h)),) for h in self.hot], "h long")
 
         counts = train.mapInArrow(lean(_pack_counts(self.hot, parts)), "part long, data binary").repartition(parts, "part").sortWithinPartitions("part")
         merged = materialise(counts.mapInArrow(lean(_merge(min_count, most)), "part long, kind int, h long, c long, data binary"), "lm-counts")
@@ -418,8 +418,8 @@ class KatzModel:
         _release(spark)
         # A word is counted in one part, but for the frequent ones.
         counted = merged.where(F.col("kind") == WORD_COUNT).select("h", "c")
-        is_hot = F.col("h").isin(hot)
-        words = counted.where(~is_hot).unionByName(counted.where(is_hot).groupBy("h").agg(F.sum("c").alias("c"))) if hot else counted
+        among = lambda df, how: df.join(F.broadcast(hot), "h", how)  # noqa: E731  at most 4 x parts rows
+        words = among(counted, "left_anti").unionByName(among(counted, "left_semi").groupBy("h").agg(F.sum("c").alias("c"))) if len(self.hot) else counted
         first = words.agg(F.sum("c"), F.count(F.lit(1)), *[F.count_if(F.col("c") == r) for r in range(1, most + 2)]).first()
         self.n, self.v = int(first[0] or 0), int(first[1])
         d1 = self.word_discounts = good_turing({r: first[r + 1] for r in range(1, most + 2)}, most)
@@ -429,7 +429,7 @@ class KatzModel:
         self.known_scale = (1 - self.unknown) / (1 - freed) if self.n else 1.0
         n2 = {r["h"]: r["n"] for r in merged.where(F.col("kind") == NUMBER).groupBy("h").agg(F.sum("c").alias("n")).collect()}
         d2 = self.pair_discounts = good_turing(n2, most, min_count)
-        totals = {r["h"] % (1 << 64): r["c"] for r in words.where(is_hot).collect()} if hot else {}
+        totals = {r["h"] % (1 << 64): r["c"] for r in among(words, "left_semi").collect()} if len(self.hot) else {}
         self.totals = np.array(sorted(totals), np.uint64), np.array([totals[h] for h in sorted(totals)], np.int64)
         kept = merged.where(F.col("kind") == PAIR)
         asked = kept.select("part", "data").mapInArrow(lean(_ask(self.numbers(), self.totals, parts)), "home long, part long, data binary")
@@ -439,7 +439,7 @@ class KatzModel:
         _release(spark)
         self.words = contexts.where(F.col("kind") == WORD_COUNT).select("part", "h", "c", "back", "lead")
         self.packed = contexts.select("part", "kind", "h", "c", "back", "data").unionByName(kept.withColumn("back", F.lit(0.0)))
-        special = {int(r["h"]): (int(r["c"]), float(r["back"])) for r in self.words.where(F.col("h").isin([START, *hot])).select("h", "c", "back").collect()}
+        special = {int(r["h"]): (int(r["c"]), float(r["back"])) for r in self.words.where(F.col("h") == START).unionByName(among(self.words, "left_semi").select(*self.words.columns)).select("h", "c", "back").collect()}
         self.start_back = special.get(START, (0, 0.0))[1]
         found = [h for h in self.hot if _signed(int(h)) in special]
         self.hot_table = np.array(found, np.uint64), np.array([special[_signed(int(h))][0] for h in found], np.int64), np.array([special[_signed(int(h))][1] for h in found], np.float64)
@@ -461,8 +461,8 @@ class KatzModel:
         of = 1 << 20
         share = min(of, max(1, of * SAMPLE_BYTES // size))
         sample = train.where(F.pmod(F.xxhash64("id", F.lit("lm")), F.lit(of)) < share)
-        counted = sample.mapInArrow(lean(_unigrams), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-        total = sample.mapInArrow(lean(_unigrams), "h long, c long").agg(F.sum("c")).first()[0] or 0
+        counted = materialise(sample.mapInArrow(lean(_unigrams), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "lm-sample")
+        total = counted.agg(F.sum("c")).first()[0] or 0
         found = counted.where(F.col("c") * 4 * self.parts >= max(total, 1)).collect()
         return np.array(sorted(int(r["h"]) % (1 << 64) for r in found), np.uint64)
 
