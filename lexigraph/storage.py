@@ -48,18 +48,21 @@ def fewer(df: DataFrame, size: int | None = None) -> DataFrame:
     return df.coalesce(n) if n < 100_000 else df
 
 
-def materialise(df: DataFrame, name: str, size: int | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, size: int | None = None, by: str | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again. It cuts
-    the lineage, computes df once, and outlives a lost executor."""
+    the lineage, computes df once, and outlives a lost executor. by: a column of
+    few values, each of which can be dropped by itself."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexigraph-{name}-{uuid.uuid4().hex}"
-    fewer(df, size).write.parquet(path)
+    writer = fewer(df, size).write
+    (writer.partitionBy(by) if by else writer).parquet(path)
     atexit.register(forget, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Deletes what materialise wrote, once nothing reads it any more."""
-    forget(df.sparkSession, df._written_at)
+def drop(df: DataFrame, part: str = "") -> None:
+    """Deletes what materialise wrote, or the part "column=value" of it, once
+    nothing reads it any more."""
+    forget(df.sparkSession, f"{df._written_at}/{part}".rstrip("/"))
