@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, materialise, sliced, trim
+from .common import drop, lean, materialise, sliced, trim
 
 MIN_COUNT, GT_MAX = 2, 5
 #: Bytes of training text for each part; bytes of the sample that names frequent words.
@@ -351,11 +351,12 @@ def _ask(num: dict, totals: tuple[np.ndarray, np.ndarray], parts: int):
     return run
 
 
-CONTEXTS = "part long, kind int, h long, c long, back double, lead double, data binary"
+CONTEXTS = "part long, kind int, h long, c long, back double, data binary"
 
 
 def _contexts(asked: pa.Table, words: pa.Table) -> pa.Table:
-    """back and lead of a part's words, and lead - back for the parts that ask."""
+    """back of a part's words, and for the parts that ask lead - back: lead is log10 of
+    the scale of a word's kept counts / its own."""
     h, first = np.unique(words["h"].to_numpy().view(np.uint64), return_index=True)
     c = words["c"].to_numpy()[first]
     mass, covered, places = np.zeros(len(h)), np.zeros(len(h)), []
@@ -373,10 +374,10 @@ def _contexts(asked: pa.Table, words: pa.Table) -> pa.Table:
     out = [
         pa.array(np.append(np.full(n, home, np.int64), asked["part"].to_numpy())), pa.array(np.repeat([WORD_COUNT, ANSWER], [n, k]).astype(np.int32)),
         pa.array(np.append(h.view(np.int64), np.full(k, home, np.int64))), pa.array(np.append(c, np.zeros(k, np.int64))),
-        pa.array(np.append(back, np.zeros(k))), pa.array(np.append(lead, np.zeros(k))), pa.array([None] * n + [_pack((lead - back)[at]) for at in places], pa.binary()),
+        pa.array(np.append(back, np.zeros(k))), pa.array([None] * n + [_pack((lead - back)[at]) for at in places], pa.binary()),
     ]
     trim()
-    return pa.table(out, ["part", "kind", "h", "c", "back", "lead", "data"])
+    return pa.table(out, ["part", "kind", "h", "c", "back", "data"])
 
 
 def _gains(model: pa.Table, num: dict, totals: tuple[np.ndarray, np.ndarray], parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -395,11 +396,10 @@ def _gains(model: pa.Table, num: dict, totals: tuple[np.ndarray, np.ndarray], pa
 
 
 class KatzModel:
-    """The tables of a model: words (part, h, c, back, lead), packed (of each part,
-    its words, bigrams and answers), bigrams (part, w1, w2, gain), and a few numbers.
+    """The tables of a model: words (part, h, c, back), packed (of each part, its
+    words, bigrams and answers), bigrams (part, w1, w2, gain), and a few numbers.
 
-    back is log10 alpha of the word as a context, lead log10 of its scale / c;
-    gain is what a kept bigram's log10 probability differs from its backoff's.
+    back is log10 alpha of the word as a context; gain is what a kept bigram's log10 probability differs from its backoff's.
     """
 
     start_back = 0.0
@@ -413,7 +413,7 @@ class KatzModel:
         hot = spark.createDataFrame([(_signed(int(h)),) for h in self.hot], "h long")
 
         counts = train.mapInArrow(lean(_pack_counts(self.hot, parts)), "part long, data binary").repartition(parts, "part").sortWithinPartitions("part")
-        merged = materialise(counts.mapInArrow(lean(_merge(min_count, most)), "part long, kind int, h long, c long, data binary"), "lm-counts")
+        merged = materialise(counts.mapInArrow(lean(_merge(min_count, most)), "part long, kind int, h long, c long, data binary"), "lm-counts", by="kind")
         del counts
         _release(spark)
         # A word is counted in one part, but for the frequent ones.
@@ -436,8 +436,9 @@ class KatzModel:
         ends = words.where(F.col("h") == END).select(F.lit(START).cast("long").alias("h"), "c")
         mine = words.unionByName(ends).select((F.shiftrightunsigned("h", SHIFT) % parts).alias("part"), "h", "c")
         contexts = materialise(asked.groupBy("home").cogroup(mine.groupBy("part")).applyInArrow(_contexts, CONTEXTS), "lm-contexts")
+        drop(merged, f"kind={WORD_COUNT}")  # the contexts have them now
         _release(spark)
-        self.words = contexts.where(F.col("kind") == WORD_COUNT).select("part", "h", "c", "back", "lead")
+        self.words = contexts.where(F.col("kind") == WORD_COUNT).select("part", "h", "c", "back")
         self.packed = contexts.select("part", "kind", "h", "c", "back", "data").unionByName(kept.withColumn("back", F.lit(0.0)))
         special = {int(r["h"]): (int(r["c"]), float(r["back"])) for r in self.words.where(F.col("h") == START).unionByName(among(self.words, "left_semi").select(*self.words.columns)).select("h", "c", "back").collect()}
         self.start_back = special.get(START, (0, 0.0))[1]
@@ -532,7 +533,8 @@ def _score(num: dict, hot_table, totals, parts: int):
         key = key[order]
         del order
         out = []
-        for part, batch, kind, data in zip(*[blobs[x].to_pylist() for x in ("part", "batch", "kind", "data")], strict=True):
+        for batch, kind, held in zip(blobs["batch"].to_pylist(), blobs["kind"].to_pylist(), blobs["data"], strict=True):
+            data = held.as_py()  # one at a time: the column itself holds them all
             if kind:
                 out.append((batch, kind, data))
                 continue
