@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, chat, katz, langid, media, mixing, omh, sharding, simhash, urls
-from .common import materialise, small_batches, table
+from .common import estimated_bytes, materialise, small_batches, table
 
 #: Rules of the URL filter: host, path, verdict.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -60,8 +60,10 @@ def op9_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Whole texts pass between Spark and Python: in smaller batches than Spark's own.
+    docs = table(spark, sf_dir, "documents")
     with small_batches(spark, 1000):
-        return materialise(katz.score_documents(table(spark, sf_dir, "documents"), min_count=1), "lm-scores")
+        # A few numbers for each text: an eighth of its size at most.
+        return materialise(katz.score_documents(docs, min_count=1), "lm-scores", estimated_bytes(docs) // 8)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
