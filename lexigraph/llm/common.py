@@ -49,6 +49,16 @@ def trim() -> None:
         return
 
 
+def settle() -> None:
+    """Large arrays get memory of their own, which goes back as soon as they do."""
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except AttributeError:  # another C library
+        return
+    mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+    mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+
+
 def lean(make: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
     """A function of batches that trims when its task ends."""
 
@@ -56,6 +66,7 @@ def lean(make: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterato
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if pa.default_memory_pool().backend_name != "system":
             pa.set_memory_pool(pa.system_memory_pool())
+        settle()
         try:
             yield from make(batches)
         finally:

@@ -47,7 +47,7 @@ from .common import lean, materialise, sliced, trim
 
 MIN_COUNT, GT_MAX = 2, 5
 #: Bytes of training text for each part; bytes of the sample that names frequent words.
-PART_BYTES, SAMPLE_BYTES = 13_000_000, 8_000_000
+PART_BYTES, SAMPLE_BYTES = 16_000_000, 8_000_000
 BATCH_TOKENS, BATCH_DOCS = 1_500_000, 60_000
 #: Hashes that stand for the end of a text and for what precedes its first word.
 END, START = 0, 1
@@ -165,32 +165,41 @@ def _pairs(tokens: list[np.ndarray], hot: np.ndarray, parts: int):
     part begins, the first and second words, counts, and document numbers."""
     lengths = np.array([len(t) for t in tokens])
     second = np.concatenate(tokens)
-    doc = np.repeat(np.arange(len(tokens), dtype=np.uint16), lengths)
+    n_docs = len(tokens)
+    tokens.clear()  # second has them all
+    doc = np.repeat(np.arange(n_docs, dtype=np.uint16), lengths)
     order = np.argsort(second)
     run = second[order]
     new = np.append(True, run[1:] != run[:-1])
     words = np.append(run[new], U(START))
     at = np.empty(len(second), np.int32)
     at[order] = np.cumsum(new, dtype=np.int32) - 1
-    del run, new
+    del run, new, order, second
     before = np.empty_like(at)
     before[1:] = at[:-1]
     before[np.cumsum(lengths) - lengths] = len(words) - 1
     key = at.astype(np.int64) * len(words) + before
     del at, before
     order = np.argsort(key)
+    doc = doc[order]
     key = key[order]
+    del order
     begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    count = np.diff(np.append(begin, len(key)))
-    w1, w2 = words[key[begin] % len(words)], words[key[begin] // len(words)]
-    part = part_of(w2, parts)
+    count = np.diff(np.append(begin, len(key))).astype(np.int32)
+    # Words by their numbers, half as wide as their hashes.
+    i2, i1 = (x.astype(np.int32) for x in np.divmod(key[begin], len(words)))
+    del key
+    part = part_of(words, parts).astype(np.int32)[i2]
     if len(hot):
-        is_hot = np.isin(words, hot)[key[begin] // len(words)]
-        part[is_hot] = part_of(_pair_key(w1[is_hot], w2[is_hot]), parts)
+        is_hot = np.isin(words, hot)[i2]
+        part[is_hot] = part_of(_pair_key(words[i1[is_hot]], words[i2[is_hot]]), parts)
     by = np.argsort(part, kind="stable")
     limits = np.searchsorted(part[by], np.arange(parts + 1))
-    docs = doc[order][_spread(begin[by], count[by])]
-    return limits, w1[by], w2[by], count[by], docs
+    del part
+    begin, count, i1, i2 = begin[by], count[by], i1[by], i2[by]
+    del by
+    docs = doc[_spread(begin, count)]
+    return limits, words[i1], words[i2], count, docs
 
 
 def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -488,10 +497,11 @@ def _pack_docs(hot: np.ndarray, parts: int):
         task = TaskContext.get().partitionId()
         for number, (ids, tokens, train) in enumerate(_batches(batches)):
             batch = task << 32 | number
+            sizes = np.array([len(t) for t in tokens], "<i8")
             limits, w1, w2, count, docs = _pairs(tokens, hot, parts)
             ends = np.append(0, np.cumsum(count))
             nulls = np.array([i is None for i in ids], np.uint8)
-            about = _pack(np.array([i or 0 for i in ids], "<i8"), nulls, np.array(train, np.uint8), np.array([len(t) for t in tokens], "<i8"))
+            about = _pack(np.array([i or 0 for i in ids], "<i8"), nulls, np.array(train, np.uint8), sizes)
             yield _blob(batch % parts, batch, 1, about)
             for p in range(parts):
                 a, b = limits[p], limits[p + 1]
