@@ -2,11 +2,11 @@
 
 import hashlib
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
-import re
 
 from lexigraph.llm import queries as Q
 from lexigraph.llm.common import table
@@ -60,22 +60,34 @@ def test_op2(spark, sf_dir, docs):
     assert got == {i: (f"{fps[i]:016x}", find(i)) for i in ids}
 
 
-def order_min_hash(text, k=16, l=2, m=32):  # noqa: E741
-    from lexigraph.llm import omh
+ALL = (1 << 64) - 1
+STEP, BASE, NONE = 0x9E3779B97F4A7C15, 0x100000001B3, 0x6A09E667F3BCC908
+
 
+def split_mix(x):
+    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & ALL
+    x = ((x ^ x >> 27) * 0x94D049BB133111EB) & ALL
+    return x ^ x >> 31
+
+
+def order_min_hash(text, k=16, l=2, m=32):  # noqa: E741
+    """By the definition, k-mer by k-mer: a k-mer's hash is that of a polynomial in
+    its code points' hashes; a repeated one is numbered by its occurrence."""
     kmers = [text[i : i + k] for i in range(len(text) - k + 1)] if len(text) >= k else [text] if text else []
     seen, values = Counter(), []
     for x in kmers:
-        base = int(omh.kmer_hashes(omh._codes(x), k)[0])
-        n = seen[x]
+        h = 0
+        for c in x:
+            h = (h * BASE + split_mix((ord(c) + STEP) & ALL)) & ALL
+        h, n = split_mix(h), seen[x]
         seen[x] += 1
-        values.append(int(omh.mix(omh.np.array([(base + n * int(omh.STEP)) % 2**64], omh.np.uint64))[0]) if n else base)
+        values.append(split_mix((h + n * STEP) & ALL) if n else h)
     out = []
-    for a in map(int, omh._multipliers(m)):
-        least = sorted(range(len(values)), key=lambda i: (values[i] * a % 2**64, i))[:l]
-        acc = int(omh.NONE)
-        for i in sorted(least):
-            acc = int(omh.mix(omh.np.array([(acc * int(omh.STEP) + values[i]) % 2**64], omh.np.uint64))[0])
+    for f in range(1, m + 1):
+        a = split_mix((f * STEP) & ALL) | 1
+        acc = NONE
+        for i in sorted(sorted(range(len(values)), key=lambda i: (values[i] * a & ALL, i))[:l]):
+            acc = split_mix((acc * STEP + values[i]) & ALL)
         out.append(acc >> 32)
     return out
 
