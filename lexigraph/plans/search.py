@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,22 +48,24 @@ def build(notes: DataFrame, chunks: DataFrame, embeddings: DataFrame, attributes
 
 
 #: What a stored index consists of; its version changes when what these hold does.
-KINDS, VERSION = ("notes", "chunks", "vectors", "chunk_postings", "chunk_fields", "note_postings", "note_fields", "edges"), "2"
+KINDS, VERSION = ("notes", "chunks", "vectors", "chunk_postings", "chunk_fields", "chunk_near", "note_postings", "note_fields", "note_near", "edges"), "3"
 
 
 def _tables(index: SearchIndex) -> dict[str, DataFrame]:
-    parts = (index.notes, index.chunks, index.vectors, index.chunk_words.postings, index.chunk_words.fields, index.note_words.postings, index.note_words.fields, index.edges)
-    return dict(zip(KINDS, parts, strict=True))
+    words = [t for w in (index.chunk_words, index.note_words) for t in (w.postings, w.fields, lexical.deletions(w.postings) if w.near is None else w.near)]
+    return dict(zip(KINDS, (index.notes, index.chunks, index.vectors, *words, index.edges), strict=True))
 
 
 def _of(t: dict[str, DataFrame], model: embedding.Model) -> SearchIndex:
-    words = lexical.LexicalIndex(t["chunk_postings"], t["chunk_fields"]), lexical.LexicalIndex(t["note_postings"], t["note_fields"])
+    words = (lexical.LexicalIndex(*(t[f"{x}_{k}"] for k in ("postings", "fields", "near"))) for x in ("chunk", "note"))
     return SearchIndex(t["notes"], t["chunks"], t["vectors"], *words, t["edges"], model)
 
 
 def kept(index: SearchIndex) -> SearchIndex:
     """The index with its tables written once, for many searches."""
-    return _of({k: materialise(df, f"index-{k}") for k, df in _tables(index).items()}, index.model)
+    words = [lexical.LexicalIndex(materialise(w.postings, "index-postings"), w.fields) for w in (index.chunk_words, index.note_words)]
+    index = replace(index, chunk_words=words[0], note_words=words[1])
+    return _of({k: df if k.endswith("postings") else materialise(df, f"index-{k}") for k, df in _tables(index).items()}, index.model)
 
 
 def stored(project, space: str, model: embedding.Model, make: Callable[[], SearchIndex]) -> SearchIndex:
