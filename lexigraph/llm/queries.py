@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, katz, langid, media, mixing, omh, sharding, simhash, urls
+from . import bpe, chat, fim, katz, langid, media, mixing, omh, sharding, simhash, urls
 from .common import estimated_bytes, materialise, small_batches, table
 
 #: Rules of the URL filter: host, path, verdict.
@@ -66,9 +67,15 @@ def op10_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         return materialise(katz.score_documents(docs, min_count=1), "lm-scores", estimated_bytes(docs) // 8)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.rearrange(table(spark, sf_dir, "documents"))
+    digests = (F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("form"), F.col("output")), 256).alias("restored_sha256"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_media_columns, op2_simhash, op3_order_minhash, op4_url_filters, op5_byte_bpe, op6_chat_formatting, op7_rendezvous_sharding, op8_pivotal_mixing, op9_language_mixture, op10_katz_scores)
+    for f in (op1_media_columns, op2_simhash, op3_order_minhash, op4_url_filters, op5_byte_bpe, op6_chat_formatting, op7_rendezvous_sharding, op8_pivotal_mixing, op9_language_mixture, op10_katz_scores, op11_fill_in_middle)
 }
 
 _PARTS = """
@@ -105,4 +112,24 @@ kept AS (
   WHERE NOT EXISTS (SELECT 1 FROM convs o WHERE o.n > c.n AND o.turns[1] = c.turns[1] AND o.turns[1:c.n] = c.turns)
   GROUP BY turns)
 SELECT conv_id, 0::BIGINT AS block, n_turns, copies, rendered FROM kept""",
+    "op11_fill_in_middle": r"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS d,
+    regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u
+  FROM documents),
+numbers AS (
+  SELECT *, len(u) AS n, ('0x' || d[1:8])::BIGINT AS h1, ('0x' || d[9:16])::BIGINT AS h2, ('0x' || d[17:24])::BIGINT AS h3, ('0x' || d[25:32])::BIGINT AS h4
+  FROM drawn),
+cuts AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+      WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM numbers),
+parts AS (
+  SELECT *, array_to_string(u[1:lo], '') AS p, array_to_string(u[lo + 1:hi], '') AS m, array_to_string(u[hi + 1:], '') AS s FROM cuts)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts""",
 }
