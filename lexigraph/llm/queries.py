@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fim, katz, langid, media, mixing, omh, sharding, simhash, urls
+from . import bpe, chat, fim, katz, langid, media, mixing, omh, sharding, simhash, urls, whitening
 from .common import estimated_bytes, materialise, small_batches, table
 
 #: Rules of the URL filter: host, path, verdict.
@@ -73,9 +73,13 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_media_columns, op2_simhash, op3_order_minhash, op4_url_filters, op5_byte_bpe, op6_chat_formatting, op7_rendezvous_sharding, op8_pivotal_mixing, op9_language_mixture, op10_katz_scores, op11_fill_in_middle)
+    for f in (op1_media_columns, op2_simhash, op3_order_minhash, op4_url_filters, op5_byte_bpe, op6_chat_formatting, op7_rendezvous_sharding, op8_pivotal_mixing, op9_language_mixture, op10_katz_scores, op11_fill_in_middle, op12_embedding_whitening)
 }
 
 _PARTS = """
