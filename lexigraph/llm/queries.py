@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fim, katz, langid, media, mixing, omh, sharding, simhash, urls, whitening
+from . import bpe, chat, fim, katz, langid, media, mixing, omh, quality, sharding, simhash, urls, whitening
 from .common import estimated_bytes, materialise, small_batches, table
 
 #: Rules of the URL filter: host, path, verdict.
@@ -77,9 +77,14 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_media_columns, op2_simhash, op3_order_minhash, op4_url_filters, op5_byte_bpe, op6_chat_formatting, op7_rendezvous_sharding, op8_pivotal_mixing, op9_language_mixture, op10_katz_scores, op11_fill_in_middle, op12_embedding_whitening)
+    for f in (op1_media_columns, op2_simhash, op3_order_minhash, op4_url_filters, op5_byte_bpe, op6_chat_formatting, op7_rendezvous_sharding, op8_pivotal_mixing, op9_language_mixture, op10_katz_scores, op11_fill_in_middle, op12_embedding_whitening, op13_quality_classifier)
 }
 
 _PARTS = """
