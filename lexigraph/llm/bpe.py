@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding of whole texts.
 
-Long texts are cut into overlapping chunks that are pre-tokenised in parallel.
+Texts are cut into overlapping chunks that are pre-tokenised in parallel.
 Two neighbours resynchronise at the first place in their overlap that both hold
 for a pre-token boundary between a letter or digit and a blank:
 from such a place on the pre-tokens depend only on what follows, so the pieces
@@ -9,14 +9,16 @@ the whole text's. Where an overlap never resynchronises (one pre-token longer
 than the overlap) the two chunks beside it, and they alone, make one piece: a
 pre-token is never cut. Decoding joins the ids' bytes.
 
+Every text takes this way; one of up to CHUNK characters has a single chunk, which
+has no neighbour and is a piece as it stands.
+
 Defined results: a null text is an empty one, without ids; repeated rows stay
-repeated. Other columns of the input are not read.
+repeated; no rows give no rows. Other columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -125,21 +127,6 @@ PIECES = [("row", pa.string()), ("doc", pa.int64()), ("no", pa.int64()), ("n_tok
 PIECES_SQL = "row string, doc long, no long, n_tokens long, ids binary, decoded binary"
 
 
-def _whole(path: str, pattern: str):
-    """Texts of one chunk: digests at once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, pattern)
-        for b in sliced(batches):
-            rows = []
-            for doc, text in zip(b["doc"].to_pylist(), b["text"].to_pylist(), strict=True):
-                ids = encode_piece(enc, pattern, text or "")
-                rows.append((doc, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(enc.decode_bytes(ids.tolist())).hexdigest()))
-            yield _arrow(rows, [("doc", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-
-    return run
-
-
 def encode_long(docs: DataFrame, path: str, pattern: str, size: int, overlap: int) -> DataFrame:
     """Of (row, doc, text): the pieces (row, doc, no, n_tokens, ids, decoded) of
     texts. row names a row of docs. What is gathered for a text is its own."""
@@ -171,19 +158,20 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     """Returns id_col, n_tokens, ids_sha256 and decoded_sha256, a row for each
     row of docs. path and pattern name the vocabulary's ranks."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    short = F.coalesce(F.length("text"), F.lit(0)) <= size
-    done = rows.where(short).mapInArrow(lean(_whole(path, pattern)), "doc long, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    # Equal rows of long texts have equal results: they are encoded once and counted.
-    long_rows = rows.where(~short).groupBy("doc", "text").agg(F.count(F.lit(1)).alias("times"))
+    several = F.coalesce(F.length("text"), F.lit(0)) > size
+    # A chunk without a neighbour has nothing to stitch: it is a piece as it stands, in the task that reads it.
+    alone = rows.where(~several).select(F.lit("").alias("row"), "doc", F.lit(0).cast("long").alias("no"), "text").mapInArrow(lean(_encode(path, pattern)), PIECES_SQL)
+    # Equal rows of several chunks have equal results: they are encoded once and counted.
+    long_rows = rows.where(several).groupBy("doc", "text").agg(F.count(F.lit(1)).alias("times"))
     long_rows = materialise(long_rows.withColumn("row", F.concat_ws(":", "doc", F.sha2("text", 256))), "bpe-long")
     pieces = encode_long(long_rows.select("row", "doc", "text"), path, pattern, size, overlap)
     joined = lambda c: F.array_sort(F.collect_list(F.struct("no", c)))
     merged = pieces.groupBy("row", "doc").agg(F.sum("n_tokens").alias("n_tokens"), joined("ids").alias("ids"), joined("decoded").alias("decoded"))
-    digest = lambda c: F.sha2(F.aggregate(F.col(c), F.lit(b""), lambda a, x: F.concat(a, x[c])), 256)
-    merged = merged.select("row", "doc", "n_tokens", digest("ids").alias("ids_sha256"), digest("decoded").alias("decoded_sha256"))
-    times = long_rows.select("row", "times")
-    merged = merged.join(times, "row").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    return done.unionByName(merged.select("doc", "n_tokens", "ids_sha256", "decoded_sha256")).withColumnRenamed("doc", id_col)
+    whole = lambda c: F.aggregate(F.col(c), F.lit(b""), lambda a, x: F.concat(a, x[c]))
+    merged = merged.select("row", "doc", "n_tokens", whole("ids").alias("ids"), whole("decoded").alias("decoded"))
+    digests = lambda df: df.select(F.col("doc").alias(id_col), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    merged = merged.join(long_rows.select("row", "times"), "row").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return digests(alone).unionByName(digests(merged))
 
 
 def decode_ids(ids: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:

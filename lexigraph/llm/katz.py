@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .common import lean, materialise, sliced, trim
 
-MIN_COUNT, GT_MAX = 2, 5
+MIN_COUNT, GT_MAX = 1, 5
 #: Bytes of training text for each part; bytes of the sample that names frequent words.
 PART_BYTES, SAMPLE_BYTES = 16_000_000, 8_000_000
 BATCH_TOKENS, BATCH_DOCS = 1_500_000, 60_000

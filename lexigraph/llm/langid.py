@@ -13,6 +13,10 @@ MAX_LANGUAGES x 2**BITS entries, whatever the corpus's size. No task holds a
 language: rows are counted by language and hash bucket, and only the bucket in
 which a language's sample ends is put in order.
 
+Of more than MAX_LANGUAGES languages those with the most training rows are learned,
+ties by name. Texts of equal likelihood get the language whose name comes first.
+Very long texts are counted piece by piece; no rows give no rows.
+
 Defined results: a null text or one without a letter is ``und`` with score 0, as
 is every text if nothing was learned; repeated rows give repeated rows; a null
 id is held in. Other columns of the input are not read.
@@ -131,9 +135,9 @@ def sampled(rows: DataFrame, sample: int = SAMPLE) -> DataFrame:
     counts = rows.groupBy("lang", "bucket").agg(F.count(F.lit(1)).alias("n"))
     # At most BUCKETS rows a language, of its sums alone.
     before = F.coalesce(F.sum("n").over(W.partitionBy("lang").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    found = counts.withColumn("room", F.lit(sample) - before).where("room > 0").select("lang", "bucket", "n", "room").limit(MAX_LANGUAGES * BUCKETS + 1).collect()
-    if len({r["lang"] for r in found}) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # MAX_LANGUAGES rows: the model's size is theirs, not that of the labels.
+    named = counts.groupBy("lang").agg(F.sum("n").alias("rows")).orderBy(F.col("rows").desc(), "lang").limit(MAX_LANGUAGES).select("lang")
+    found = counts.withColumn("room", F.lit(sample) - before).where("room > 0").select("lang", "bucket", "n", "room").join(F.broadcast(named), "lang", "left_semi").collect()
     # One row a language: its last bucket, and how many rows of that one there is room for.
     last: dict[str, tuple[int, int, bool]] = {}
     for r in found:

@@ -225,3 +225,23 @@ def test_pair_keeps_words(p, q, x, y, seed):
 def test_pair_is_fair():
     mean = sum(mixing.pair(s, (1, 3, 0.4), (2, 5, 0.7))[0] for s in range(20_000)) / 20_000
     assert abs(mean - 0.4) < 0.01
+
+
+def test_many_languages(spark):
+    """Beyond the bound those with the most rows are learned, ties by name."""
+    from lexigraph.llm import langid
+
+    rows = [(i, f"word{i} of language {i % 250}", f"l{i % 250:03}") for i in range(1000)] + [(2000 + i, f"more words {i}", "often") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert len(model.languages) == langid.MAX_LANGUAGES and "often" in model.languages
+    assert langid.identify(docs, model).count() == len(rows)
+
+
+def test_bpe_alone_and_stitched(spark):
+    """A text is encoded alike as one chunk and as many."""
+    path, pattern = Q.vocabulary()
+    texts = ["", "a", "one two  three\n\n four's", "x" * 500, "été 😀 " * 90]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(9, None)], "doc_id long, text string")
+    row = lambda size, overlap: sorted(map(tuple, bpe.encode_documents(docs, path, pattern, size=size, overlap=overlap).collect()))
+    assert row(10_000, 100) == row(40, 20) == row(7, 5)
