@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import FILE_BYTES
 from .common import drop, lean, materialise, sliced
 from .langid import sampled
 
@@ -230,19 +231,32 @@ def _extract(bits: int):
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a shard, in their order, as one row of arrays."""
+    held: dict[int, list] = {}
+    for b in batches:
+        for shard, y, at, x in zip(*(b[c].to_pylist() for c in ("shard", "y", "at", "x")), strict=True):
+            held.setdefault(shard, []).append((y, at, x))
+    for shard, rows in held.items():
+        sizes = np.array([len(at) // 4 for _, at, _ in rows], np.int32)
+        row = [np.array([y for y, _, _ in rows]).tobytes(), sizes.tobytes(), b"".join(at for _, at, _ in rows), b"".join(x for _, _, x in rows)]
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *[pa.array([x], pa.binary()) for x in row]], ["shard", "y", "sizes", "at", "x"])
+
+
 def _round(state: Leader):
-    """One pass over a shard's rows from a state, in the rows' order; what of the
-    state changed."""
+    """One pass over each shard's rows from a state; what of the state changed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = Leader(state.z.copy(), state.n.copy())
-        bias = len(mine.z) - 1
-        for b in batches:
-            for at, x, y in zip(b["at"].to_pylist(), b["x"].to_pylist(), b["y"].to_pylist(), strict=True):
-                mine.learn(np.append(np.frombuffer(at, np.int32), np.int32(bias)), np.append(np.frombuffer(x, np.float32).astype(np.float64), 1.0), y)
-        changed = np.flatnonzero(mine.n != state.n)
-        if len(changed):
-            yield pa.RecordBatch.from_arrays([pa.array(changed.astype(np.int32)), pa.array(mine.z[changed] - state.z[changed]), pa.array(mine.n[changed] - state.n[changed])], ["at", "z", "n"])
+        bias = len(state.z) - 1
+        for b in sliced(batches, 1):
+            mine = Leader(state.z.copy(), state.n.copy())
+            y, sizes, at, x = (np.frombuffer(b[c][0].as_buffer(), t) for c, t in (("y", np.float64), ("sizes", np.int32), ("at", np.int32), ("x", np.float32)))
+            ends = np.cumsum(sizes)
+            for label, begin, end in zip(y, ends - sizes, ends, strict=True):
+                mine.learn(np.append(at[begin:end], np.int32(bias)), np.append(x[begin:end].astype(np.float64), 1.0), float(label))
+            changed = np.flatnonzero(mine.n != state.n).astype(np.int32)
+            moved = [changed.tobytes(), (mine.z - state.z)[changed].tobytes(), (mine.n - state.n)[changed].tobytes()]
+            yield pa.RecordBatch.from_arrays([b["shard"], *[pa.array([x], pa.binary()) for x in moved]], ["shard", "at", "z", "n"])
 
     return run
 
@@ -250,22 +264,24 @@ def _round(state: Leader):
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, bits: int = BITS, rounds: int = ROUNDS) -> np.ndarray | None:
     """The weights, the bias last; None without a labelled training row."""
     rows = labelled_sample(docs, labels, id_col, text_col, label_col, sample)
-    features = materialise(rows.repartition("h", "t").mapInArrow(lean(_extract(bits)), "h long, t long, y double, at binary, x binary"), "quality-features")
+    features = rows.repartition("h", "t").mapInArrow(lean(_extract(bits)), "h long, t long, y double, at binary, x binary").withColumn("shard", F.pmod("t", F.lit(SHARDS)).cast("int"))
+    # A shard has sample / SHARDS rows or so: it is dealt once, and each round reads it as it is.
+    dealt = features.repartition(SHARDS, "shard").sortWithinPartitions("shard", "h", "t").mapInArrow(lean(_packed), "shard int, y binary, sizes binary, at binary, x binary")
+    dealt = materialise(dealt, "quality-shards", SHARDS * FILE_BYTES)
     try:
-        if features.isEmpty():
-            return None
-        shard = features.withColumn("shard", F.pmod("t", F.lit(SHARDS)))
         state = Leader.start(bits)
         for _ in range(rounds):
-            steps = shard.repartition(SHARDS, "shard").sortWithinPartitions("shard", "h", "t").mapInArrow(lean(_round(state)), "at int, z double, n double")
-            # A row for each feature at most, however many rows were learned from. Sums go in one order, so reruns agree.
-            moved = steps.groupBy("at").agg(F.aggregate(F.sort_array(F.collect_list(F.struct("z", "n"))), F.struct(F.lit(0.0).alias("z"), F.lit(0.0).alias("n")), lambda a, s: F.struct((a["z"] + s["z"]).alias("z"), (a["n"] + s["n"]).alias("n"))).alias("s")).select("at", "s.z", "s.n").toArrow()
-            at = moved["at"].to_numpy()
-            state.z[at] += moved["z"].to_numpy() / SHARDS
-            state.n[at] += moved["n"].to_numpy() / SHARDS
+            # A row for each shard, of 20 bytes for each feature at most, however many rows were learned from.
+            moved = dealt.mapInArrow(lean(_round(state)), "shard int, at binary, z binary, n binary").toArrow().sort_by("shard")
+            if not moved.num_rows:
+                return None
+            for at, z, n in zip(*(moved[c].to_pylist() for c in ("at", "z", "n")), strict=True):
+                at = np.frombuffer(at, np.int32)
+                state.z[at] += np.frombuffer(z) / moved.num_rows
+                state.n[at] += np.frombuffer(n) / moved.num_rows
         return state.weights()
     finally:
-        drop(features)
+        drop(dealt)
 
 
 def _score(weights: np.ndarray | None, bits: int):
