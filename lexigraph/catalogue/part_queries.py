@@ -149,14 +149,14 @@ def ret16_search_lexical(spark, sf_dir):
     return S.search(_lexical_index(spark, sf_dir), asked, mode="lexical", fuzzy=False).select("qid", "id", "rank", "score")
 
 
-@query(PLAN + ", fused AS (SELECT qid, id, score FROM hits) SELECT qid, id, round(score, 6) AS score FROM everything")
+@query(PLAN + "SELECT qid, id, round(score::DECIMAL(18, 9), 6)::DOUBLE AS score FROM everything")
 def gra6_graph_applied(spark, sf_dir):
     idx = _lexical_index(spark, sf_dir)
     asked = X.golden_queries(spark, sf_dir)
     scored = S.retrieve(idx, asked, DEFAULTS, (1.0, 0.0), fuzzy=False)
     meta = lexical.search(asked, idx.note_words, {"title": 3.0}, 150, require_all=True)
     hits = fusion.fuse(scored, idx.chunks, meta, idx.notes, DEFAULTS, (1.0, 0.0))
-    return fusion.apply_graph(hits, idx.edges, idx.notes, DEFAULTS).select("qid", "id", F.round("score", 6).alias("score"))
+    return fusion.apply_graph(hits, idx.edges, idx.notes, DEFAULTS).select("qid", "id", F.round(F.col("score").cast("decimal(18,9)"), 6).cast("double").alias("score"))
 
 
 @query(ctes(X.NOTES, X.QUERIES_SQL, X.QUERY_TOKENS, BODY, GOLDEN) + "SELECT g.qid, CASE WHEN len(g.relevant) > 0 THEN round(count(*) FILTER (WHERE good AND rank <= 3) / len(g.relevant), 6) END AS recall FROM golden g LEFT JOIN judged j USING (qid) GROUP BY g.qid, g.relevant")
