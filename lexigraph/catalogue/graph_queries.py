@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import communities, graph, layout
 from ..operators import links as L
 from . import fixtures as X
 from .fixtures import ctes, table
@@ -156,3 +156,29 @@ def gra8_resolved_links(spark, sf_dir):
     )
     links = named.select(F.col("id").alias("src"), F.explode(forms).alias("target"))
     return L.resolve(links, named, named.select(F.col("id").alias("note_id"), "alias"), named.select(F.col("id").alias("note_id"), F.col("path").alias("source_path")))
+
+
+@query()
+def gra12_communities(spark, sf_dir):
+    """The documents' link graph, phantoms and all: each node's community, and how good the division is."""
+    found, quality = communities.communities(X.links(spark, sf_dir), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")))
+    return found.withColumn("modularity", F.lit(quality))
+
+
+@query(
+    ctes(X.LINKS)
+    + """e AS (SELECT DISTINCT src, dst FROM links WHERE src <> dst), d AS (SELECT doc_id AS id, source AS c FROM documents),
+x AS (SELECT a.c AS ca, b.c AS cb FROM e JOIN d a ON a.id = e.src JOIN d b ON b.id = e.dst),
+o AS (SELECT ca AS c, count(*) AS o, count(*) FILTER (WHERE ca = cb) AS inside FROM x GROUP BY ca), i AS (SELECT cb AS c, count(*) AS i FROM x GROUP BY cb)
+SELECT sum(coalesce(o, 0))::BIGINT AS links, sum(coalesce(inside, 0))::BIGINT AS inside, round(sum(coalesce(inside, 0)) / sum(coalesce(o, 0)) - sum(coalesce(o, 0) * coalesce(i, 0))::DOUBLE / sum(coalesce(o, 0)) / sum(coalesce(o, 0)), 6) AS modularity FROM o FULL JOIN i USING (c)""".replace("e AS", ", e AS", 1)
+)
+def gra12_modularity_of_sources(spark, sf_dir):
+    """How well the documents' sources divide their links."""
+    division = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("community"))
+    return communities.divided(X.links(spark, sf_dir), division).withColumn("modularity", F.round("modularity", 6))
+
+
+@query()
+def gra13_layout(spark, sf_dir):
+    """Places of all documents by ten rounds of forces along their links."""
+    return layout.arrange(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), X.links(spark, sf_dir), rounds=10)
