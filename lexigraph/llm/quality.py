@@ -255,7 +255,7 @@ def _round(state: Leader):
             for label, begin, end in zip(y, ends - sizes, ends, strict=True):
                 mine.learn(np.append(at[begin:end], np.int32(bias)), np.append(x[begin:end].astype(np.float64), 1.0), float(label))
             changed = np.flatnonzero(mine.n != state.n).astype(np.int32)
-            moved = [changed.tobytes(), (mine.z - state.z)[changed].tobytes(), (mine.n - state.n)[changed].tobytes()]
+            moved = [changed.tobytes(), *((new - old)[changed].astype(np.float32).tobytes() for new, old in ((mine.z, state.z), (mine.n, state.n)))]
             yield pa.RecordBatch.from_arrays([b["shard"], *[pa.array([x], pa.binary()) for x in moved]], ["shard", "at", "z", "n"])
 
     return run
@@ -271,14 +271,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     try:
         state = Leader.start(bits)
         for _ in range(rounds):
-            # A row for each shard, of 20 bytes for each feature at most, however many rows were learned from.
+            # A row for each shard, of 12 bytes for each feature at most, however many rows were learned from.
             moved = dealt.mapInArrow(lean(_round(state)), "shard int, at binary, z binary, n binary").toArrow().sort_by("shard")
             if not moved.num_rows:
                 return None
-            for at, z, n in zip(*(moved[c].to_pylist() for c in ("at", "z", "n")), strict=True):
-                at = np.frombuffer(at, np.int32)
-                state.z[at] += np.frombuffer(z) / moved.num_rows
-                state.n[at] += np.frombuffer(n) / moved.num_rows
+            for i in range(moved.num_rows):
+                at, z, n = (np.frombuffer(moved[c][i].as_buffer(), t) for c, t in (("at", np.int32), ("z", np.float32), ("n", np.float32)))
+                state.z[at] += z.astype(np.float64) / moved.num_rows
+                state.n[at] += n.astype(np.float64) / moved.num_rows
         return state.weights()
     finally:
         drop(dealt)
