@@ -12,7 +12,7 @@ from ..config import DEFAULTS, metadata_boosts, resolve_weights
 from ..errors import BadRequest
 from ..functions import embedding
 from ..functions import text as T
-from ..operators import fusion, graph, lexical, vectors
+from ..operators import fusion, graph, inverted, lexical, vectors
 from ..storage import materialise
 
 CHUNK_BOOSTS = {"text": 1.0, "heading_path": 1.5}
@@ -132,6 +132,89 @@ def rank(index: SearchIndex, scored: DataFrame, named: DataFrame, config: dict,
     return fusion.finish(fusion.apply_graph(hits, index.edges, index.notes, config, once), k or s["limits"]["resultK"])
 
 
+# ---- a few queries on a stored index ----
+
+#: Queries that search_few takes at once: what it gathers is bounded by them.
+FEW = 64
+
+
+@dataclass(frozen=True)
+class QuickIndex:
+    """An index of which a search reads what its few queries need, by their words,
+    and then by the ids that these lead to."""
+
+    index: SearchIndex
+    chunk_words: inverted.Clustered
+    note_words: inverted.Clustered
+    chunk_near: inverted.Sorted  # token, key
+    note_near: inverted.Sorted
+    chunks: inverted.Sorted
+    notes: inverted.Sorted
+    near: inverted.Sorted  # a, b: neighbours, both ways round
+
+
+def quick(index: SearchIndex) -> QuickIndex:
+    """Sorts and packs an index (kept or stored) for searches of a few queries."""
+    words = [inverted.write(w, f"{x}-words") for x, w in (("chunk", index.chunk_words), ("note", index.note_words))]
+    near = [inverted.write_sorted(w.near if w.near is not None else materialise(lexical.deletions(w.postings), "near"), "key", name="near") for w in (index.chunk_words, index.note_words)]
+    both = materialise(graph.symmetric(index.edges), "near-edges")
+    by_id = [inverted.write_sorted(t, "id", name="by-id", rows=2_000) for t in (index.chunks, index.notes)]
+    return QuickIndex(index, *words, *near, *by_id, inverted.write_sorted(both, "a", "b", name="near-edges"))
+
+
+def _here(df: DataFrame, rows: list | None = None) -> DataFrame:
+    """A bounded table as one partition: what is made of such tables needs no shuffle."""
+    return df.sparkSession.createDataFrame(df.collect() if rows is None else rows, df.schema).coalesce(1)
+
+
+def _near_words(tokens: list, near: inverted.Sorted, tolerance: int) -> list[tuple]:
+    """(qid, n_tokens, asked, token) of tokens (qid, n_tokens, asked)."""
+    if not tolerance:
+        return [(*t, t[2]) for t in tokens]
+    keys = {w: {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))} for _, _, w in tokens}
+    known = near.read([k for ks in keys.values() for k in ks])
+    asked = near.spark.createDataFrame([(w, k) for w, ks in keys.items() for k in ks], "asked string, key string").coalesce(1)
+    found = known.join(F.broadcast(asked), "key").where(F.levenshtein("asked", "token", tolerance) >= 0).select("asked", "token").distinct().collect()
+    return [(*t, r["token"]) for t in tokens for r in found if r["asked"] == t[2]]
+
+
+def search_few(quick: QuickIndex, queries: DataFrame, config: dict | None = None, mode: str = "hybrid", k: int | None = None, fuzzy: bool | None = None) -> DataFrame:
+    """What search finds for up to FEW queries, from the blocks and rows that these
+    need. Passes are cut to candidateK for each query before anything is gathered."""
+    if mode not in ("hybrid", "semantic", "lexical"):
+        raise BadRequest(f'no mode "{mode}" of passages', {"mode": mode}, "exact, id and graph searches have functions of their own")
+    config = config or DEFAULTS
+    weights, limits, index = resolve_weights(config, mode), config["search"]["limits"], quick.index
+    spark, tolerance = queries.sparkSession, tolerance_of(config, fuzzy)
+    asked = check_gate(queries).select("qid", "q").limit(FEW + 1).collect()
+    if len(asked) > FEW:
+        raise BadRequest("too many queries", {"most": FEW}, "search takes batches of any size")
+    queries = spark.createDataFrame(asked, "qid string, q string").coalesce(1)
+    tokens = [tuple(r) for r in lexical.query_tokens(queries).collect()]
+    times: dict[tuple, int] = {}
+    for qid, _, _, token in _near_words(tokens, quick.chunk_near, tolerance) if weights[0] > 0 else []:
+        times[qid, token] = times.get((qid, token), 0) + 1
+    lex = inverted.search_words([(*key, n) for key, n in times.items()], quick.chunk_words, CHUNK_BOOSTS, limits["candidateK"]) if weights[0] > 0 else spark.createDataFrame([], "qid string, doc long, score double, rank int")
+    vec = spark.createDataFrame([], "qid string, doc long, score double, rank int")
+    if weights[1] > 0:
+        vec = vectors.search(queries.select("qid", embedding.embed(F.col("q"), index.model, query=True).alias("vec")), index.vectors, limits["candidateK"], limits["minSimilarity"])
+    scored = fusion.merge_passes(_here(lex), _here(vec), *weights)
+    scored = _here(scored)
+    meta = spark.createDataFrame([], "qid string, doc string, score double")
+    if weights[0] > 0:
+        wanted = spark.createDataFrame(_near_words(tokens, quick.note_near, tolerance), "qid string, n_tokens int, asked string, token string").coalesce(1)
+        postings = quick.note_words.postings([r[3] for r in wanted.collect()])
+        found = postings.join(F.broadcast(wanted), "token").join(F.broadcast(quick.note_words.fields), "field")
+        part = lexical.bm25(F.col("tf"), F.col("len"), F.col("avg_len"), F.col("n"), F.col("df")).alias("part")
+        meta = lexical.rank(found.select("qid", "doc", "field", "asked", "n_tokens", part), metadata_boosts(config), limits["candidateK"], require_all=True)
+    meta = _here(meta)
+    chunks = _here(quick.chunks.read([r["chunk_id"] for r in scored.collect()]))
+    notes = _here(quick.notes.read([r["note_id"] for r in chunks.select("note_id").collect()] + [r["doc"] for r in meta.collect()]))
+    hits = _here(fusion.fuse(scored, chunks, meta, notes, config, weights))
+    edges = quick.near.read([r["id"] for r in hits.select("id").collect()]).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return fusion.finish(fusion.apply_graph(hits, edges, index.notes, config), k or limits["resultK"])
+
+
 def check_model(space_model: str, requested: str) -> None:
     if space_model != requested:
         raise BadRequest(f'the index was made with "{space_model}", not "{requested}"', {"space": space_model, "requested": requested})
