@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS
 from ..functions import embedding
-from ..operators import exact, fusion, graph, lexical, metrics, vectors
+from ..operators import exact, fusion, graph, inverted, lexical, metrics, vectors
 from ..operators.ranking import max_normalised
 from ..plans import evaluate, index
 from ..plans import search as S
@@ -39,6 +39,13 @@ def ret2_bm25_passages(spark, sf_dir):
     return body_hits(spark, sf_dir).select("qid", "doc", "rank", F.round("score", 6).alias("score"))
 
 
+@query(ctes(X.NOTES, X.QUERIES_SQL, X.QUERY_TOKENS, BODY) + "SELECT qid, doc, rank::INT AS rank, round(score, 6) AS score FROM body WHERE rank <= 20")
+def ret2_sorted_index(spark, sf_dir):
+    """The same from the written index of blocks sorted by word."""
+    idx = inverted.write(lexical.build(X.notes(spark, sf_dir), "id", {"text": F.col("body")}))
+    return inverted.search(X.golden_queries(spark, sf_dir), idx, {"text": 1.0}, 20).select("qid", "doc", "rank", F.round("score", 6).alias("score"))
+
+
 @query(ctes(X.NOTES, "queries AS (SELECT id::VARCHAR AS qid, title AS q FROM notes)", X.QUERY_TOKENS, META) + "SELECT qid, doc, rank::INT AS rank, round(score, 6) AS score FROM meta")
 def ret3_bm25_fields_all_terms(spark, sf_dir):
     """Every title as a query over three boosted fields, all words required."""

@@ -26,6 +26,7 @@ import uuid
 from bisect import bisect_left
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -129,7 +130,8 @@ def search_words(wanted: list[tuple], index: Clustered, boosts: dict[str, float]
     """The same for words (qid, token, times) that a query may ask for several times."""
     spark = index.blocks.spark
     mine, boost = _boosted(index, [w for _, w, _ in wanted], boosts)
-    wanted = F.broadcast(spark.createDataFrame(wanted, "qid string, token string, times long").coalesce(1))
+    wanted = pa.table({c: pa.array([w[i] for w in wanted], t) for i, (c, t) in enumerate((("qid", pa.string()), ("token", pa.string()), ("times", pa.int64())))})
+    wanted = F.broadcast(spark.createDataFrame(wanted).coalesce(1))
     heads = mine.select("token", "block", (boost * F.col("most")).alias("most")).join(wanted, "token")
     # A document has a word in several fields or in one: at least the largest field's share, at most all fields'.
     by_interval = heads.groupBy("qid", "block").agg(F.sum(F.col("most") * F.col("times")).alias("most"), F.max("most").alias("least"))

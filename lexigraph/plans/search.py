@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, metadata_boosts, resolve_weights
@@ -162,20 +164,30 @@ def quick(index: SearchIndex) -> QuickIndex:
     return QuickIndex(index, *words, *near, *by_id, inverted.write_sorted(both, "a", "b", name="near-edges"))
 
 
-def _here(df: DataFrame, rows: list | None = None) -> DataFrame:
-    """A bounded table as one partition: what is made of such tables needs no shuffle."""
-    return df.sparkSession.createDataFrame(df.collect() if rows is None else rows, df.schema).coalesce(1)
+def _local(spark: SparkSession, columns: dict[str, pa.Array]) -> DataFrame:
+    return spark.createDataFrame(pa.table(columns)).coalesce(1)
 
 
-def _near_words(tokens: list, near: inverted.Sorted, tolerance: int) -> list[tuple]:
-    """(qid, n_tokens, asked, token) of tokens (qid, n_tokens, asked)."""
+def _here(df: DataFrame) -> tuple[DataFrame, pa.Table]:
+    """A bounded table as one partition, and its rows: what is made of such tables
+    needs no shuffle."""
+    rows = df.toArrow()
+    return df.sparkSession.createDataFrame(rows, df.schema).coalesce(1), rows
+
+
+def _near_words(tokens: pa.Table, near: inverted.Sorted, tolerance: int) -> pa.Table:
+    """(qid, n_tokens, token, near): tokens with the known words near them."""
     if not tolerance:
-        return [(*t, t[2]) for t in tokens]
-    keys = {w: {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))} for _, _, w in tokens}
-    known = near.read([k for ks in keys.values() for k in ks])
-    asked = near.spark.createDataFrame([(w, k) for w, ks in keys.items() for k in ks], "asked string, key string").coalesce(1)
-    found = known.join(F.broadcast(asked), "key").where(F.levenshtein("asked", "token", tolerance) >= 0).select("asked", "token").distinct().collect()
-    return [(*t, r["token"]) for t in tokens for r in found if r["asked"] == t[2]]
+        return tokens.append_column("near", tokens["token"])
+    asked = {w: {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))} for w in set(tokens["token"].to_pylist())}
+    pairs = [(w, k) for w, ks in asked.items() for k in sorted(ks)]
+    keys = _local(near.spark, {"asked": pa.array([w for w, _ in pairs], pa.string()), "key": pa.array([k for _, k in pairs], pa.string())})
+    known = near.read([k for _, k in pairs]).join(F.broadcast(keys), "key").where(F.levenshtein("asked", "token", tolerance) >= 0)
+    found: dict[str, set] = {}
+    for w, t in zip(*(known.select("asked", "token").toArrow().to_pydict().values()), strict=True):
+        found.setdefault(w, set()).add(t)
+    rows = [{**r, "near": t} for r in tokens.to_pylist() for t in sorted(found.get(r["token"], ()))]
+    return pa.Table.from_pylist(rows, pa.schema([*tokens.schema, pa.field("near", pa.string())]))
 
 
 def search_few(quick: QuickIndex, queries: DataFrame, config: dict | None = None, mode: str = "hybrid", k: int | None = None, fuzzy: bool | None = None) -> DataFrame:
@@ -185,33 +197,30 @@ def search_few(quick: QuickIndex, queries: DataFrame, config: dict | None = None
         raise BadRequest(f'no mode "{mode}" of passages', {"mode": mode}, "exact, id and graph searches have functions of their own")
     config = config or DEFAULTS
     weights, limits, index = resolve_weights(config, mode), config["search"]["limits"], quick.index
-    spark, tolerance = queries.sparkSession, tolerance_of(config, fuzzy)
-    asked = check_gate(queries).select("qid", "q").limit(FEW + 1).collect()
-    if len(asked) > FEW:
+    spark, tolerance, k_pass = queries.sparkSession, tolerance_of(config, fuzzy), config["search"]["limits"]["candidateK"]
+    queries, asked = _here(check_gate(queries).select("qid", "q").limit(FEW + 1))
+    if asked.num_rows > FEW:
         raise BadRequest("too many queries", {"most": FEW}, "search takes batches of any size")
-    queries = spark.createDataFrame(asked, "qid string, q string").coalesce(1)
-    tokens = [tuple(r) for r in lexical.query_tokens(queries).collect()]
-    times: dict[tuple, int] = {}
-    for qid, _, _, token in _near_words(tokens, quick.chunk_near, tolerance) if weights[0] > 0 else []:
-        times[qid, token] = times.get((qid, token), 0) + 1
-    lex = inverted.search_words([(*key, n) for key, n in times.items()], quick.chunk_words, CHUNK_BOOSTS, limits["candidateK"]) if weights[0] > 0 else spark.createDataFrame([], "qid string, doc long, score double, rank int")
-    vec = spark.createDataFrame([], "qid string, doc long, score double, rank int")
+    nothing = spark.createDataFrame([], "qid string, doc long, score double, rank int")
+    lex, vec, meta = nothing, nothing, nothing.select("qid", F.col("doc").cast("string").alias("doc"), "score")
     if weights[1] > 0:
-        vec = vectors.search(queries.select("qid", embedding.embed(F.col("q"), index.model, query=True).alias("vec")), index.vectors, limits["candidateK"], limits["minSimilarity"])
-    scored = fusion.merge_passes(_here(lex), _here(vec), *weights)
-    scored = _here(scored)
-    meta = spark.createDataFrame([], "qid string, doc string, score double")
+        vec = vectors.search(queries.select("qid", embedding.embed(F.col("q"), index.model, query=True).alias("vec")), index.vectors, k_pass, limits["minSimilarity"])
     if weights[0] > 0:
-        wanted = spark.createDataFrame(_near_words(tokens, quick.note_near, tolerance), "qid string, n_tokens int, asked string, token string").coalesce(1)
-        postings = quick.note_words.postings([r[3] for r in wanted.collect()])
-        found = postings.join(F.broadcast(wanted), "token").join(F.broadcast(quick.note_words.fields), "field")
+        tokens = lexical.query_tokens(queries).toArrow()
+        close = _near_words(tokens, quick.chunk_near, tolerance)
+        times = Counter(zip(close["qid"].to_pylist(), close["near"].to_pylist(), strict=True))
+        lex = inverted.search_words([(*key, n) for key, n in times.items()], quick.chunk_words, CHUNK_BOOSTS, k_pass)
+        named = _near_words(tokens, quick.note_near, tolerance)
+        wanted = _local(spark, {c: named[x] for c, x in (("qid", "qid"), ("n_tokens", "n_tokens"), ("asked", "token"), ("token", "near"))})
+        found = quick.note_words.postings(named["near"].to_pylist()).join(F.broadcast(wanted), "token").join(F.broadcast(quick.note_words.fields), "field")
         part = lexical.bm25(F.col("tf"), F.col("len"), F.col("avg_len"), F.col("n"), F.col("df")).alias("part")
-        meta = lexical.rank(found.select("qid", "doc", "field", "asked", "n_tokens", part), metadata_boosts(config), limits["candidateK"], require_all=True)
-    meta = _here(meta)
-    chunks = _here(quick.chunks.read([r["chunk_id"] for r in scored.collect()]))
-    notes = _here(quick.notes.read([r["note_id"] for r in chunks.select("note_id").collect()] + [r["doc"] for r in meta.collect()]))
-    hits = _here(fusion.fuse(scored, chunks, meta, notes, config, weights))
-    edges = quick.near.read([r["id"] for r in hits.select("id").collect()]).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        meta = lexical.rank(found.select("qid", "doc", "field", "asked", "n_tokens", part), metadata_boosts(config), k_pass, require_all=True)
+    scored, passages = _here(fusion.merge_passes(_here(lex)[0], _here(vec)[0], *weights))
+    meta, named = _here(meta)
+    chunks, about = _here(quick.chunks.read(passages["chunk_id"].to_pylist()))
+    notes, _ = _here(quick.notes.read(about["note_id"].to_pylist() + named["doc"].to_pylist()))
+    hits, ids = _here(fusion.fuse(scored, chunks, meta, notes, config, weights))
+    edges = quick.near.read(ids["id"].to_pylist()).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     return fusion.finish(fusion.apply_graph(hits, edges, index.notes, config), k or limits["resultK"])
 
 
