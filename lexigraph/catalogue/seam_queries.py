@@ -21,8 +21,9 @@ from ..plans import index
 from ..plans import search as S
 from ..sources import files as files_
 from ..sources.warehouse import Registry
+from ..schemas import TABLES
 from ..storage import shared_dir
-from ..streaming import reindex
+from ..streaming import reindex, upkeep
 from . import fixtures as X
 from .fixtures import ctes, table
 from .registry import query
@@ -209,6 +210,67 @@ def str2_streamed_export(spark, sf_dir):
     return spark.read.parquet(f"{_streamed(spark, sf_dir)}/export").select("filename")
 
 
+def _bursts(spark, sf_dir, parts):
+    """A log of revisions that grows by parts (conditions), and what to do after each."""
+    log = _folder(spark, "log")
+    revs = X.revisions(spark, sf_dir).withColumn("ms", F.col("created_at")).withColumn("note_id", F.col("note_id").cast("string")).withColumn("created_at", F.timestamp_millis("created_at"))
+    for part in parts:
+        revs.where(part).select("note_id", "rev", "title", "body", "op", "author", "batch_id", "created_at").write.mode("append").parquet(log)
+        yield log
+
+
+LAST = """
+last AS (SELECT note_id, max(rev) AS rev, arg_max(body, rev) AS body FROM revisions GROUP BY note_id),
+living AS (SELECT * FROM last WHERE note_id % 7 <> 3 OR rev < 3)"""
+
+
+def _live(spark, sf_dir):
+    """Three bursts through a stream into a kept index: every seventh note's later writes delete it."""
+    live, check = upkeep.LiveIndex(spark, _folder(spark, "live"), cut=upkeep.whole_notes), _folder(spark, "check")
+    gone = (F.col("note_id").cast("long") % 7 == 3) & (F.col("rev") >= 3)
+    each = lambda w, n: live.apply(w.withColumn("op", F.when(gone, "delete").otherwise(F.col("op"))), n)
+    for log in _bursts(spark, sf_dir, ("rev <= 2", "rev in (3, 4)", "rev > 4")):
+        reindex.start(reindex.revision_stream(spark, log), check, each, interval=None).awaitTermination()
+    return live
+
+
+@query(ctes(X.REVISIONS, LAST, "words AS (SELECT DISTINCT note_id, unnest(regexp_extract_all(lower(body), '[a-z0-9]+')) AS token FROM living)") + "SELECT token, count(*) AS df FROM words GROUP BY token")
+def str1_live_words(spark, sf_dir):
+    """In how many notes each word is, as a streamed index has it after updates and deletes."""
+    return _live(spark, sf_dir).words().where("field = 'text'").select("token", "df")
+
+
+@query(ctes(X.REVISIONS, LAST) + "SELECT note_id::VARCHAR AS note_id, rev, sha256(body) AS text_hash, len(regexp_extract_all(lower(body), '[a-z0-9]+'))::BIGINT AS n FROM living")
+def str2_live_notes(spark, sf_dir):
+    """Notes of the streamed index as they are to be exported, with the sum of their postings."""
+    live = _live(spark, sf_dir)
+    sizes = live._living("postings").where("field = 'text'").groupBy("note_id").agg(F.sum("tf").alias("n"))
+    return live.heads().join(live.passages().select("note_id", "text_hash"), "note_id").join(sizes, "note_id", "left").select("note_id", "rev", "text_hash", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(
+    ctes(X.REVISIONS)
+    + """, fed AS (SELECT *, CASE WHEN note_id % 5 = 0 THEN 3 WHEN note_id < (SELECT max(note_id) FROM revisions) // 2 THEN 1 ELSE 2 END AS file FROM revisions),
+kept AS (SELECT * FROM fed WHERE file < 3 OR created_at + 30000 > (SELECT max(created_at) - 600000 FROM fed WHERE file < 3)),
+marked AS (SELECT *, coalesce(created_at - lag(created_at) OVER w > 30000, true) AS starts FROM kept WINDOW w AS (PARTITION BY author ORDER BY created_at)),
+counted AS (SELECT *, sum(starts::INT) OVER (PARTITION BY author ORDER BY created_at ROWS UNBOUNDED PRECEDING) AS burst FROM marked)
+SELECT author, min(created_at) AS began, count(*) AS writes, count(DISTINCT note_id) AS notes FROM counted GROUP BY author, burst"""
+)
+def str3_streamed_bursts(spark, sf_dir):
+    """Bursts on a stream that is fed out of order: a third file has what is late, of
+    which the watermark lets in what is within ten minutes of the latest write."""
+    n = X.revisions(spark, sf_dir).agg(F.max("note_id")).first()[0]
+    out, check = _folder(spark, "bursts"), _folder(spark, "check")
+    late = "note_id % 5 = 0"
+    for log in _bursts(spark, sf_dir, (f"not ({late}) and note_id < {n // 2}", f"not ({late}) and note_id >= {n // 2}", late)):
+        reindex.stream_bursts(reindex.revision_stream(spark, log), out, check, "30 seconds", "10 minutes").awaitTermination()
+    # A write far ahead closes what is open.
+    ahead = spark.createDataFrame([("end", 1, "", "", "update", "the end", "b", datetime(2100, 1, 1))], TABLES["note_revisions"])
+    ahead.write.mode("append").parquet(log)
+    reindex.stream_bursts(reindex.revision_stream(spark, log), out, check, "30 seconds", "10 minutes").awaitTermination()
+    return spark.read.parquet(out).where("author != 'the end'").select("author", F.unix_millis("began").alias("began"), "writes", "notes")
+
+
 @query("SELECT * FROM (VALUES ('made', 4), ('evicted', 2)) t(what, n)")
 def str4_pool(spark, sf_dir):
     """Two tables fit: a third evicts the first, changed data are read anew, and idle ones go."""

@@ -58,6 +58,15 @@ def write_bursts(revisions: DataFrame, gap: str = "10 minutes", late: str = "1 h
     return timed.groupBy("author", F.session_window("created_at", gap).alias("s")).agg(F.count(F.lit(1)).alias("writes"), notes.alias("notes")).select("author", F.col("s.start").alias("began"), F.col("s.end").alias("ended"), "writes", "notes")
 
 
+def stream_bursts(revisions: DataFrame, out: str, checkpoint: str, gap: str = "10 minutes", late: str = "1 hour", interval: str | None = None) -> StreamingQuery:
+    """write_bursts of a stream, appended to Parquet as they close: a burst is final
+    once the watermark (the latest time seen less late) is past its end. A write
+    whose own burst would end before the watermark is dropped and counted by the
+    query's progress. The file sink commits each batch once, whatever is retried."""
+    writer = write_bursts(revisions, gap, late).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
 class Pool:
     """Tables of the projects used last, kept in memory while their data's
     fingerprint stays, and until nobody has used them for idle seconds."""
