@@ -20,6 +20,7 @@ from ..operators import vectors as V
 from ..plans import index
 from ..plans import search as S
 from ..sources import files as files_
+from ..sources import vault
 from ..sources.warehouse import Registry
 from ..schemas import TABLES
 from ..storage import shared_dir
@@ -45,10 +46,10 @@ def _nations(spark, sf_dir):
 def _exported(spark, sf_dir):
     folder = _folder(spark, "files")
     nothing = spark.createDataFrame([], "filename string, contents string")
-    files_.apply_export(spark, files_.export_actions(files_.rendered(_nations(spark, sf_dir)), nothing), folder)
+    vault.export(files_.export_actions(files_.rendered(_nations(spark, sf_dir)), nothing), folder)
     aside = spark.createDataFrame([(".obsidian/x.md", "no"), ("ours/y.md", "mine"), ("z.txt", "no")], "filename string, contents string")
     files_.apply_export(spark, aside.withColumn("action", F.lit("created")), folder)
-    return files_.find_markdown(spark, folder)
+    return folder
 
 
 TITLES = "nations AS (SELECT 'NA-' || lpad((n_nationkey + 1)::VARCHAR, 4, '0') AS id, array_to_string(list_transform(string_split(n_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS title, 'in region ' || n_regionkey AS body FROM nation)"
@@ -57,13 +58,38 @@ RENDERED = "'---' || chr(10) || 'id: ' || id || chr(10) || 'title: ' || title ||
 
 @query(ctes(TITLES) + f"SELECT id || ' ' || title || '.md' AS path, {RENDERED} AS body FROM nations UNION ALL SELECT 'ours/y.md', 'mine'")
 def src3_markdown_folder(spark, sf_dir):
-    return _exported(spark, sf_dir)
+    return spark.read.format("vault").load(_exported(spark, sf_dir)).select("path", F.col("contents").alias("body"))
+
+
+@query("SELECT source || '/DOC-' || (doc_id + 10000) || '.md' AS path, sha256(text) AS digest FROM documents")
+def src3_vault_documents(spark, sf_dir):
+    """All documents written as files by tasks, and read back by folders."""
+    folder = _folder(spark, "vault")
+    vault.register(spark)
+    docs = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/DOC-"), F.col("doc_id") + 10000, F.lit(".md")).alias("path"), F.col("text").alias("contents"))
+    docs.write.format("vault").mode("append").save(folder)
+    return spark.read.format("vault").load(folder).select("path", F.sha2("contents", 256).alias("digest"))
+
+
+@query("SELECT 'DOC-' || (doc_id + 10000) || ' ' || source || '.md' AS filename, sha256(text || '!') AS digest FROM documents WHERE lang <> 'fr' UNION ALL SELECT 'mine ' || page_id || '.md', sha256('own') FROM pages")
+def src7_exported_vault(spark, sf_dir):
+    """A second export over a first: changed files are written anew, notes that are
+    gone lose theirs, and others' files stay."""
+    folder = _folder(spark, "vault")
+    vault.register(spark)
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("DOC-"), F.col("doc_id") + 10000).alias("id"), F.col("source").alias("title"), "text", "lang")
+    wanted = lambda tail: docs.select(T.export_filename(F.col("id"), F.col("title")).alias("filename"), "id", F.concat("text", F.lit(tail)).alias("contents"), "lang")
+    present = lambda: spark.read.format("vault").load(folder).select(F.col("path").alias("filename"), "contents")
+    table(spark, sf_dir, "pages").select(F.concat(F.lit("mine "), "page_id", F.lit(".md")).alias("path"), F.lit("own").alias("contents")).write.format("vault").mode("append").save(folder)
+    vault.export(files_.export_actions(wanted("").drop("lang"), present()), folder)
+    vault.export(files_.export_actions(wanted("!").where("lang != 'fr'").drop("lang"), present()), folder)
+    return present().select("filename", F.sha2("contents", 256).alias("digest"))
 
 
 @query(ctes(TITLES) + "SELECT id || ' ' || title || '.md' AS path FROM nations WHERE id IN ('NA-0003', 'NA-0007')")
 def src4_files_under(spark, sf_dir):
     picked = [f"{r.id} {r.title}.md" for r in _nations(spark, sf_dir).where("id in ('NA-0003', 'NA-0007')").collect()]
-    return files_.under(_exported(spark, sf_dir), only=[*picked, "ours"], ours=["ours"]).select("path")
+    return files_.under(files_.find_markdown(spark, _exported(spark, sf_dir)), only=[*picked, "ours"], ours=["ours"]).select("path")
 
 
 @query(ctes(TITLES) + f"SELECT id || ' ' || title || '.md' AS filename, id, {RENDERED} AS contents FROM nations")
