@@ -90,6 +90,19 @@ def gra5_walk_two_steps(spark, sf_dir):
     return graph.traverse(origins, _edges(spark, sf_dir), notes, 2)
 
 
+@query(
+    ctes(X.NOTES, X.LINKS, EDGES).replace("WITH", "WITH RECURSIVE", 1)
+    + """, origins AS (SELECT tag AS qid, min(id) AS id FROM notes GROUP BY tag),
+walk AS (SELECT qid, id, 0 AS distance FROM origins UNION SELECT w.qid, b, distance + 1 FROM walk w JOIN near ON a = w.id JOIN notes n ON n.id = b WHERE status = 'active' AND distance < 40)
+SELECT qid, id, min(distance)::INT AS distance FROM walk GROUP BY qid, id HAVING min(distance) > 0"""
+)
+def gra5_walk_all(spark, sf_dir):
+    """All that each source's first note leads to, and how far it is."""
+    notes = X.notes(spark, sf_dir)
+    origins = notes.groupBy(F.col("tag").alias("qid")).agg(F.min("id").alias("id"))
+    return graph.traverse(origins, _edges(spark, sf_dir), notes, None).select("qid", "id", "distance")
+
+
 @query(ctes(X.NOTES, X.LINKS, EDGES, BFS) + "SELECT qid, id, 0.5::DOUBLE AS score FROM front")
 def ret14_graph_search(spark, sf_dir):
     notes = X.notes(spark, sf_dir)

@@ -7,11 +7,16 @@ execution splits where a node has very many.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialise
 
+#: Levels of a walk after which what was seen is put in one table.
+LEVELS = 16
+
 
 def adjacency(links: DataFrame) -> DataFrame:
     """Distinct resolved edges without loops."""
@@ -91,25 +96,32 @@ def adjust(hits: DataFrame, edges: DataFrame, boost: float, expand: bool = True,
     return boosts, expansions if expand else expansions.limit(0)
 
 
-def traverse(origins: DataFrame, edges: DataFrame, notes: DataFrame, depth: int) -> DataFrame:
+def traverse(origins: DataFrame, edges: DataFrame, notes: DataFrame, depth: int | None) -> DataFrame:
     """Breadth-first from each origin (qid, id): (qid, id, distance, via) of the
-    active notes within depth; via is the note before, the first one reached and
-    among those of one distance the least. Notes that aren't active are seen but
-    neither returned nor walked on from."""
-    near = symmetric(edges)
+    active notes within depth, or with None all that can be reached; via is the
+    note before, the first one reached and among those of one distance the least.
+    Notes that aren't active are seen but neither returned nor walked on from.
+
+    Each level is written once and made from the level before alone: its edges, less
+    what any level has seen. The walk ends at a level with nothing new."""
+    near = materialise(symmetric(edges), "walk-edges")
     active = notes.where("status = 'active'").select("id")
-    seen = origins.select("qid", "id")
-    front = origins.select("qid", "id", F.struct(F.col("id")).alias("path"))
-    out = None
-    for distance in range(1, depth + 1):
+    seen, front, found = origins.select("qid", "id"), origins.select("qid", "id", F.array("id").alias("path")), []
+    distance = 0
+    while depth is None or distance < depth:
+        distance += 1
         # The order of arrival: that of the notes before, then the ids'. It is carried as the path.
         step = front.join(near, front["id"] == near["a"]).select("qid", F.col("b").alias("id"), F.col("id").alias("via"), "path")
         new = step.join(seen, ["qid", "id"], "left_anti").groupBy("qid", "id").agg(F.min_by("via", "path").alias("via"), F.min("path").alias("path"))
+        new = materialise(new.join(active.withColumn("walks", F.lit(True)), "id", "left").select("qid", "id", "via", "path", F.coalesce("walks", F.lit(False)).alias("walks")), "walk-level")
         seen = seen.unionByName(new.select("qid", "id"))
-        front = new.join(active, "id", "left_semi").select("qid", "id", "via", F.struct(F.col("path"), F.col("id")).alias("path"))
-        found = front.select("qid", "id", F.lit(distance).alias("distance"), "via")
-        out = found if out is None else out.unionByName(found)
-    return out
+        if distance % LEVELS == 0:
+            seen = materialise(seen, "walk-seen")
+        front = new.where("walks").select("qid", "id", F.concat("path", F.array("id")).alias("path"))
+        found.append(new.where("walks").select("qid", "id", F.lit(distance).alias("distance"), "via"))
+        if depth is None and front.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found)
 
 
 def walk_scores(steps: DataFrame) -> DataFrame:
