@@ -111,7 +111,9 @@ def note_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from ..functions.text import search_tokens
 
-    words = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("note_id"), F.explode(search_tokens(F.col("text"))).alias("term"))
+    # Texts are dealt by note first, so neither the counts nor the window move their words.
+    dealt = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("note_id"), "text").repartition("note_id")
+    words = dealt.select("note_id", F.explode(search_tokens(F.col("text"))).alias("term"))
     counts = words.groupBy("note_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     mine = W.partitionBy("note_id")
     return counts.withColumn("score", F.col("tf") / F.max("tf").over(mine)).withColumn("k", F.row_number().over(mine.orderBy(F.col("tf").desc(), "term"))).where("k <= 12").drop("k")

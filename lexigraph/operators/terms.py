@@ -7,7 +7,6 @@ grouped or scalar pandas functions, one note at a time.
 
 from __future__ import annotations
 
-import gc
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..errors import NotFound
 from ..functions import text as T
-from ..storage import materialise
+from . import gazetteer as gazetteer_search
 from .ranking import max_normalised, reciprocal_rank_fusion, row_numbers
 
 RRF_K = 60
@@ -348,43 +347,7 @@ def select_terms(scored: DataFrame, top_n: int = 12, top_p: int = 6, trade: floa
 # ---- vocabulary ----
 
 
-def gazetteer_matches(notes: DataFrame, terms: DataFrame) -> DataFrame:
-    """(note_id, term): terms that stand in a note as whole words, of any length
-    and any characters. The words of a text are joined with each term's longest
-    word, and a term without ASCII letters and digits by its first three characters,
-    so no note meets every term. What is more than that word must read so in the
-    text too. The terms and what the join finds are written once."""
-    words = T.search_tokens(F.col("term"))
-    longest = F.aggregate(words, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
-    key = F.when(F.size(words) > 0, longest).otherwise(F.substring(F.lower("term"), 1, 3))
-    keyed = _written(terms.select("term", key.alias("key")).where("key != ''").distinct(), "gazetteer-terms")
-
-    # Terms of other characters lie between ASCII words: one letter stands for those.
-    between = F.array_join(F.array_distinct(F.split(F.lower("body"), "[a-z0-9]+")), "a")
-    split = notes.select(F.col("id").alias("note_id"), F.array_distinct(T.search_tokens(F.col("body"))).alias("w"), F.split(between, "").alias("c"))
-    after = lambda a, b: F.zip_with(a, b, lambda x, y: F.concat(x, y))
-    rest = lambda n: F.slice("c", F.lit(n + 1), F.greatest(F.size("c") - n, F.lit(0)))
-    two = F.filter(after(F.col("c"), rest(1)), lambda x: x.isNotNull())
-    three = F.filter(after(two, rest(2)), lambda x: x.isNotNull())
-    marks = F.filter(F.array_distinct(F.concat("c", two, three)), lambda x: ~F.contains(x, F.lit("a")))
-    has = split.select("note_id", F.explode(F.concat("w", marks)).alias("key"))
-
-    found = _written(has.join(keyed, "key").select("note_id", "term").distinct(), "gazetteer")
-    is_word = F.lower("term").rlike("^[a-z0-9]+$")
-    other = found.where(~is_word)
-    if other.isEmpty():
-        return found
-    bodies = notes.select("id", "body")
-    read = other.join(bodies, F.col("note_id").eqNullSafe(F.col("id"))).where(T.whole_word(F.col("body"), F.col("term")))
-    return found.where(is_word).unionByName(read.select("note_id", "term").distinct())
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """df written once; lets Spark's cleaner delete the shuffles behind it."""
-    out = materialise(df, name)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+gazetteer_matches = gazetteer_search.matches
 
 
 def without_blocked(candidates: DataFrame, terms: DataFrame) -> DataFrame:

@@ -28,3 +28,16 @@ def test_gazetteer_null_and_repeated_ids(spark):
     notes = spark.createDataFrame([(None, "plain and two words"), (1, "plain"), (1, "plain two words")], "id long, body string")
     got = M.gazetteer_matches(notes, spark.createDataFrame([("plain",), ("two words",), ("two words",)], "term string")).collect()
     assert len(got) == 4 and set(map(tuple, got)) == {(i, t) for i in (None, 1) for t in ("plain", "two words")}
+
+
+def test_gazetteer_in_shards(spark, monkeypatch):
+    """Many shards and pieces give what one of each does."""
+    from lexigraph.operators import gazetteer
+
+    terms = spark.createDataFrame([(f"w{i}",) for i in range(300)] + [(f"w{i} w{i + 1}",) for i in range(300)] + [("W7",), (None,)], "term string")
+    notes = spark.createDataFrame([(n, " ".join(f"w{(n * 37 + j * j) % 310}" for j in range(60)) + " w7 w8") for n in range(20)] + [(99, None)], "id long, body string")
+    want = sorted(map(tuple, gazetteer.matches(notes, terms).collect()))
+    assert {(0, "w7 w8"), (0, "w7"), (0, "W7")} <= set(want)
+    for name, value in (("WORD_BYTES", 400), ("OTHER_BYTES", 700), ("PIECE", 10)):
+        monkeypatch.setattr(gazetteer, name, value)
+    assert sorted(map(tuple, gazetteer.matches(notes, terms).collect())) == want
