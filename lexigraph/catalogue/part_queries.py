@@ -17,7 +17,7 @@ from ..plans import search as S
 from . import fixtures as X
 from .fixtures import bm25_sql, ctes, table
 from .graph_queries import EDGES, HITS, _edges, _hits
-from .registry import query
+from .registry import fixed, query
 from .search_queries import BODY, FUSE, FUSED, FUSED_META, GOLDEN, PASSES, _fused, _hundredths, body_hits, golden
 from .term_queries import STATS
 from .text_queries import SINGULAR_SQL
@@ -179,13 +179,13 @@ def evl5_logged_run(spark, sf_dir):
     return out.select("id", "queries", F.round("recall", 6).alias("recall"), F.round("mrr", 6).alias("mrr"), "p50_ms", "p95_ms")
 
 
-@query("SELECT * FROM (VALUES ('search.boost.title', 3.0::DOUBLE, 4.5::DOUBLE), ('search.fusion.meta', 0.3, 0.2)) t(path, was, now)")
+@fixed("SELECT * FROM (VALUES ('search.boost.title', 3.0::DOUBLE, 4.5::DOUBLE), ('search.fusion.meta', 0.3, 0.2)) t(path, was, now)")
 def evl4_changed_settings(spark, sf_dir):
     found = evaluate.changes(DEFAULTS, {"search.graph.boost": 0.15, "search.fusion.meta": 0.2, "search.boost.title": 4.5})
     return spark.createDataFrame([(c["path"], float(c["from"]), float(c["to"])) for c in found], "path string, was double, now double")
 
 
-@query(
+@fixed(
     """SELECT * FROM (VALUES ('search.hybridWeights.text', 0.0::DOUBLE, 1.0::DOUBLE), ('search.hybridWeights.vector', 0.0, 1.0), ('search.strategyWeights.fine', 0.2, 1.5), ('search.strategyWeights.coarse', 0.2, 1.5),
   ('search.fusion.chunk', 0.3, 1.0), ('search.fusion.meta', 0.0, 0.7), ('search.fusion.lambdaMultiChunk', 0.0, 0.4), ('search.graph.boost', 0.0, 0.4), ('search.boost.title', 1.0, 5.0)) t(path, least, most), (SELECT 300::BIGINT AS trials, true AS two_places)"""
 )

@@ -27,7 +27,7 @@ from ..storage import shared_dir
 from ..streaming import reindex, upkeep
 from . import fixtures as X
 from .fixtures import ctes, table
-from .registry import query
+from .registry import fixed, query
 
 
 def _folder(spark, name):
@@ -152,7 +152,7 @@ def crd12_meta(spark, sf_dir):
 # ---- settings, models, errors ----
 
 
-@query("SELECT * FROM (VALUES ('search.graph.boost', '0.3'), ('search.graph.expandDepth', '1'), ('search.graph.expandMinVotes', '2'), ('search.limits.candidateK', '150'), ('search.limits.minSimilarity', '0.25'), ('search.limits.resultK', '10'), ('search.mode', 'BadRequest'), ('search.nothing', 'BadRequest')) t(path, value)")
+@fixed("SELECT * FROM (VALUES ('search.graph.boost', '0.3'), ('search.graph.expandDepth', '1'), ('search.graph.expandMinVotes', '2'), ('search.limits.candidateK', '150'), ('search.limits.minSimilarity', '0.25'), ('search.limits.resultK', '10'), ('search.mode', 'BadRequest'), ('search.nothing', 'BadRequest')) t(path, value)")
 def fil11_patched_settings(spark, sf_dir):
     c = config.apply_patch(config.defaults(), {"search.graph.boost": config.coerce("0.3")})
     rows = [(p, str(v)) for p, v in config.flatten(c).items() if p.startswith(("search.graph.", "search.limits."))]
@@ -164,7 +164,7 @@ def fil11_patched_settings(spark, sf_dir):
     return spark.createDataFrame(rows, "path string, value string")
 
 
-@query("SELECT * FROM (VALUES ('semantic', 0.0::DOUBLE, 1.0::DOUBLE), ('lexical', 1.0, 0.0), ('hybrid', 0.5, 0.5), ('hybrid 0.2', 0.2, 0.5), ('hybrid 0 0', NULL, NULL), ('hybrid -1', NULL, NULL)) t(mode, text, vector)")
+@fixed("SELECT * FROM (VALUES ('semantic', 0.0::DOUBLE, 1.0::DOUBLE), ('lexical', 1.0, 0.0), ('hybrid', 0.5, 0.5), ('hybrid 0.2', 0.2, 0.5), ('hybrid 0 0', NULL, NULL), ('hybrid -1', NULL, NULL)) t(mode, text, vector)")
 def ret7_weights(spark, sf_dir):
     rows = []
     for name, mode, given in (("semantic", "semantic", ()), ("lexical", "lexical", ()), ("hybrid", "hybrid", ()), ("hybrid 0.2", "hybrid", (0.2,)), ("hybrid 0 0", "hybrid", (0, 0)), ("hybrid -1", "hybrid", (-1, 1))):
@@ -175,7 +175,7 @@ def ret7_weights(spark, sf_dir):
     return spark.createDataFrame(rows, "mode string, text double, vector double")
 
 
-@query("SELECT * FROM (VALUES ('hashing-384', 'hashing-384', true), ('hashing-384', 'hashing-64', false)) t(space, requested, agrees)")
+@fixed("SELECT * FROM (VALUES ('hashing-384', 'hashing-384', true), ('hashing-384', 'hashing-64', false)) t(space, requested, agrees)")
 def ret17_model_of_space(spark, sf_dir):
     rows = []
     for space, requested in (("hashing-384", "hashing-384"), ("hashing-384", "hashing-64")):
@@ -187,7 +187,7 @@ def ret17_model_of_space(spark, sf_dir):
     return spark.createDataFrame(rows, "space string, requested string, agrees boolean")
 
 
-@query("SELECT * FROM (VALUES ('hashing-384', 384), ('hashing-64', 64)) t(name, dim)")
+@fixed("SELECT * FROM (VALUES ('hashing-384', 384), ('hashing-64', 64)) t(name, dim)")
 def crd13_models(spark, sf_dir):
     return spark.createDataFrame([(m.name, m.dim) for m in embedding.list_models() if m.kind == "hashing"], "name string, dim int")
 
@@ -297,7 +297,7 @@ def str3_streamed_bursts(spark, sf_dir):
     return spark.read.parquet(out).where("author != 'the end'").select("author", F.unix_millis("began").alias("began"), "writes", "notes")
 
 
-@query("SELECT * FROM (VALUES ('made', 4), ('evicted', 2)) t(what, n)")
+@fixed("SELECT * FROM (VALUES ('made', 4), ('evicted', 2)) t(what, n)")
 def str4_pool(spark, sf_dir):
     """Two tables fit: a third evicts the first, changed data are read anew, and idle ones go."""
     now, made = [0.0], []
@@ -463,7 +463,7 @@ def txt1_normalised(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalise(raw).cast("binary")).alias("text"))
 
 
-@query("""SELECT * FROM (VALUES ('{"a":1,"b":{"c":[2,"é"],"d":null}}')) t(json), LATERAL (SELECT sha256(json) AS hash)""")
+@fixed("""SELECT * FROM (VALUES ('{"a":1,"b":{"c":[2,"é"],"d":null}}')) t(json), LATERAL (SELECT sha256(json) AS hash)""")
 def txt3_stable_json(spark, sf_dir):
     text = config.stable_json({"b": {"d": None, "c": [2, "é"]}, "a": 1})
     return spark.createDataFrame([(text,)], "json string").withColumn("hash", F.sha2("json", 256))
@@ -481,7 +481,7 @@ def txt24_occurrences(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.count_occurrences(F.col("text"), F.upper("lang")).alias("times"))
 
 
-@query("SELECT * FROM (VALUES ('b20240229235959123'), ('b20250101000000000')) t(stamp)")
+@fixed("SELECT * FROM (VALUES ('b20240229235959123'), ('b20250101000000000')) t(stamp)")
 def txt28_batch_stamps(spark, sf_dir):
     at = [datetime(2024, 2, 29, 23, 59, 59, 123_456, timezone.utc), datetime(2025, 1, 1, tzinfo=timezone.utc)]
     return spark.createDataFrame([(R.new_batch_id(t),) for t in at], "stamp string")
