@@ -234,6 +234,17 @@ def jn19_typo_tolerance(spark, sf_dir):
     return near.select("asked", "token").distinct().groupBy("asked").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
 
 
+@query(
+    ctes(X.NOTES, X.QUERIES_SQL, X.QUERY_TOKENS, BODY)
+    + """, vocab AS (SELECT DISTINCT token FROM body_p),
+asked AS (SELECT DISTINCT token AS asked FROM query_tokens)
+SELECT asked, token FROM asked, vocab WHERE abs(length(asked) - length(token)) <= 2 AND levenshtein(asked, token) <= 2"""
+)
+def jn19_two_edits(spark, sf_dir):
+    idx = lexical.build(X.notes(spark, sf_dir), "id", {"text": F.col("body")})
+    return lexical.expand_typos(lexical.query_tokens(X.golden_queries(spark, sf_dir)), idx.postings, 2).select("asked", "token").distinct()
+
+
 #: What is relevant to a benchmark passage: documents that hold all of it; what
 #: is not: toxic ones among them.
 GOLDEN = """

@@ -175,10 +175,12 @@ def _here(df: DataFrame) -> tuple[DataFrame, pa.Table]:
     return df.sparkSession.createDataFrame(rows, df.schema).coalesce(1), rows
 
 
-def _near_words(tokens: pa.Table, near: inverted.Sorted, tolerance: int) -> pa.Table:
+def _near_words(tokens: pa.Table, near: inverted.Sorted, words: lexical.LexicalIndex, tolerance: int) -> pa.Table:
     """(qid, n_tokens, token, near): tokens with the known words near them."""
     if not tolerance:
         return tokens.append_column("near", tokens["token"])
+    if tolerance > 1:
+        return lexical.expand_typos(_local(near.spark, {c: tokens[c] for c in tokens.column_names}), words.postings, tolerance).select("qid", "n_tokens", F.col("asked").alias("token"), F.col("token").alias("near")).toArrow()
     asked = {w: {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))} for w in set(tokens["token"].to_pylist())}
     pairs = [(w, k) for w, ks in asked.items() for k in sorted(ks)]
     keys = _local(near.spark, {"asked": pa.array([w for w, _ in pairs], pa.string()), "key": pa.array([k for _, k in pairs], pa.string())})
@@ -207,10 +209,10 @@ def search_few(quick: QuickIndex, queries: DataFrame, config: dict | None = None
         vec = vectors.search(queries.select("qid", embedding.embed(F.col("q"), index.model, query=True).alias("vec")), index.vectors, k_pass, limits["minSimilarity"])
     if weights[0] > 0:
         tokens = lexical.query_tokens(queries).toArrow()
-        close = _near_words(tokens, quick.chunk_near, tolerance)
+        close = _near_words(tokens, quick.chunk_near, index.chunk_words, tolerance)
         times = Counter(zip(close["qid"].to_pylist(), close["near"].to_pylist(), strict=True))
         lex = inverted.search_words([(*key, n) for key, n in times.items()], quick.chunk_words, CHUNK_BOOSTS, k_pass)
-        named = _near_words(tokens, quick.note_near, tolerance)
+        named = _near_words(tokens, quick.note_near, index.note_words, tolerance)
         wanted = _local(spark, {c: named[x] for c, x in (("qid", "qid"), ("n_tokens", "n_tokens"), ("asked", "token"), ("token", "near"))})
         found = quick.note_words.postings(named["near"].to_pylist()).join(F.broadcast(wanted), "token").join(F.broadcast(quick.note_words.fields), "field")
         part = lexical.bm25(F.col("tf"), F.col("len"), F.col("avg_len"), F.col("n"), F.col("df")).alias("part")

@@ -68,15 +68,17 @@ def test_empty(spark):
 def test_few_queries(spark, sf_dir):
     """The whole search from the packed index is the search of batches."""
     from lexigraph.catalogue import fixtures, search_queries
+    from lexigraph.config import DEFAULTS, apply_patch
     from lexigraph.errors import BadRequest
     from lexigraph.plans import search
 
     index = search.kept(search_queries._search_index(spark, sf_dir))
     quick = search.quick(index)
     queries = fixtures.golden_queries(spark, sf_dir).orderBy("qid").limit(7)
-    for mode in ("hybrid", "lexical"):
-        want = {(r.qid, r["rank"]): r for r in search.search(index, queries, mode=mode).collect()}
-        got = {(r.qid, r["rank"]): r for r in search.search_few(quick, queries, mode=mode).collect()}
+    for mode, tolerance in (("hybrid", 1), ("lexical", 2)):
+        config = apply_patch(DEFAULTS, {"search.tolerance": tolerance})
+        want = {(r.qid, r["rank"]): r for r in search.search(index, queries, config, mode=mode).collect()}
+        got = {(r.qid, r["rank"]): r for r in search.search_few(quick, queries, config, mode=mode).collect()}
         assert set(got) == set(want) and len({q for q, _ in got}) == 7
         for key, r in got.items():
             w = want[key]
