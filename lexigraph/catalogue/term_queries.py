@@ -106,10 +106,15 @@ def fil5_blocked_and_floor(spark, sf_dir):
     return M.above_floor(M.without_blocked(nt, blocked), manual, 0.35).select("note_id", "term")
 
 
+def _bodies(spark, sf_dir):
+    """Notes without their status, which would join the labels for nothing."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
+
+
 @query(ctes(X.NOTE_TERMS, "vocab AS (SELECT DISTINCT term FROM note_terms WHERE length(term) > 6)") + "SELECT w.note_id, term FROM (SELECT DISTINCT note_id, term FROM words) w SEMI JOIN vocab USING (term)")
 def jn17_gazetteer(spark, sf_dir):
     terms = X.note_terms(spark, sf_dir).select("term").where(F.length("term") > 6).distinct()
-    return M.gazetteer_matches(X.notes(spark, sf_dir), terms)
+    return M.gazetteer_matches(_bodies(spark, sf_dir), terms)
 
 
 @query(
@@ -120,7 +125,7 @@ UNION SELECT doc_id, term FROM documents JOIN phrases ON term != '' AND contains
 def jn17_gazetteer_phrases(spark, sf_dir):
     first = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
     phrases = table(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(first.alias("term"))
-    return M.gazetteer_matches(X.notes(spark, sf_dir), X.note_terms(spark, sf_dir).select("term").unionByName(phrases).distinct())
+    return M.gazetteer_matches(_bodies(spark, sf_dir), X.note_terms(spark, sf_dir).select("term").unionByName(phrases).distinct())
 
 
 @query(ctes(X.NOTE_TERMS) + "SELECT term, count(*) AS n FROM note_terms GROUP BY term ORDER BY length(term) DESC, term")
