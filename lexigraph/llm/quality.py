@@ -32,13 +32,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import FILE_BYTES
-from .common import drop, lean, materialise, sliced
+from .common import drop, lean, materialise, sliced, small_batches
 from .langid import sampled
 
 SAMPLE, BITS = 20_000, 18
 SHARDS, ROUNDS = 8, 10
+#: Training rows that are read together.
+PACK = 256
 #: Bytes of texts whose words are looked at together.
-PIECE = 1 << 20
+PIECE = 1 << 18
 ALPHA, BETA, L1, L2 = 10.0, 1.0, 0.02, 0.0
 THRESHOLD = 0.3
 U = np.uint64
@@ -232,31 +234,45 @@ def _extract(bits: int):
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of a shard, in their order, as one row of arrays."""
-    held: dict[int, list] = {}
+    """Rows of a shard, in their order, PACK to a row of arrays."""
+    held: list[tuple] = []
     for b in batches:
-        for shard, y, at, x in zip(*(b[c].to_pylist() for c in ("shard", "y", "at", "x")), strict=True):
-            held.setdefault(shard, []).append((y, at, x))
-    for shard, rows in held.items():
-        sizes = np.array([len(at) // 4 for _, at, _ in rows], np.int32)
-        row = [np.array([y for y, _, _ in rows]).tobytes(), sizes.tobytes(), b"".join(at for _, at, _ in rows), b"".join(x for _, _, x in rows)]
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *[pa.array([x], pa.binary()) for x in row]], ["shard", "y", "sizes", "at", "x"])
+        for row in zip(*(b[c].to_pylist() for c in ("shard", "y", "at", "x")), strict=True):
+            if held and (len(held) == PACK or held[0][0] != row[0]):
+                yield _pack(held)
+                held = []
+            held.append(row)
+    if held:
+        yield _pack(held)
+
+
+def _pack(rows: list[tuple]) -> pa.RecordBatch:
+    sizes = np.array([len(at) // 4 for _, _, at, _ in rows], np.int32)
+    packed = [np.array([y for _, y, _, _ in rows]).tobytes(), sizes.tobytes(), b"".join(at for _, _, at, _ in rows), b"".join(x for _, _, _, x in rows)]
+    return pa.RecordBatch.from_arrays([pa.array([rows[0][0]], pa.int32()), *[pa.array([x], pa.binary()) for x in packed]], ["shard", "y", "sizes", "at", "x"])
 
 
 def _round(state: Leader):
     """One pass over each shard's rows from a state; what of the state changed."""
 
+    def moved(shard: int, mine: Leader) -> pa.RecordBatch:
+        changed = np.flatnonzero(mine.n != state.n).astype(np.int32)
+        parts = [changed.tobytes(), *((new - old)[changed].astype(np.float32).tobytes() for new, old in ((mine.z, state.z), (mine.n, state.n)))]
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *[pa.array([x], pa.binary()) for x in parts]], ["shard", "at", "z", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bias = len(state.z) - 1
+        bias, shard, mine = len(state.z) - 1, None, None
         for b in sliced(batches, 1):
-            mine = Leader(state.z.copy(), state.n.copy())
+            if b["shard"][0].as_py() != shard:
+                if mine is not None:
+                    yield moved(shard, mine)
+                shard, mine = b["shard"][0].as_py(), Leader(state.z.copy(), state.n.copy())
             y, sizes, at, x = (np.frombuffer(b[c][0].as_buffer(), t) for c, t in (("y", np.float64), ("sizes", np.int32), ("at", np.int32), ("x", np.float32)))
             ends = np.cumsum(sizes)
             for label, begin, end in zip(y, ends - sizes, ends, strict=True):
                 mine.learn(np.append(at[begin:end], np.int32(bias)), np.append(x[begin:end].astype(np.float64), 1.0), float(label))
-            changed = np.flatnonzero(mine.n != state.n).astype(np.int32)
-            moved = [changed.tobytes(), *((new - old)[changed].astype(np.float32).tobytes() for new, old in ((mine.z, state.z), (mine.n, state.n)))]
-            yield pa.RecordBatch.from_arrays([b["shard"], *[pa.array([x], pa.binary()) for x in moved]], ["shard", "at", "z", "n"])
+        if mine is not None:
+            yield moved(shard, mine)
 
     return run
 
@@ -272,7 +288,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         state = Leader.start(bits)
         for _ in range(rounds):
             # A row for each shard, of 12 bytes for each feature at most, however many rows were learned from.
-            moved = dealt.mapInArrow(lean(_round(state)), "shard int, at binary, z binary, n binary").toArrow().sort_by("shard")
+            with small_batches(docs.sparkSession, 4):
+                moved = dealt.mapInArrow(lean(_round(state)), "shard int, at binary, z binary, n binary").toArrow().sort_by("shard")
             if not moved.num_rows:
                 return None
             for i in range(moved.num_rows):
