@@ -12,8 +12,9 @@ rendered text of one comes as a row for each block.
 Defined results: rows repeated exactly count once; turns with equal numbers are
 ordered by their contents' hashes; null turns come first; a null role renders as
 ``user`` and a null text as empty, but both differ from the strings in
-comparisons; a null conversation id is an id like any other. Other columns of
-the input are not read.
+comparisons; a null conversation id is an id like any other. Turns of one number,
+null ones too, are one block of one row. No rows give no rows. Other columns of the
+input are not read.
 """
 
 from __future__ import annotations

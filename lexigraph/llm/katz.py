@@ -6,8 +6,8 @@
                                        that of any unknown word
 
 The discounts d are Good-Turing's as Katz scales them for counts up to
-``GT_MAX``. The query keeps every bigram (min_count 1). With a larger min_count,
-of which MIN_COUNT is the default, rarer ones leave their mass to the backoff.
+``GT_MAX``. Every bigram is kept unless a min_count above 1 is asked for; with one,
+rarer ones leave their mass to the backoff.
 alpha(v) = (1 - mass of v's kept bigrams) / (1 - P of their words) makes each
 context's distribution sum to one exactly. A context without mass left for
 others has its kept counts scaled by c / (c + 1/2).

@@ -10,7 +10,9 @@ the file's size before anything is allocated by it.
 
 Defined results: a null text is an empty one; a null or broken container, however
 it is broken, gives null features with the error's name in ``error``; repeated
-rows give repeated rows. Other columns of the input are not read.
+rows give repeated rows. An empty text is 64 zero bytes; a very long one has more
+samples, and its sample tables are held whole, its samples once. No rows give no
+rows. Other columns of the input are not read.
 """
 
 from __future__ import annotations

@@ -15,7 +15,9 @@ whatever partitions and order.
 
 Defined results: a null text has no words; sources order by code point, null
 last; a source without words has target 0; a null or repeated id is a document
-like any other. Other columns of the input are kept when asked for.
+like any other. A very long text counts by its words, read once; rows of one id
+and size may change places; no rows give no rows. Other columns of the input
+are kept when asked for.
 """
 
 from __future__ import annotations

@@ -13,7 +13,9 @@ well, so every task sees its successors without a global sort in one task.
 Defined results: a null text is an empty one; a text without k-mers is one
 k-mer, and an empty text has none, with a signature of its own; fewer than ``l``
 k-mers make a shorter tuple. Null ids come last, rows with equal ids order by
-text. Other columns of the input are not read.
+text; rows of one id, and all null ids, are in one range and so in one task. Of equal
+hashes the earlier k-mer is taken. No rows give no rows. Other columns of the input
+are not read.
 """
 
 from __future__ import annotations

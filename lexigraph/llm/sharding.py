@@ -11,8 +11,9 @@ slot_buckets rows) is added. No task holds a shard; rows with one id, a null one
 too, are spread unless they are equal in all that is returned.
 
 Defined results: a null key is a key like any other; repeated rows share a
-shard and get slots of their own; a null text has size 1 and CRC 0. Other
-columns of the input are not read.
+shard and get slots of their own; a null text has size 1 and CRC 0. Equal scores
+of two shards go to the lower one; no rows give no rows. Other columns of the input
+are not read.
 """
 
 from __future__ import annotations

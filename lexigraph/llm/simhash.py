@@ -16,7 +16,9 @@ That makes 2,081 rows for each, whatever the group's size.
 Defined results: words are split at ASCII white space, A-Z are lower-cased, a
 text without words has fingerprint zero, a null text too; a null id is in the
 component of its fingerprint but never names one. Rows with equal ids share a
-component only if their fingerprints do. Other columns of the input are not read.
+component only if their fingerprints do. A bit that exactly half of the hashes have
+is 0. A very long text is one row of one task, read whole; no rows give no rows.
+Other columns of the input are not read.
 """
 
 from __future__ import annotations

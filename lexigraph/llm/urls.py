@@ -7,8 +7,11 @@ among which the expression's own digest confirms a match. The longest rule
 decides; at equal length the one with the longer host, then the one that blocks.
 
 Defined results: a null URL and one without ``://`` have an empty host and path,
-match nothing and take no part in the joins; a URL that no rule fits gets ``default``. Repeated rows stay
-repeated, null ids stay null. Other columns of the input are not read.
+match nothing and take no part in the joins; a URL that no rule fits gets
+``default``. Rules without a host are left out; a rule without a verdict is named
+and allows. Repeated rows stay repeated, null ids stay null; a very long URL is
+expanded in the rules' shapes alone; no rows give no rows. Other columns of the
+input are not read.
 """
 
 from __future__ import annotations
