@@ -391,13 +391,14 @@ def txt19_filled_buckets(spark, sf_dir):
 
 @query("""WITH lemmas AS (SELECT DISTINCT source AS lemma, list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split(source, ''), lambda c: ord(c)::UBIGINT)), lambda h, c: (xor(h, c) * 16777619::UBIGINT) % 4294967296::UBIGINT) % 64 AS one,
   list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split('~' || source, ''), lambda c: ord(c)::UBIGINT)), lambda h, c: (xor(h, c) * 16777619::UBIGINT) % 4294967296::UBIGINT) % 64 AS half FROM documents)
-SELECT vec_id AS note_id, lemma, round((embedding[(one + 1)::BIGINT]::DOUBLE + 0.5 * embedding[(half + 1)::BIGINT]::DOUBLE) / CASE WHEN one = half THEN 1.5 ELSE sqrt(1.25) END / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS embedding FROM embeddings, lemmas""")
+SELECT DISTINCT vec_id AS note_id, lemma, round((embedding[(one + 1)::BIGINT]::DOUBLE + 0.5 * embedding[(half + 1)::BIGINT]::DOUBLE) / CASE WHEN one = half THEN 1.5 ELSE sqrt(1.25) END / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) + 0.0::DOUBLE AS embedding
+FROM embeddings JOIN documents ON doc_id IN (vec_id, 2 * vec_id + 1, 3 * vec_id + 2) JOIN lemmas ON lemma = source""")
 def trm8_nearness_of_lemmas(spark, sf_dir):
-    """Each source's name as a candidate of each vector's note."""
+    """The sources of three documents as candidates of each vector's note."""
     vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("note_id"), F.col("embedding").alias("vec"))
-    names = table(spark, sf_dir, "documents").select(F.col("source").alias("lemma")).distinct().agg(F.collect_set("lemma").alias("ls"))
-    pool = vecs.select("note_id").join(F.broadcast(names)).select("note_id", F.explode("ls").alias("lemma")).withColumn("text", F.col("lemma"))
-    return M.embedding_scores(pool, vecs, embedding.find_model("hashing-64")).select("note_id", "lemma", F.round("embedding", 4).alias("embedding"))
+    three = vecs.select("note_id", F.explode(F.array(F.col("note_id"), 2 * F.col("note_id") + 1, 3 * F.col("note_id") + 2)).alias("doc_id"))
+    pool = three.join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").select("note_id", F.col("source").alias("lemma")).distinct().withColumn("text", F.col("lemma"))
+    return M.embedding_scores(pool, vecs, embedding.find_model("hashing-64")).select("note_id", "lemma", (F.round("embedding", 4) + 0.0).alias("embedding"))
 
 
 # ---- diffs, repair, import ----
