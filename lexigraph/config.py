@@ -23,7 +23,7 @@ DEFAULTS: dict[str, Any] = {
         "prependHeadings": True,
         "indexCode": True,
     },
-    "keywords": {"topN": 12, "phrases": 6, "minScore": 0.35, "autoWeight": 1, "promoteMinDf": 3, "promoteMinScore": 0.5},
+    "keywords": {"topNKeywords": 12, "topNPhrases": 6, "minScore": 0.35, "autoWeight": 1, "promoteMinDf": 3, "promoteMinScore": 0.5},
     "search": {
         "mode": "hybrid",
         "hybridWeights": {"text": 0.5, "vector": 0.5},

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Beyond these a diff counts all lines as changed.
 MAX_LINES, MAX_CELLS = 4_000, 1_000_000
 
 

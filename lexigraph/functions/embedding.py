@@ -56,6 +56,7 @@ def space_id(model: Model, chunking: dict, version: str = "1") -> str:
     return sha256(stable_json({"model": asdict(model), "chunking": chunking, "version": version}).encode()).hexdigest()[:16]
 
 
+#: FNV-1a's constants here, and below the half weight of a word's second bucket.
 @lru_cache(maxsize=200_000)
 def fnv1a(text: str) -> int:
     h = 0x811C9DC5

@@ -51,17 +51,19 @@ def search_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9]+"), F.lit(0))
 
 
+#: The regular plurals. Endings that stay; endings with how many
+#: letters go and what takes their place, the first that fits.
+NO_PLURAL, SHORTEST = "(ss|us|is|as|os)$", 4
+PLURALS = (("[^aeiou]ies$", 3, "y"), ("(ch|sh|s|x|z)es$", 2, ""), ("[^s]s$", 1, ""))
+
+
 def singular(word: Column) -> Column:
     """The regular English singular of a word, where it has one."""
     w = F.lower(word)
-    cut = lambda n: F.substring(w, F.lit(1), F.length(w) - n)
-    return (
-        F.when((F.length(w) < 4) | w.rlike("(ss|us|is|as|os)$"), w)
-        .when(w.rlike("[^aeiou]ies$"), F.concat(cut(3), F.lit("y")))
-        .when(w.rlike("(ch|sh|s|x|z)es$"), cut(2))
-        .when(w.rlike("[^s]s$"), cut(1))
-        .otherwise(w)
-    )
+    out = F.when((F.length(w) < SHORTEST) | w.rlike(NO_PLURAL), w)
+    for ending, gone, instead in PLURALS:
+        out = out.when(w.rlike(ending), F.concat(F.substring(w, F.lit(1), F.length(w) - gone), F.lit(instead)))
+    return out.otherwise(w)
 
 
 def lemma_key(c: Column) -> Column:

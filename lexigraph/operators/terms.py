@@ -178,13 +178,9 @@ def _lemma(text: str) -> str:
 
 @lru_cache(maxsize=100_000)
 def _singular(w: str) -> str:
-    if len(w) < 4 or re.search("(ss|us|is|as|os)$", w):
+    if len(w) < T.SHORTEST or re.search(T.NO_PLURAL, w):
         return w
-    if re.search("[^aeiou]ies$", w):
-        return w[:-3] + "y"
-    if re.search("(ch|sh|s|x|z)es$", w):
-        return w[:-2]
-    return w[:-1] if re.search("[^s]s$", w) else w
+    return next((w[:-gone] + instead for ending, gone, instead in T.PLURALS if re.search(ending, w)), w)
 
 
 def noun_phrases(sentences: list[str], most: int = 4) -> list[dict]:
