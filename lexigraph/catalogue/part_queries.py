@@ -205,18 +205,17 @@ def evl2_trial_settings(spark, sf_dir):
 
 @query(ctes(STATS) + f"SELECT DISTINCT note_id, round(coalesce(avg(CASE WHEN content THEN tf END) OVER p, 1), 6) AS mean, round(coalesce(stddev_pop(CASE WHEN content THEN tf END) OVER p, 0), 6) AS dev, greatest(coalesce(max(CASE WHEN content THEN tf END) OVER p, 1), 1) AS most FROM (SELECT *, word NOT IN ({X.stop_list()}) AS content FROM stats) WINDOW p AS (PARTITION BY note_id)")
 def agg16_frequency_spread(spark, sf_dir):
-    mean, dev, most = M.tf_spread()
-    return M.word_stats(X.notes(spark, sf_dir)).select("note_id", F.round(mean, 6).alias("mean"), F.round(dev, 6).alias("dev"), most.alias("most")).distinct()
+    return M.note_spread(X.bodies(spark, sf_dir)).select("note_id", F.round("mean", 6).alias("mean"), F.round("dev", 6).alias("dev"), "most")
 
 
 @query(ctes(STATS) + "SELECT note_id, word, left_kinds, left_all, right_kinds, right_all FROM stats")
 def win5_neighbour_words(spark, sf_dir):
-    return M.word_stats(X.notes(spark, sf_dir)).select("note_id", "word", "left_kinds", "left_all", "right_kinds", "right_all")
+    return M.word_stats(X.bodies(spark, sf_dir)).select("note_id", "word", "left_kinds", "left_all", "right_kinds", "right_all")
 
 
 @query(ctes(STATS) + "SELECT note_id, word, ats[len(ats) // 2 + 1]::INT AS middle FROM stats")
 def win9_median_sentence(spark, sf_dir):
-    return M.word_stats(X.notes(spark, sf_dir)).select("note_id", "word", "middle")
+    return M.word_stats(X.bodies(spark, sf_dir)).select("note_id", "word", "middle")
 
 
 @query(ctes(X.NOTE_TERMS) + "SELECT note_id, term FROM note_terms WHERE score >= 0.35 AND NOT (term = 'the' AND note_id IN (SELECT doc_id FROM documents WHERE lang = 'en'))")

@@ -19,13 +19,13 @@ lemma_df AS (SELECT lemma, count(*) AS df FROM lemma_rows GROUP BY lemma)"""
 
 @query(ctes(LEMMAS) + "SELECT lemma, df FROM lemma_df")
 def agg5_lemma_frequencies(spark, sf_dir):
-    return M.lemma_frequencies(X.notes(spark, sf_dir))
+    return M.lemma_frequencies(X.bodies(spark, sf_dir))
 
 
 @query(ctes(LEMMAS) + "SELECT lemma, round(ln((n + 1) / (greatest(1, df) + 0.5)), 6) AS idf FROM lemma_df, (SELECT count(*) AS n FROM documents)")
 def trm5_idf(spark, sf_dir):
     n = F.lit(table(spark, sf_dir, "documents").count())
-    return M.lemma_frequencies(X.notes(spark, sf_dir)).select("lemma", F.round(M.smoothed_idf(n, F.col("df")), 6).alias("idf"))
+    return M.lemma_frequencies(X.bodies(spark, sf_dir)).select("lemma", F.round(M.smoothed_idf(n, F.col("df")), 6).alias("idf"))
 
 
 STATS = f"""
@@ -43,7 +43,7 @@ stats AS (
 
 @query(ctes(STATS) + "SELECT note_id, word, tf, capitalised, acronyms, left_kinds, left_all, right_kinds, right_all, n_sentences::INT AS n_sentences, len(ats)::INT AS sentences, ats[len(ats) // 2 + 1]::INT AS middle FROM stats")
 def agg17_word_stats(spark, sf_dir):
-    return M.word_stats(X.notes(spark, sf_dir))
+    return M.word_stats(X.bodies(spark, sf_dir))
 
 
 @query(
@@ -58,7 +58,7 @@ rels AS (SELECT *, 1 + (left_kinds / greatest(1, left_all) + right_kinds / great
     + """SELECT note_id, word, round(rel * ln(ln(3.0 + ats[len(ats) // 2 + 1])) / greatest(1e-9, greatest(capitalised, acronyms) / (1 + ln(tf)) + tf / greatest(1e-9, mean + dev) / rel + len(ats) / greatest(1, n_sentences) / rel), 5) AS cost FROM rels"""
 )
 def trm3_yake_words(spark, sf_dir):
-    return M.yake(M.word_stats(X.notes(spark, sf_dir))).select("note_id", "word", F.round("cost", 5).alias("cost"))
+    return M.yake(M.word_stats(X.bodies(spark, sf_dir), spread=True)).select("note_id", "word", F.round("cost", 5).alias("cost"))
 
 
 @query(
@@ -106,15 +106,10 @@ def fil5_blocked_and_floor(spark, sf_dir):
     return M.above_floor(M.without_blocked(nt, blocked), manual, 0.35).select("note_id", "term")
 
 
-def _bodies(spark, sf_dir):
-    """Notes without their status, which would join the labels for nothing."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
-
-
 @query(ctes(X.NOTE_TERMS, "vocab AS (SELECT DISTINCT term FROM note_terms WHERE length(term) > 6)") + "SELECT w.note_id, term FROM (SELECT DISTINCT note_id, term FROM words) w SEMI JOIN vocab USING (term)")
 def jn17_gazetteer(spark, sf_dir):
     terms = X.note_terms(spark, sf_dir).select("term").where(F.length("term") > 6).distinct()
-    return M.gazetteer_matches(_bodies(spark, sf_dir), terms)
+    return M.gazetteer_matches(X.bodies(spark, sf_dir), terms)
 
 
 @query(
@@ -125,7 +120,7 @@ UNION SELECT doc_id, term FROM documents JOIN phrases ON term != '' AND contains
 def jn17_gazetteer_phrases(spark, sf_dir):
     first = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
     phrases = table(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(first.alias("term"))
-    return M.gazetteer_matches(_bodies(spark, sf_dir), X.note_terms(spark, sf_dir).select("term").unionByName(phrases).distinct())
+    return M.gazetteer_matches(X.bodies(spark, sf_dir), X.note_terms(spark, sf_dir).select("term").unionByName(phrases).distinct())
 
 
 @query(ctes(X.NOTE_TERMS) + "SELECT term, count(*) AS n FROM note_terms GROUP BY term ORDER BY length(term) DESC, term")
@@ -149,13 +144,13 @@ def set6_jaccard(spark, sf_dir):
 
 @query()
 def trm1_candidates(spark, sf_dir):
-    return M.candidates(X.notes(spark, sf_dir)).select("note_id", "lemma", "text", "kind", "count", "first_sentence", "sentences")
+    return M.candidates(X.bodies(spark, sf_dir)).select("note_id", "lemma", "text", "kind", "count", "first_sentence", "sentences")
 
 
 def scored_terms(spark, sf_dir):
-    notes = X.notes(spark, sf_dir)
+    notes = X.bodies(spark, sf_dir)
     found = M.candidates(notes)
-    with_yake = M.phrase_costs(found, M.yake(M.word_stats(notes)))
+    with_yake = M.phrase_costs(found, M.yake(M.word_stats(notes, spread=True)))
     n = F.lit(notes.count())
     with_idf = with_yake.join(M.lemma_frequencies(notes), "lemma", "left").withColumn("idf", M.smoothed_idf(n, F.col("df"))).drop("df")
     none = F.array().cast("array<string>")

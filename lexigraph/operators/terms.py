@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import NotFound
+from ..functions import counting
 from ..functions import text as T
 from . import gazetteer as gazetteer_search
 from .ranking import max_normalised, reciprocal_rank_fusion, row_numbers
@@ -37,41 +38,24 @@ def smoothed_idf(n: Column, df: Column) -> Column:
     return F.log((n + 1) / (F.greatest(F.lit(1), F.coalesce(df, F.lit(0))) + 0.5))
 
 
-def word_stats(notes: DataFrame) -> DataFrame:
+def word_stats(notes: DataFrame, spread: bool = False) -> DataFrame:
     """Of each note's words: tf, capitalised (not first in a sentence), acronyms,
     sentences, middle (its middle sentence), neighbours left and right, distinct
-    and in all, and n_sentences of the note.
+    and in all, and n_sentences of the note. With spread also what tf_spread says.
 
-    Neighbours are read within the row. Notes are dealt by id before they are
-    taken apart, so counting by note, word and sentence or neighbour needs no
-    exchange; all sums are plain hash aggregates.
+    A note is counted within its row, as its text is there already; words aren't
+    moved, and a task holds some hundred notes at once.
     """
-    # What stands beside a generator is worked out for each row that it makes: sizes come before.
-    cut = notes.repartition("id").select(F.col("id").alias("note_id"), T.sentences(F.col("body")).alias("ss"))
-    one = cut.select("note_id", "ss", F.size("ss").alias("n_sentences")).select("note_id", "n_sentences", F.posexplode("ss").alias("sentence", "s"))
-    words = one.select("note_id", "n_sentences", "sentence", T.yake_words(F.col("s")).alias("raw")).where(F.size("raw") > 0)
-    low, none = F.transform("raw", F.lower), F.array(F.lit(None).cast("string"))
-    rest = F.greatest(F.size("raw") - 1, F.lit(0))
-    beside = F.arrays_zip(F.col("raw").alias("word"), F.concat(none, F.slice(low, F.lit(1), rest)).alias("before"), F.concat(F.slice(low, F.lit(2), rest), none).alias("after"))
-    words = words.select("note_id", "n_sentences", "sentence", F.posexplode(beside).alias("at", "w")).select("note_id", "n_sentences", "sentence", "at", F.col("w.word").alias("as_is"), F.lower("w.word").alias("word"), F.col("w.before").alias("before"), F.col("w.after").alias("after"))
-
-    capital = F.col("as_is").rlike("^[A-Z][a-z]") & (F.col("at") > 0)
-    by_sentence = words.groupBy("note_id", "word", "sentence").agg(F.count(F.lit(1)).alias("tf"), F.count_if(capital).alias("capitalised"), F.count_if(F.col("as_is").rlike("^[A-Z0-9_]{2,}$")).alias("acronyms"), F.max("n_sentences").alias("n_sentences"))
-    mine = W.partitionBy("note_id", "word")
-    place, of = F.row_number().over(mine.orderBy("sentence")), F.count(F.lit(1)).over(mine)
-    by_sentence = by_sentence.withColumn("middle", F.when(place == F.floor(of / 2) + 1, F.col("sentence")))
-
-    sides = words.select("note_id", "word", F.explode(F.array(F.struct(F.lit(True).alias("left"), F.col("before").alias("other")), F.struct(F.lit(False).alias("left"), F.col("after").alias("other")))).alias("n"))
-    sides = sides.where("n.other is not null").groupBy("note_id", "word", "n.left", "n.other").agg(F.count(F.lit(1)).alias("all")).withColumnRenamed("left", "is_left")
-
-    zero, nil = F.lit(0).cast("long"), F.lit(None).cast("int")
-    left = lambda c: F.when(F.col("is_left"), c).otherwise(zero)
-    right = lambda c: F.when(F.col("is_left"), zero).otherwise(c)
-    one_ = F.lit(1).cast("long")
-    counts = ["tf", "capitalised", "acronyms", "sentences", "left_kinds", "left_all", "right_kinds", "right_all"]
-    a = by_sentence.select("note_id", "word", "tf", "capitalised", "acronyms", one_.alias("sentences"), *[zero.alias(c) for c in counts[4:]], "middle", "n_sentences")
-    b = sides.select("note_id", "word", *[zero.alias(c) for c in counts[:4]], left(one_).alias("left_kinds"), left(F.col("all")).alias("left_all"), right(one_).alias("right_kinds"), right(F.col("all")).alias("right_all"), nil.alias("middle"), nil.alias("n_sentences"))
-    return a.unionByName(b).groupBy("note_id", "word").agg(*[F.sum(c).alias(c) for c in counts], F.max("middle").alias("middle"), F.max("n_sentences").alias("n_sentences")).withColumn("sentences", F.col("sentences").cast("int"))
+    return counting.word_numbers(_sentences(notes), "note_id", (*counting.NUMBERS, *(counting.SPREAD if spread else ())))
+
+
+def note_spread(notes: DataFrame) -> DataFrame:
+    """(note_id, mean, dev, most) of tf_spread, a row for each note with words."""
+    return counting.word_numbers(_sentences(notes), "note_id", counting.SPREAD, by_note=True)
+
+
+def _sentences(notes: DataFrame) -> DataFrame:
+    return notes.select(F.col("id").alias("note_id"), T.sentences(F.col("body")).alias("ss"))
 
 
 def tf_spread() -> tuple[Column, Column, Column]:
@@ -83,8 +67,9 @@ def tf_spread() -> tuple[Column, Column, Column]:
 
 
 def yake(stats: DataFrame) -> DataFrame:
-    """(note_id, word, tf, cost): low costs make good keywords."""
-    mean, dev, most = tf_spread()
+    """(note_id, word, tf, cost): low costs make good keywords. The spread of a
+    note's frequencies is read from stats where they have it."""
+    mean, dev, most = map(F.col, counting.SPREAD) if set(counting.SPREAD) <= set(stats.columns) else tf_spread()
     casing = F.greatest("capitalised", "acronyms") / (1 + F.log(F.col("tf").cast("double")))
     position = F.log(F.log(3.0 + F.col("middle")))
     frequency = F.col("tf") / F.greatest(F.lit(1e-9), mean + dev)
