@@ -23,7 +23,7 @@ from ..errors import NotFound
 from ..storage import materialise
 from .ranking import top_k
 
-BLOCK_BYTES, CELLS, SENT_BLOCKS = 64 << 20, 4 << 20, 8
+BLOCK_BYTES, CELLS, SENT_BLOCKS, EMITTED = 64 << 20, 4 << 20, 8, 1 << 19
 
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -34,6 +34,24 @@ def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return usable, rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def _found(qids: list, score: np.ndarray, ids: np.ndarray, floor: float | None) -> pa.RecordBatch:
+    at, which = np.nonzero(score >= floor) if floor is not None else np.nonzero(np.ones_like(score, bool))
+    return pa.RecordBatch.from_arrays([pa.array(qids, pa.string()).take(pa.array(at)), pa.array(ids[at, which], pa.int64()), pa.array(score[at, which])], ["qid", "doc", "score"])
+
+
+def _all(qids: list, q: np.ndarray, floor: float | None):
+    """Every score of a slice of EMITTED cells, passed on before the next is made."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        few = max(1, EMITTED // len(qids))
+        for b in (x.slice(i, few) for x in batches for i in range(0, x.num_rows, few)):
+            usable, rows = _matrix(b["vec"], q.shape[1])
+            ids = b["id"].to_numpy(zero_copy_only=False)[usable]
+            yield _found(qids, q @ rows.T, np.broadcast_to(ids, (len(qids), len(ids))), floor)
+
+    return run
+
+
 def _best(qids: list, q: np.ndarray, k: int, floor: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = np.empty((len(qids), 0))
@@ -52,21 +70,23 @@ def _best(qids: list, q: np.ndarray, k: int, floor: float | None):
                 shown, held = np.take_along_axis(shown, near, 1), np.take_along_axis(ids, near, 1)
                 order = np.take_along_axis(near, np.lexsort((held, -shown), axis=1)[:, :k], 1)
                 score, ids = np.take_along_axis(score, order, 1), np.take_along_axis(ids, order, 1)
-        at, which = np.nonzero(score >= floor) if floor is not None else np.nonzero(np.ones_like(score, bool))
-        yield pa.RecordBatch.from_arrays([pa.array([qids[i] for i in at], pa.string()), pa.array(ids[at, which], pa.int64()), pa.array(score[at, which])], ["qid", "doc", "score"])
+        yield _found(qids, score, ids, floor)
 
     return run
 
 
-def search(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None = None) -> DataFrame:
+def search(queries: DataFrame, vectors: DataFrame, k: int | None, floor: float | None = None) -> DataFrame:
     """queries (qid, vec), vectors (id, vec) of unit length. Returns (qid, doc,
-    score, rank): each query's k nearest by dot product, none below floor."""
+    score, rank): each query's k nearest by dot product, none below floor. Without a
+    cut (k None) all scores come as they are made, (qid, doc, score): a task holds
+    those of one slice."""
     rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
     about = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
     if not about["n"]:
-        return queries.sparkSession.createDataFrame([], "qid string, doc long, score double, rank int")
+        return queries.sparkSession.createDataFrame([], "qid string, doc long, score double" + ("" if k is None else ", rank int"))
     size = max(1, BLOCK_BYTES // (8 * about["dim"]))
-    best = lambda part: rows.mapInArrow(_best([x for x, _ in part], np.array([v for _, v in part], np.float64), k, floor), "qid string, doc long, score double")
+    run = (lambda *a: _all(*a, floor)) if k is None else (lambda *a: _best(*a, k, floor))
+    best = lambda part: rows.mapInArrow(run([x for x, _ in part], np.array([v for _, v in part], np.float64)), "qid string, doc long, score double")
     listed = lambda df: sorted((str(r["qid"]), r["vec"]) for r in df.select("qid", "vec").collect())
     if about["n"] <= SENT_BLOCKS * size:
         asked = listed(queries)
@@ -75,7 +95,8 @@ def search(queries: DataFrame, vectors: DataFrame, k: int, floor: float | None =
         n = -(-2 * about["n"] // size)
         dealt = materialise(queries.select("qid", "vec", F.pmod(F.xxhash64("qid"), F.lit(n)).alias("block")).repartition("block").sortWithinPartitions("block"), "vector-queries")
         found = [materialise(best(part), "vector-hits") for part in (listed(dealt.where(F.col("block") == i)) for i in range(n)) if part]
-    return top_k(reduce(DataFrame.unionByName, found), "qid", "score", "doc", k)
+    found = reduce(DataFrame.unionByName, found)
+    return found if k is None else top_k(found, "qid", "score", "doc", k)
 
 
 def mean_vectors(rows: DataFrame, key: str, vec: str = "vec") -> DataFrame:
