@@ -99,9 +99,8 @@ class Clustered:
         return self.blocks.read(words).select("field", "token", zipped, "df").select("field", "token", "p.doc", "p.tf", "p.len", "df")
 
 
-def _scored(most: bool = False):
-    score = lexical.bm25(F.col("tf"), F.col("len"), F.col("avg_len"), F.col("n"), F.col("df"))
-    return F.max(score).alias("most") if most else score
+def _scored():
+    return lexical.bm25(F.col("tf"), F.col("len"), F.col("avg_len"), F.col("n"), F.col("df"))
 
 
 def write(index: lexical.LexicalIndex, name: str = "clustered") -> Clustered:
@@ -110,12 +109,16 @@ def write(index: lexical.LexicalIndex, name: str = "clustered") -> Clustered:
     fields = materialise(index.fields, f"{name}-fields")
     n = fields.agg(F.max("n").alias("n")).first()["n"] or 0
     intervals = max(1, -(-n // DOCS))
+    # Postings are moved once, into blocks; df and scores are worked out from those.
+    source = index.postings if index.counts is None else index.counts
+    rows = source.withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(intervals)))
+    packed = materialise(rows.groupBy("token", "field", "block").agg(F.sort_array(F.collect_list(F.struct("doc", "tf", "len"))).alias("ps"), *([F.first("df").alias("df")] if "df" in rows.columns else [])), f"{name}-blocks")
+    if "df" not in packed.columns:
+        packed = packed.join(packed.groupBy("token", "field").agg(F.sum(F.size("ps")).alias("df")), ["token", "field"])
     # The fields' statistics have a row for each field of the schema.
-    rows = index.postings.join(F.broadcast(fields), "field").withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(intervals)))
-    one = F.struct("doc", "tf", "len")
-    packed = rows.groupBy("token", "field", "block").agg(_scored(most=True), F.sort_array(F.collect_list(one)).alias("ps"), F.first("df").alias("df"))
-    packed = packed.select("token", "field", "block", "most", *[F.col(f"ps.{c}").alias(c) for c in ("doc", "tf", "len")], "df")
-    packed = materialise(packed, f"{name}-blocks")
+    score = lambda p: lexical.bm25(p["tf"], p["len"], F.col("avg_len"), F.col("n"), F.col("df"))
+    packed = packed.join(F.broadcast(fields), "field").select("token", "field", "block", F.array_max(F.transform("ps", score)).alias("most"), *[F.col(f"ps.{c}").alias(c) for c in ("doc", "tf", "len")], "df")
+    packed = materialise(packed, f"{name}-scored")
     return Clustered(write_sorted(packed, "token", "field", "block", name=f"{name}-sorted", rows=FILE_BLOCKS), fields)
 
 

@@ -85,3 +85,12 @@ def test_few_queries(spark, sf_dir):
             assert (r.id, r.title, r.via) == (w.id, w.title, w.via) and r.score == pytest.approx(w.score, abs=1.1e-6) and [s.chunk_id for s in r.snippets] == [s.chunk_id for s in w.snippets]
     with pytest.raises(BadRequest):
         search.search_few(quick, spark.range(65).selectExpr("cast(id as string) as qid", "'x' as q"))
+
+
+def test_packed_from_counts_or_from_postings(spark):
+    from dataclasses import replace
+
+    docs = spark.createDataFrame([(i, f"w{i % 3} w{i % 5} w0") for i in range(60)], "id long, body string")
+    index = lexical.build(docs, "id", {"body": F.col("body")})
+    rows = lambda c: sorted(map(repr, c.blocks.read([f"w{i}" for i in range(5)]).collect()))
+    assert rows(inverted.write(index)) == rows(inverted.write(replace(index, counts=None)))
