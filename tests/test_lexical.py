@@ -51,3 +51,45 @@ def test_pieces_of_a_task(corpus, asked):
     rows = pa.table({"token": ["x", "y", "x", "y", "y"], "doc": [1, 1, 2, 3, 3], "part": [1.0, 0.5, 3.0, 0.25, 0.25]})
     got = {(r["qid"], r["doc"]): r["score"] for b in lexical._best_of(rows, ask, 2) for r in b.to_pylist()}
     assert got == {("a", 1): 1.0, ("a", 2): 3.0, ("b", 1): 2.0, ("b", 2): 3.0}
+
+
+@pytest.mark.parametrize("k", [1, 5, 1000])
+def test_all_words_in_tasks(spark, corpus, asked, monkeypatch, k):
+    """The same as by joins of pairs, in one block and in several, in small pieces; a
+    word of no document finds nothing, and sets that several ask for are met once."""
+    index = lexical.build(corpus, "id", {"body": F.col("body"), "title": F.col("title")})
+    boosts = {"body": 1.0, "title": 2.5}
+    more = asked.unionByName(spark.createDataFrame([("twice", "w1 w3 w1"), ("order", "w3 w1"), ("half", "w1 zzz"), ("empty", None), ("blank", "!")], "qid string, q string"))
+    want = sorted((r.qid, r["rank"], r.doc, round(r.score, 8)) for r in lexical.rank(lexical.matches(more, index, require_all=True), boosts, k, True).collect())
+    best = lambda: sorted((r.qid, r["rank"], r.doc, round(r.score, 8)) for r in lexical.search(more, index, boosts, k, require_all=True).collect())
+    assert best() == want and {"twice", "order"} <= {x[0] for x in want} and not {"half", "empty", "none"} & {x[0] for x in want}
+    for name, n in (("BLOCK_WORDS", 12), ("TASK_ROWS", 500), ("WHOLE_ROWS", 900), ("HELD_ROWS", 40), ("CELLS", 60), ("MATCHES", 30), ("MOST_ASKED", 0)):
+        monkeypatch.setattr(lexical, name, n)
+    assert best() == want
+
+
+def test_pairs_without_a_match_are_no_rows(spark):
+    """Sets whose rarest word is in every document: only what matches leaves a task."""
+    docs = spark.createDataFrame([(i, f"a b c d w{i}") for i in range(40)], "id long, body string")
+    queries = spark.createDataFrame([(f"q{i}", f"a b c d w{i % 50}") for i in range(50)], "qid string, q string")
+    plans = []
+    found = lexical.search(queries, lexical.build(docs, "id", {"body": F.col("body")}), {"body": 1.0}, 5, require_all=True)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert sorted((r.qid, r.doc) for r in found.collect()) == sorted((f"q{i}", i) for i in range(40))
+    assert "MapInArrow" in plans[0] and "Join [token" not in plans[0]
+
+
+def test_all_words_straight_through(monkeypatch):
+    """The functions of a task without Spark, whole and in small pieces."""
+    import pyarrow as pa
+
+    asked = pa.table({"set": ["a b", "a b", "b", "a z", "a z"], "token": ["a", "b", "b", "a", "z"], "df": [3, 2, 2, 3, 0]})
+    rows = pa.table({"token": ["a", "b", "b", "a", "b", "a"], "doc": [1, 1, 1, 2, 3, 4], "part": [1.0, 0.5, 0.25, 9.0, 2.0, 1.0]})
+    for cells, matches in ((1 << 20, 1 << 20), (2, 1)):
+        monkeypatch.setattr(lexical, "CELLS", cells)
+        monkeypatch.setattr(lexical, "MATCHES", matches)
+        ask = lexical._sets(asked)
+        for k in (1, 2):
+            got = {(ask.sets[r["at"]].as_py(), r["doc"]): r["score"] for b in lexical._best_of_sets(iter([rows]), ask, k) for r in b.to_pylist()}
+            assert got[("a b", 1)] == 1.75 and got[("b", 3)] == 2.0 and set(got) <= {("a b", 1), ("b", 3), ("b", 1)}
+            assert k == 1 or got[("b", 1)] == 0.75
