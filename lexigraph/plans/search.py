@@ -39,6 +39,12 @@ def build(notes: DataFrame, chunks: DataFrame, embeddings: DataFrame, attributes
     active = notes.where("status = 'active'").select("id", "title", "status")
     mine = chunks.join(active.select(F.col("id").alias("note_id")), "note_id", "left_semi")
     vecs = vectors.chunk_vectors(mine.select("id", "space_id", "text_hash"), embeddings).select("id", "vec")
+    return assemble(active, mine, vecs, attributes, edges, model)
+
+
+def assemble(active: DataFrame, mine: DataFrame, vecs: DataFrame, attributes: DataFrame, edges: DataFrame, model: embedding.Model) -> SearchIndex:
+    """The index of active notes (id, title, status), their passages and the vectors
+    (id, vec) of these."""
     words = lexical.build(mine, "id", {"text": F.col("text"), "heading_path": F.coalesce("heading_path", F.lit(""))})
     joined = lambda c: F.array_join(c, " ")
     fields = {
@@ -70,6 +76,14 @@ def kept(index: SearchIndex) -> SearchIndex:
     return _of({k: df if k.endswith("postings") else materialise(df, f"index-{k}") for k, df in _tables(index).items()}, index.model)
 
 
+def for_one_batch(index: SearchIndex) -> SearchIndex:
+    """The index for a single batch of queries: what is read several times is written
+    once. Passages and their vectors stay as they are, and passages' words aren't
+    kept, as a batch reads few of them."""
+    names = lexical.LexicalIndex(materialise(index.note_words.postings, "index-postings"), materialise(index.note_words.fields, "index-fields"))
+    return replace(index, notes=materialise(index.notes, "index-notes"), edges=materialise(index.edges, "index-edges"), chunk_words=lexical.for_one_batch(index.chunk_words), note_words=names)
+
+
 def stored(project, space: str, model: embedding.Model, make: Callable[[], SearchIndex]) -> SearchIndex:
     """A project's index: its snapshots where they were made by this version from
     the data as they are, else made anew and stored."""

@@ -93,3 +93,35 @@ def test_all_words_straight_through(monkeypatch):
             got = {(ask.sets[r["at"]].as_py(), r["doc"]): r["score"] for b in lexical._best_of_sets(iter([rows]), ask, k) for r in b.to_pylist()}
             assert got[("a b", 1)] == 1.75 and got[("b", 3)] == 2.0 and set(got) <= {("a b", 1), ("b", 3), ("b", 1)}
             assert k == 1 or got[("b", 1)] == 0.75
+
+
+def test_candidates_meet_their_own_words_first(spark):
+    """With typos a query has very many words near its own, a title few: candidates
+    are joined with what they have before what is asked for."""
+    docs = spark.createDataFrame([(i, f"wa{i % 9} wb{i % 5}") for i in range(60)], "id long, title string")
+    queries = spark.createDataFrame([("q", "wa1 wb2"), ("r", "wa33 wb1 xyz")], "qid string, q string")
+    found = lexical.matches(queries, lexical.build(docs, "id", {"title": F.col("title")}), 1, require_all=True)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert any("(doc#" in line for line in joins) and not any("(token#" in line and "(doc#" in line for line in joins)
+    best = lexical.rank(found, {"title": 1.0}, 100, True).collect()
+    assert sorted(r.doc for r in best if r.qid == "q") == list(range(60)) and not [r for r in best if r.qid == "r"]
+
+
+def test_one_batch_finds_what_a_kept_index_finds(spark, sf_dir):
+    """Without stored postings, vectors or a look-up of active notes."""
+    from lexigraph.catalogue import search_queries as Q
+    from lexigraph.plans import search as S
+
+    asked = Q.X.golden_queries(spark, sf_dir).limit(12)
+    shown = lambda index: sorted((r.qid, r["rank"], r.id, r.score, r.snippets) for r in S.search(index, asked).select("qid", "rank", "id", "score", F.transform("snippets", lambda s: s["text"]).alias("snippets")).collect())
+    one = Q._batch_index(spark, sf_dir)
+    assert "hashpartitioning" not in one.vectors._jdf.queryExecution().executedPlan().toString()
+    assert shown(one) == shown(S.kept(Q._search_index(spark, sf_dir))) != []
+
+
+def test_golden_set_leaves_texts_in_their_rows(spark, sf_dir):
+    from lexigraph.catalogue import search_queries as Q
+
+    plan = Q.golden(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect") == 1 and "explode(array_distinct" not in plan
