@@ -14,7 +14,7 @@ from ..operators import notes as N
 from ..operators import revisions as R
 from ..operators import terms as M
 from ..operators import vectors as V
-from ..plans import evaluate
+from ..plans import evaluate, index
 from . import fixtures as X
 from .fixtures import bm25_sql, ctes, table
 from .registry import query
@@ -198,13 +198,12 @@ def srt5_recent_runs(spark, sf_dir):
 @query()
 def trm8_embedding_scores(spark, sf_dir):
     """Candidates near their note's mean vector."""
-    from .search_queries import _search_index
+    from .search_queries import _parts
 
-    idx = _search_index(spark, sf_dir)
-    rows = idx.vectors.join(idx.chunks.select("id", "note_id"), "id").select("note_id", "vec")
-    means = V.mean_vectors(rows, "note_id")
+    _, chunks, _, _, model = _parts(spark, sf_dir)
+    means = V.mean_vectors(index.embed_here(chunks, model, key="note_id"), "note_id")
     pool = M.candidate_pool(scored_terms(spark, sf_dir).select("note_id", "lemma", "text", "score"), 12, 6)
-    return M.embedding_scores(pool, means, idx.model).select("note_id", "lemma", F.round("embedding", 6).alias("embedding"))
+    return M.embedding_scores(pool, means, model).select("note_id", "lemma", F.round("embedding", 6).alias("embedding"))
 
 
 @query(ctes(X.LINKS) + "SELECT src, dst FROM links WHERE NOT (src = 5 AND dst = 38)")

@@ -149,8 +149,7 @@ def trm1_candidates(spark, sf_dir):
 
 def scored_terms(spark, sf_dir):
     notes = X.bodies(spark, sf_dir)
-    found = M.candidates(notes)
-    with_yake = M.phrase_costs(found, M.yake(M.word_stats(notes, spread=True)))
+    with_yake = M.costed_candidates(notes)
     n = F.lit(notes.count())
     with_idf = with_yake.join(M.lemma_frequencies(notes), "lemma", "left").withColumn("idf", M.smoothed_idf(n, F.col("df"))).drop("df")
     none = F.array().cast("array<string>")

@@ -2,7 +2,7 @@
 
 Statistics are DataFrame aggregates keyed by note and word; only folds that
 depend on their own earlier choices (nested phrases, diversity) and tagging are
-grouped or scalar pandas functions, one note at a time.
+Python, one note at a time in Arrow batches.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -212,6 +213,24 @@ def occurrences(text: str, phrases: list[str]) -> list[int]:
 
 
 CANDIDATES = [("position", pa.int32()), ("lemma", pa.string()), ("text", pa.string()), ("kind", pa.string()), ("count", pa.int32()), ("first_sentence", pa.int32()), ("sentences", pa.int32()), ("occurrences", pa.int32())]
+MADE = "position int, lemma string, text string, kind string, count int, first_sentence int, sentences int, occurrences int"
+
+
+def _found(b: pa.RecordBatch, most: int) -> tuple[list[int], list[tuple]]:
+    """The candidates of a batch's notes, and the row that each is of."""
+    at, rows = [], []
+    for i, (s, body) in enumerate(zip(b["ss"].to_pylist(), b["body"].to_pylist(), strict=True)):
+        found = noun_phrases(s or [], most)
+        times = occurrences((body or "").lower(), [x["text"].lower() for x in found])
+        at += [i] * len(found)
+        rows += [(*x.values(), n) for x, n in zip(found, times, strict=True)]
+    return at, rows
+
+
+def _batch(b: pa.RecordBatch, at: list[int], rows: list[tuple], *more: tuple[str, pa.Array]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[] for _ in CANDIDATES]
+    made = [pa.array(c, t) for c, (_, t) in zip(columns, CANDIDATES, strict=True)]
+    return pa.RecordBatch.from_arrays([b["note_id"].take(pa.array(at, pa.int64())), *made, *[x for _, x in more]], ["note_id", *[n for n, _ in CANDIDATES], *[n for n, _ in more]])
 
 
 def candidates(notes: DataFrame, most: int = 4) -> DataFrame:
@@ -219,17 +238,50 @@ def candidates(notes: DataFrame, most: int = 4) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x.slice(i, 64) for x in batches for i in range(0, x.num_rows, 64)):
-            at, rows = [], []
-            for i, (s, body) in enumerate(zip(b["ss"].to_pylist(), b["body"].to_pylist(), strict=True)):
-                found = noun_phrases(s or [], most)
-                times = occurrences((body or "").lower(), [x["text"].lower() for x in found])
-                at += [i] * len(found)
-                rows += [(*x.values(), n) for x, n in zip(found, times, strict=True)]
-            columns = list(zip(*rows, strict=True)) or [[] for _ in CANDIDATES]
-            yield pa.RecordBatch.from_arrays([b["note_id"].take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, (_, t) in zip(columns, CANDIDATES, strict=True)]], ["note_id", *[n for n, _ in CANDIDATES]])
+            yield _batch(b, *_found(b, most))
 
     cut = notes.select(F.col("id").alias("note_id"), T.sentences(T.strip_fenced(F.col("body"))).alias("ss"), "body")
-    return cut.mapInArrow(run, f"note_id {dict(notes.dtypes)['id']}, position int, lemma string, text string, kind string, count int, first_sentence int, sentences int, occurrences int")
+    return cut.mapInArrow(run, f"note_id {dict(notes.dtypes)['id']}, {MADE}")
+
+
+@lru_cache(maxsize=100_000)
+def _tokens(text: str) -> tuple[str, ...]:
+    """As T.tokens."""
+    bare = (re.sub(r"^[.\-_]+|[.\-_]+$", "", w) for w in re.split(r"[^a-z0-9_+#.-]+", text.lower()))
+    return tuple(w for w in bare if len(w) > 1 and re.search("[a-z]", w))
+
+
+def _cost(x: dict[str, np.ndarray]) -> np.ndarray:
+    """As yake."""
+    tf = x["tf"].astype(np.float64)
+    casing = np.maximum(x["capitalised"], x["acronyms"]) / (1 + np.log(tf))
+    rel = 1 + (x["left_kinds"] / np.maximum(1, x["left_all"]) + x["right_kinds"] / np.maximum(1, x["right_all"])) * (tf / x["most"])
+    frequency, spread = tf / np.maximum(1e-9, x["mean"] + x["dev"]), x["sentences"] / np.maximum(1, x["n_sentences"])
+    return rel * np.log(np.log(3.0 + x["middle"])) / np.maximum(1e-9, casing + frequency / rel + spread / rel)
+
+
+def costed_candidates(notes: DataFrame, most: int = 4) -> DataFrame:
+    """candidates with yake, as phrase_costs gives it from word_stats: a note's words
+    and its phrases meet within its row, and neither is moved."""
+    stop = list(T.STOP_WORDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (p for x in batches for i in range(0, x.num_rows, 64) for p in counting.pieces(x.slice(i, 64), "words", counting.BYTES, pc.binary_length)):
+            at, rows = _found(b, most)
+            of, words, numbers = counting._numbers(b["words"], pa.array(stop))
+            known = dict(zip(zip(of.tolist(), words.to_pylist(), strict=True), _cost(numbers).tolist(), strict=True))
+            scores = []
+            for i, row in zip(at, rows, strict=True):
+                costs = [known.get((i, w), 1.0) for w in _tokens(row[2])]
+                product, total = 1.0, 0.0
+                for c in costs:
+                    product, total = product * c, total + c
+                scores.append(1 / (1 + product / (max(1, row[-1]) * (1 + total))) if costs else 0.0)
+            yield _batch(b, at, rows, ("yake", pa.array(scores, pa.float64())))
+
+    body = F.col("body")
+    cut = notes.select(F.col("id").alias("note_id"), T.sentences(T.strip_fenced(body)).alias("ss"), T.sentences(body).alias("words"), "body")
+    return cut.mapInArrow(run, f"note_id {dict(notes.dtypes)['id']}, {MADE}, yake double")
 
 
 # ---- scores ----
@@ -268,14 +320,45 @@ def candidate_pool(scored: DataFrame, top_n: int, top_p: int) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= max(top_n + top_p, 25)).drop("place")
 
 
+def _lists(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(note_id, rows): a note's rows as one list."""
+    return rows.groupBy("note_id").agg(F.collect_list(F.struct(*columns)).alias("rows"))
+
+
+def _row_of(lists: pa.Array) -> np.ndarray:
+    return np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+
+
 def embedding_scores(pool: DataFrame, note_vectors: DataFrame, model) -> DataFrame:
-    """pool with embedding: the cosine of each candidate and its note's mean
-    vector. A lemma is embedded once, however many notes have it."""
+    """pool with embedding: the cosine of each candidate and its note's mean vector. A
+    lemma is embedded in its least text, once for each piece of 256 notes: the vectors
+    of lemmas aren't moved, and a note's goes with the list of its candidates."""
     from ..functions import embedding as E
 
-    lemmas = pool.groupBy("lemma").agg(F.min("text").alias("any_text")).withColumn("lemma_vec", E.embed(F.col("any_text"), model)).drop("any_text")
-    near = pool.join(lemmas, "lemma").join(note_vectors.select("note_id", F.col("vec").alias("note_vec")), "note_id", "left")
-    return near.select(*pool.columns, F.when(F.col("note_vec").isNotNull(), T.cosine(F.col("lemma_vec"), F.col("note_vec"))).otherwise(0.0).alias("embedding"))
+    encoder, every = E._ENCODERS.get(model.name), pool.columns
+    names = [c for c in every if c != "note_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(i, 256) for x in batches for i in range(0, x.num_rows, 256)):
+            at, rows = _row_of(b["rows"]), b["rows"].flatten()
+            texts = pc.dictionary_encode(pc.fill_null(rows.field("any_text"), ""))
+            lemmas = np.array(E.encode(texts.dictionary.to_pylist(), model, False, encoder), np.float64).reshape(-1, model.dim)
+            means = np.zeros((b.num_rows, model.dim))
+            for i, v in enumerate(b["note_vec"]):
+                if v.is_valid:
+                    means[i] = v.values.to_numpy(zero_copy_only=False)
+            size = lambda m: np.sqrt((m * m).sum(axis=1))
+            code = texts.indices.to_numpy(zero_copy_only=False)
+            by = size(lemmas)[code] * size(means)[at]
+            dot = np.einsum("ij,ij->i", lemmas[code], means[at])
+            near = pa.array(np.where(by > 0, dot / np.where(by > 0, by, 1), 0.0))
+            columns = {"note_id": b["note_id"].take(pa.array(at)), **{c: rows.field(c) for c in names}, "embedding": near}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in (*every, "embedding")], [*every, "embedding"])
+
+    texts = pool.groupBy("lemma").agg(F.min("text").alias("any_text"))
+    lists = _lists(pool.join(texts, "lemma"), [*names, "any_text"])
+    near = lists.join(note_vectors.select("note_id", F.col("vec").cast("array<double>").alias("note_vec")), "note_id", "left").select("note_id", "rows", "note_vec")
+    return near.mapInArrow(run, ", ".join([*[f"`{c}` {t}" for c, t in pool.dtypes], "embedding double"]))
 
 
 def _inside(longer: str, shorter: str) -> bool:
@@ -310,19 +393,33 @@ def diversify(terms: list[tuple[str, float]], trade: float, limit: int) -> list[
     return chosen
 
 
+def _picked(terms: list[tuple[str, str, float, float]], top_n: int, top_p: int, trade: float) -> list[int]:
+    """Places of those of a note's (lemma, kind, rounded score, score) that are selected."""
+    order = sorted(range(len(terms)), key=lambda i: (-terms[i][2], terms[i][0]))
+    order = [order[i] for i in collapse([terms[i][:2] for i in order])]
+    out = []
+    for kind, limit in (("keyword", top_n), ("phrase", top_p)):
+        mine = [i for i in order if terms[i][1] == kind]
+        out += [mine[i] for i in diversify([(terms[i][0], terms[i][3]) for i in mine], trade, limit)]
+    return out
+
+
 def select_terms(scored: DataFrame, top_n: int = 12, top_p: int = 6, trade: float = 0.7) -> DataFrame:
     """Each note's keywords and phrases: nested phrases collapsed, then diverse."""
+    every = scored.columns
+    names = [c for c in every if c != "note_id"]
 
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(r=rows["score"].round(9)).sort_values(["r", "lemma"], ascending=[False, True]).drop(columns="r").reset_index(drop=True)
-        rows = rows.iloc[collapse(list(zip(rows["lemma"], rows["kind"], strict=True)))]
-        out = []
-        for kind, limit in (("keyword", top_n), ("phrase", top_p)):
-            mine = rows[rows["kind"] == kind].reset_index(drop=True)
-            out.append(mine.iloc[diversify(list(zip(mine["lemma"], mine["score"], strict=True)), trade, limit)])
-        return pd.concat(out)
-
-    return scored.groupBy("note_id").applyInPandas(pick, scored.schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(i, 256) for x in batches for i in range(0, x.num_rows, 256)):
+            at, rows = _row_of(b["rows"]), b["rows"].flatten()
+            score = rows.field("score").to_numpy(zero_copy_only=False)
+            terms = list(zip(rows.field("lemma").to_pylist(), rows.field("kind").to_pylist(), np.round(score, 9).tolist(), score.tolist(), strict=True))
+            ends = np.searchsorted(at, np.arange(b.num_rows + 1))
+            kept = pa.array([first + i for first, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True) for i in _picked(terms[first:end], top_n, top_p, trade)], pa.int64())
+            columns = {"note_id": b["note_id"].take(pa.array(at).take(kept)), **{c: rows.field(c).take(kept) for c in names}}
+            yield pa.RecordBatch.from_arrays([columns[c] for c in every], every)
+
+    return _lists(scored, names).mapInArrow(run, scored.schema)
 
 
 # ---- vocabulary ----

@@ -16,6 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -99,14 +100,49 @@ def search(queries: DataFrame, vectors: DataFrame, k: int | None, floor: float |
     return found if k is None else top_k(found, "qid", "score", "doc", k)
 
 
+def _summed(key: str, batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(key, vec) of a batch's keys, null where a key has no number. Shorter vectors
+    count for their places."""
+    batch = batch.filter(batch["vec"].is_valid())
+    lengths = batch["vec"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    values = batch["vec"].flatten()
+    codes = pc.dictionary_encode(batch[key], null_encoding="encode")
+    code, n, dim = codes.indices.to_numpy(zero_copy_only=False), len(codes.dictionary), int(lengths.max(initial=0))
+    cell = np.repeat(code, lengths) * dim + np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    there = values.is_valid().to_numpy(zero_copy_only=False)
+    total = np.bincount(cell[there], weights=values.filter(values.is_valid()).to_numpy(zero_copy_only=False), minlength=n * dim)
+    none = np.bincount(cell[there], minlength=n * dim) == 0
+    most = np.zeros(n, np.int64)
+    np.maximum.at(most, code, lengths)
+    used = (np.arange(dim) < most[:, None]).ravel() if n else np.zeros(0, bool)
+    sums = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(most)), pa.int32()), pa.array(total[used], pa.float64(), mask=none[used]))
+    return pa.RecordBatch.from_arrays([codes.dictionary, sums], [key, "vec"]).filter(pa.array(most > 0))
+
+
 def mean_vectors(rows: DataFrame, key: str, vec: str = "vec") -> DataFrame:
-    """(key, vec): the sum of each key's vectors, scaled to unit length. Sums
-    are taken by dimension with partial aggregates, so a large key is no group."""
-    long = rows.select(key, F.posexplode(vec).alias("at", "x"))
-    sums = long.groupBy(key, "at").agg(F.sum(F.col("x").cast("double")).alias("x"))
-    norm = F.sqrt(F.sum(F.col("x") * F.col("x")))
-    whole = sums.groupBy(key).agg(norm.alias("norm"), F.array_sort(F.collect_list(F.struct("at", "x"))).alias("xs"))
-    return whole.select(key, F.transform("xs", lambda s: F.when(F.col("norm") > 0, s["x"] / F.col("norm")).otherwise(s["x"])).alias("vec"))
+    """(key, vec): the sum of each key's vectors, scaled to unit length. Vectors are
+    summed in pieces where they lie; a key's partial sums meet, which are no more
+    than the pieces that have it."""
+    types = f"`{key}` {dict(rows.dtypes)[key]}, vec array<double>"
+    pieces = lambda batches: (x.slice(i, 2048) for x in batches for i in range(0, x.num_rows, 2048))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from (_summed(key, b) for b in pieces(batches))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in pieces(batches):
+            b = _summed(key, b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0])
+            # The last key may go on.
+            yield b.slice(0, max(0, b.num_rows - 1))
+            held = b.slice(max(0, b.num_rows - 1))
+        if held is not None:
+            yield held
+
+    sums = rows.select(key, F.col(vec).cast("array<double>").alias("vec")).mapInArrow(partial, types)
+    sums = sums.repartition(key).sortWithinPartitions(key).mapInArrow(whole, types)
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + F.coalesce(x * x, F.lit(0.0))))
+    return sums.withColumn("norm", norm).select(key, F.transform("vec", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(x)).alias("vec"))
 
 
 def chunk_vectors(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:

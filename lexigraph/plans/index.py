@@ -54,10 +54,10 @@ def embed_missing(chunks: DataFrame, stored: DataFrame, model: embedding.Model)
     return new.select("space_id", "text_hash", embedding.embed(F.col("embed_text"), model).alias("vec"))
 
 
-def embed_here(chunks: DataFrame, model: embedding.Model, settings: dict | None = None) -> DataFrame:
-    """(id, vec) of passages of which no vectors are stored, made within their rows:
+def embed_here(chunks: DataFrame, model: embedding.Model, settings: dict | None = None, key: str = "id") -> DataFrame:
+    """(key, vec) of passages of which no vectors are stored, made within their rows:
     neither texts nor vectors are moved. Equal texts are embedded each time."""
-    return chunks.select("id", embedding.embed(chunking.seen_by_model(F.col("heading_path"), F.col("text"), settings), model).alias("vec"))
+    return chunks.select(key, embedding.embed(chunking.seen_by_model(F.col("heading_path"), F.col("text"), settings), model).alias("vec"))
 
 
 def counters(notes: DataFrame, change: DataFrame, fresh: DataFrame, stored: DataFrame, stored_here: DataFrame, kept: DataFrame, links: DataFrame) -> DataFrame:
