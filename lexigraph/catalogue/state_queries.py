@@ -26,7 +26,7 @@ BODY_ONLY = bm25_sql("lone", "notes", "id", {"text": ("body", 1.0)})
 
 
 def _index(spark, sf_dir):
-    return lexical.build(X.notes(spark, sf_dir), "id", {"title": F.col("title"), "text": F.col("body")})
+    return lexical.build(X.bodies(spark, sf_dir), "id", {"title": F.col("title"), "text": F.col("body")})
 
 
 @query(ctes(X.NOTES, X.QUERIES_SQL, X.QUERY_TOKENS, INDEX) + "SELECT field, token, doc, tf, len::INT AS len, df FROM idx_p JOIN idx_d USING (field, token)")
