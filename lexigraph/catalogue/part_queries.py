@@ -18,7 +18,7 @@ from . import fixtures as X
 from .fixtures import bm25_sql, ctes, table
 from .graph_queries import EDGES, HITS, _edges, _hits
 from .registry import fixed, query
-from .search_queries import BODY, FUSE, FUSED, FUSED_META, GOLDEN, PASSES, _fused, _hundredths, body_hits, golden
+from .search_queries import BODY, FUSE, FUSED, FUSED_META, GOLDEN, PASSES, _fused, _hundredths, _passages, _passes, _titles, body_hits, golden
 from .term_queries import STATS
 from .text_queries import SINGULAR_SQL
 
@@ -52,12 +52,12 @@ def set1_union_of_notes(spark, sf_dir):
 
 @query(ctes(*WHY) + "SELECT qid, chunk_id, text > 0 AS by_words, vector > 0 AS by_vector FROM merged")
 def jn11_either_pass(spark, sf_dir):
-    _, _, lex, vec, _ = _fused(spark, sf_dir)
+    _, lex, vec = _passes(spark, sf_dir)
     return fusion.merge_passes(lex, vec, 0.5, 0.5).select("qid", "chunk_id", (F.col("text") > 0).alias("by_words"), (F.col("vector") > 0).alias("by_vector"))
 
 
 def _placed(spark, sf_dir):
-    chunks, _, lex, vec, _ = _fused(spark, sf_dir)
+    chunks, lex, vec = _passes(spark, sf_dir)
     return fusion.merge_passes(lex, vec, 0.5, 0.5).join(chunks.withColumnRenamed("id", "chunk_id").withColumnRenamed("text", "text_of"), "chunk_id")
 
 
@@ -132,7 +132,7 @@ everything AS (SELECT * FROM boosted UNION ALL SELECT * FROM added)"""
 
 
 def _lexical_index(spark, sf_dir):
-    chunks, notes, *_ = _fused(spark, sf_dir)
+    chunks, notes = _passages(spark, sf_dir), _titles(spark, sf_dir)
     n = F.lit(notes.count())
     edges = graph.adjacency(notes.select(F.col("id").alias("src"), ((F.col("id") * 7 + 3) % n).alias("dst"), F.lit(True).alias("resolved")))
     words = lexical.build(chunks, "id", {"text": F.col("text"), "heading_path": F.col("heading_path")})

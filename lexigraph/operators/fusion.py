@@ -42,7 +42,8 @@ def best_per_strategy(scored: DataFrame) -> DataFrame:
 
 def snippets(scored: DataFrame, n: int) -> DataFrame:
     """(qid, note_id, snippets): each note's n best passages, equal texts once."""
-    once = W.partitionBy("qid", "note_id", F.trim("text_of")).orderBy(F.round("combined", 9).desc(), "chunk_id")
+    # By the texts' digests: texts that aren't asked for needn't move.
+    once = W.partitionBy("qid", "note_id", F.sha2(F.trim("text_of"), 256)).orderBy(F.round("combined", 9).desc(), "chunk_id")
     by = W.partitionBy("qid", "note_id").orderBy(F.round("combined", 9).desc(), "chunk_id")
     rows = scored.withColumn("k", F.row_number().over(once)).where("k = 1").withColumn("place", F.row_number().over(by)).where(F.col("place") <= n)
     one = F.struct("chunk_id", "strategy", F.nullif("heading_path", F.lit("")).alias("heading_path"), "kind", F.col("text_of").alias("text"), F.round("combined", 6).alias("score"))
