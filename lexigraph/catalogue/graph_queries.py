@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import communities, graph, layout
 from ..operators import links as L
+from ..storage import materialise
 from . import fixtures as X
 from .fixtures import ctes, table
 from .registry import query
@@ -62,7 +63,8 @@ HITS = "hits AS (SELECT qid, doc AS id, score FROM body)"
 
 
 def _hits(spark, sf_dir):
-    return body_hits(spark, sf_dir).select("qid", F.col("doc").alias("id"), "score")
+    """Written once: votes read them twice, and they are sent to the links."""
+    return materialise(body_hits(spark, sf_dir).select("qid", F.col("doc").alias("id"), "score"), "hits")
 
 
 @query(ctes(X.NOTES, X.LINKS, EDGES, X.QUERIES_SQL, X.QUERY_TOKENS, BODY, HITS) + "SELECT h.qid, h.id, round(0.15 * sum(o.score) / any_value(degree), 6) AS boost FROM hits h JOIN near ON a = h.id JOIN hits o ON o.qid = h.qid AND o.id = b JOIN degree ON node = h.id GROUP BY h.qid, h.id HAVING sum(o.score) > 0")
