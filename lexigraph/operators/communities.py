@@ -17,7 +17,8 @@ moved nothing. A community is called by its least node.
 
 Each pass reads and writes tables whose rows are the level's nodes and edges; what
 comes to the driver is one row of sums. Weights of a node towards communities are
-partial sums before they are shuffled, so that a hub is no hot key.
+partial sums before they are shuffled, so that a hub is no hot key. Joins are merges:
+a broadcast would bring a level's nodes to the driver in every pass.
 """
 
 from __future__ import annotations
@@ -37,6 +38,10 @@ def colour(node: Column, turn: int) -> Column:
     return F.crc32(F.concat(node.cast("string"), F.lit(f":{turn}")).cast("binary")) % CLASSES
 
 
+def _merged(df: DataFrame) -> DataFrame:
+    return df.hint("merge")
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, kin, kout) of weighted edges (a, b, w)."""
     ends = edges.select(F.col("a").alias("node"), F.lit(0).cast("long").alias("kin"), F.col("w").alias("kout")).unionByName(edges.select(F.col("b").alias("node"), F.col("w").alias("kin"), F.lit(0).cast("long").alias("kout")))
@@ -53,7 +58,7 @@ def modularity(edges: DataFrame, state: DataFrame) -> float:
     if not m:
         return 0.0
     of = lambda end: state.select(F.col("node").alias(end), F.col("comm").alias(f"c{end}"))
-    inside = edges.join(of("a"), "a").join(of("b"), "b").where("ca = cb").agg(F.sum("w").alias("inside"))
+    inside = edges.join(_merged(of("a")), "a").join(_merged(of("b")), "b").where("ca = cb").agg(F.sum("w").alias("inside"))
     totals = state.groupBy("comm").agg(F.sum("kin").alias("i"), F.sum("kout").alias("o")).agg(F.sum(_exact(F.col("i")) * _exact(F.col("o"))).alias("product"))
     row = inside.crossJoin(totals).first()  # one row each
     return float(Decimal(row["inside"] or 0) / m - Decimal(row["product"]) / (Decimal(m) * m))
@@ -64,9 +69,9 @@ def step(near: DataFrame, state: DataFrame, m: int, turn: int, klass: int) -> Da
     both ways, w the sum of the two; state: (node, comm, kin, kout)."""
     totals = state.groupBy("comm").agg(F.sum("kin").alias("c_in"), F.sum("kout").alias("c_out"), F.count(F.lit(1)).alias("size"))
     movers = state.where(colour(F.col("node"), turn) == klass)
-    towards = near.join(movers.select("node"), "node", "left_semi").join(state.select(F.col("node").alias("other"), "comm"), "other")
+    towards = near.join(_merged(movers.select("node")), "node", "left_semi").join(_merged(state.select(F.col("node").alias("other"), "comm")), "other")
     towards = towards.groupBy("node", "comm").agg(F.sum("w").alias("w")).unionByName(movers.select("node", "comm", F.lit(0).cast("long").alias("w")))
-    towards = towards.groupBy("node", "comm").agg(F.sum("w").alias("w")).join(movers.select("node", F.col("comm").alias("own"), "kin", "kout"), "node").join(totals, "comm")
+    towards = towards.groupBy("node", "comm").agg(F.sum("w").alias("w")).join(_merged(movers.select("node", F.col("comm").alias("own"), "kin", "kout")), "node").join(_merged(totals), "comm")
     stays = F.col("comm") == F.col("own")
     rest_in, rest_out = F.col("c_in") - F.when(stays, F.col("kin")).otherwise(0), F.col("c_out") - F.when(stays, F.col("kout")).otherwise(0)
     d = lambda c: c.cast("double")
@@ -108,15 +113,16 @@ def communities(links: DataFrame, nodes: DataFrame | None = None, tolerance: flo
             if quality - q < tolerance:
                 break
         level = state.select(F.col("node").alias("community"), F.col("comm").alias("next"))
-        mine = level.select(F.col("community").alias("node"), "next") if labels is None else labels.join(level, "community").select("node", "next")
+        mine = level.select(F.col("community").alias("node"), "next") if labels is None else labels.join(_merged(level), "community").select("node", "next")
         labels = materialise(mine.withColumnRenamed("next", "community"), "community-labels")
         if quality <= start:
             break
         end = lambda c: state.select(F.col("node").alias(c), F.col("comm").alias(f"c{c}"))  # noqa: B023, E731
-        edges = materialise(edges.join(end("a"), "a").join(end("b"), "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "community-edges")
+        edges = materialise(edges.join(_merged(end("a")), "a").join(_merged(end("b")), "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "community-edges")
     names = labels.groupBy("community").agg(F.min("node").alias("least"))
-    named = labels.join(names, "community").select(F.col("node").alias("id"), F.col("least").alias("community"))
-    alone = everyone.join(first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).distinct(), "id", "left_anti")
+    named = labels.join(_merged(names), "community").select(F.col("node").alias("id"), F.col("least").alias("community"))
+    linked = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).distinct()
+    alone = everyone.join(_merged(linked), "id", "left_anti")
     return named.unionByName(alone.withColumn("community", F.col("id"))), quality
 
 
@@ -125,9 +131,9 @@ def divided(links: DataFrame, division: DataFrame) -> DataFrame:
     community) fits links (src, dst), distinct and without loops."""
     edges = links.where("src != dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
     of = lambda end: division.select(F.col("id").alias(end), F.col("community").alias(f"c{end}"))
-    ends = edges.join(of("a"), "a").join(of("b"), "b").groupBy("ca", "cb").agg(F.count(F.lit(1)).alias("n"))
+    ends = edges.join(_merged(of("a")), "a").join(_merged(of("b")), "b").groupBy("ca", "cb").agg(F.count(F.lit(1)).alias("n"))
     out = ends.groupBy(F.col("ca").alias("c")).agg(F.sum("n").alias("o"), F.sum(F.when(F.col("ca") == F.col("cb"), F.col("n")).otherwise(0)).alias("inside"))
     into = ends.groupBy(F.col("cb").alias("c")).agg(F.sum("n").alias("i"))
-    parts = out.join(into, "c", "full_outer").na.fill(0)
+    parts = out.join(_merged(into), "c", "full_outer").na.fill(0)
     sums = parts.agg(F.sum("o").alias("links"), F.sum("inside").alias("inside"), F.sum(_exact(F.col("o")) * _exact(F.col("i"))).cast("double").alias("product"))
     return sums.select("links", "inside", (F.col("inside") / F.col("links") - F.col("product") / (F.col("links").cast("double") * F.col("links"))).alias("modularity"))
