@@ -202,7 +202,7 @@ def trm8_embedding_scores(spark, sf_dir):
 
     _, chunks, _, _, model = _parts(spark, sf_dir)
     means = V.mean_vectors(index.embed_here(chunks, model, key="note_id"), "note_id")
-    pool = M.candidate_pool(scored_terms(spark, sf_dir).select("note_id", "lemma", "text", "score"), 12, 6)
+    pool = scored_terms(spark, sf_dir, M.in_pool(12, 6)).select("note_id", "lemma", "text", "score")
     return M.embedding_scores(pool, means, model).select("note_id", "lemma", F.round("embedding", 6).alias("embedding"))
 
 

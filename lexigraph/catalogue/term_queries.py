@@ -147,15 +147,10 @@ def trm1_candidates(spark, sf_dir):
     return M.candidates(X.bodies(spark, sf_dir)).select("note_id", "lemma", "text", "kind", "count", "first_sentence", "sentences")
 
 
-def scored_terms(spark, sf_dir):
+def scored_terms(spark, sf_dir, keep=None):
     notes = X.bodies(spark, sf_dir)
-    with_yake = M.costed_candidates(notes)
-    n = F.lit(notes.count())
-    with_idf = with_yake.join(M.lemma_frequencies(notes), "lemma", "left").withColumn("idf", M.smoothed_idf(n, F.col("df"))).drop("df")
-    none = F.array().cast("array<string>")
     anchors = X.links(spark, sf_dir).where("anchor is not null").groupBy(F.col("dst").alias("note_id")).agg(F.collect_list("anchor").alias("anchors"))
-    signals = notes.select(F.col("id").alias("note_id"), "title", none.alias("headings"), T.emphasised(F.col("body")).alias("emphasised"), F.array("tag").alias("tags")).join(anchors, "note_id", "left").withColumn("anchors", F.coalesce("anchors", none))
-    return M.score(M.structural(with_idf, signals))
+    return M.scored_notes(notes, anchors, F.lit(notes.count()), keep)
 
 
 @query()
@@ -165,4 +160,4 @@ def trm7_scored_terms(spark, sf_dir):
 
 @query()
 def trm10_selected_terms(spark, sf_dir):
-    return M.select_terms(scored_terms(spark, sf_dir).select("note_id", "lemma", "text", "kind", "score")).select("note_id", "lemma", "kind", "score")
+    return scored_terms(spark, sf_dir, M.selected()).select("note_id", "lemma", "kind", "score")
