@@ -15,6 +15,7 @@ from ..operators import revisions as R
 from ..operators import terms as M
 from ..operators import vectors as V
 from ..plans import evaluate, index
+from ..storage import materialise
 from . import fixtures as X
 from .fixtures import bm25_sql, ctes, table
 from .registry import query
@@ -202,7 +203,7 @@ def trm8_embedding_scores(spark, sf_dir):
 
     _, chunks, _, _, model = _parts(spark, sf_dir)
     means = V.mean_vectors(index.embed_here(chunks, model, key="note_id"), "note_id")
-    pool = scored_terms(spark, sf_dir, M.in_pool(12, 6)).select("note_id", "lemma", "text", "score")
+    pool = materialise(scored_terms(spark, sf_dir, M.in_pool(12, 6)).select("note_id", "lemma", "text", "score"), "candidate-pool")
     return M.embedding_scores(pool, means, model).select("note_id", "lemma", F.round("embedding", 6).alias("embedding"))
 
 

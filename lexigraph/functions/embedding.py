@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 from functools import lru_cache
@@ -10,11 +9,13 @@ from hashlib import sha256
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import stable_json
 from ..errors import NotFound
+from . import counting
 
 
 @dataclass(frozen=True)
@@ -67,12 +68,29 @@ def fnv1a(text: str) -> int:
 
 def hashed_vector(text: str, dim: int) -> np.ndarray:
     """A bucket for each word, and half a one in a second bucket; unit length."""
-    v = np.zeros(dim)
-    for word in re.findall(r"[a-z0-9]+", text.lower()):
-        v[fnv1a(word) % dim] += 1
-        v[fnv1a("~" + word) % dim] += 0.5
-    norm = float(np.sqrt((v**2).sum()))
-    return (v / norm if norm else v).astype(np.float32)
+    return hashed_vectors([text], dim)[0]
+
+
+#: Texts whose vectors are made at once.
+TEXTS = 512
+
+
+def hashed_vectors(texts: list[str], dim: int) -> list[np.ndarray]:
+    """The same of several texts, which are cut together; a word is hashed once."""
+    out: list[np.ndarray] = []
+    for i in range(0, len(texts), TEXTS):
+        some = pa.array([t.lower() for t in texts[i : i + TEXTS]], pa.string())
+        words, of, _ = counting._index_words(some)
+        coded = words.dictionary_encode()
+        code, known = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        v = np.zeros(len(some) * dim)
+        for mark, weight in (("", 1.0), ("~", 0.5)):
+            bucket = np.array([fnv1a(mark + w) % dim for w in known], np.int64)
+            v += np.bincount(of * dim + bucket[code], minlength=len(v)) * weight
+        v = v.reshape(len(some), dim)
+        norm = np.sqrt((v**2).sum(axis=1, keepdims=True))
+        out += list((v / np.where(norm > 0, norm, 1)).astype(np.float32))
+    return out
 
 
 def pooled(given) -> np.ndarray:
@@ -85,7 +103,7 @@ def pooled(given) -> np.ndarray:
 
 def encode(texts: list[str], model: Model, query: bool = False, encoder: Callable | None = None) -> list[np.ndarray]:
     if model.kind == "hashing":
-        return [hashed_vector(t, model.dim) for t in texts]
+        return hashed_vectors(texts, model.dim)
     prefix = model.query_prefix if query else model.doc_prefix
     parts = [pooled((encoder or _ENCODERS[model.name])([prefix + t for t in texts[i : i + model.batch]])) for i in range(0, len(texts), model.batch)]
     rows = np.concatenate(parts) if parts else np.empty((0, model.dim), np.float32)
