@@ -122,18 +122,27 @@ def whole_word(text: Column, phrase: Column) -> Column:
     return F.when(F.length(phrase) > 0, F.regexp_like(F.lower(text), quoted)).otherwise(False)
 
 
+#: A character of a rejected script. None of them lies before Greek, so that most
+#: characters of most texts need no look at the scripts.
+BLOCKED = r"[\x{370}-\x{10FFFF}&&[" + "".join(rf"\p{{Is{s}}}" for s in SCRIPTS) + "]]"
+
+
 def blocked_script(c: Column) -> Column:
     """The earliest character of a rejected script: script, char, index from 0,
-    line and column from 1; null where there is none."""
-    any_of = "|".join(rf"\p{{Is{s}}}" for s in SCRIPTS)
-    at = F.regexp_instr(c, F.lit(f"({any_of})"))
-    char = F.substring(c, at, F.lit(1))
-    script = F.coalesce(*[F.when(char.rlike(rf"\p{{Is{s}}}"), F.lit(s)) for s in SCRIPTS])
-    upto = F.substring(c, F.lit(1), at - 1)
-    line = F.length(upto) - F.length(F.replace(upto, F.lit("\n"), F.lit(""))) + 1
-    column = F.length(F.element_at(F.split(upto, "\n"), -1)) + 1
-    found = F.struct(script.alias("script"), char.alias("char"), (at - 1).alias("index"), line.alias("line"), column.alias("column"))
-    return F.when(at > 0, found)
+    line and column from 1; null where there is none. A text is searched once."""
+    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+
+    def found(upto: Column, char: Column) -> Column:
+        script = F.coalesce(*[F.when(char.rlike(rf"\p{{Is{s}}}"), F.lit(s)) for s in SCRIPTS])
+        line = F.length(upto) - F.length(F.replace(upto, F.lit("\n"), F.lit(""))) + 1
+        column = F.length(F.substring_index(upto, "\n", -1)) + 1
+        return F.struct(script.alias("script"), char.alias("char"), F.length(upto).alias("index"), line.alias("line"), column.alias("column"))
+
+    def search(text: Column) -> Column:
+        at = lambda cut: once(F.substring(text, F.length(cut[0]) + 1, F.lit(1)), lambda char: found(cut[0], char))
+        return once(F.split(text, BLOCKED, 2), lambda cut: F.when(F.size(cut) > 1, at(cut)))
+
+    return once(c, search)
 
 
 def gate(c: Column, mode: str = "strict", gate_code: bool = False) -> Column:
