@@ -1,13 +1,16 @@
 """A folder of markdown files as a data source: ``spark.read.format("vault")``.
 
 Reading is split by folders: the driver lists folders until there are SPLITS of them,
-and each task lists and reads its own. Filters on path (equal, one of, begins with)
+and each task lists and reads its own. The files beside those folders are dealt by name,
+or beyond HELD of them by a checksum of their names: tasks list them for themselves, and
+no list of files is held (by stores other than folders one folder's is, in a task). Filters on path (equal, one of, begins with)
 skip folders and files; others Spark applies itself.
 As a stream the source gives files as they are written or changed, by their times.
 
 Writing takes (path, contents); a row without contents removes its file. A task
-writes to a folder of its attempt; when all tasks are done their files are moved into
-place, and if the job fails none is. A file is there whole or not at all.
+writes to a folder of its attempt, and there a list of what it did; when all tasks are
+done these lists are read in pieces and files moved into place, and if the job fails
+none is. A file is there whole or not at all.
 
 Paths and URIs are pyarrow's (local and shared folders, and the stores it knows), as
 workers read them without Spark. Call ``register(spark)`` first.
@@ -15,12 +18,18 @@ workers read them without Spark. Call ``register(spark)`` first.
 
 from __future__ import annotations
 
+import io
+import json
+import os
 import posixpath
 import re
 import uuid
-from collections.abc import Iterator, Sequence
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs as afs
@@ -32,7 +41,7 @@ from ..errors import BadRequest
 from .files import IGNORED
 
 SCHEMA = "path string, contents string, modified timestamp"
-SPLITS, FILES, MOVERS = 64, 500, 16
+SPLITS, FILES, MOVERS, HELD = 64, 500, 16, 20_000
 MARKDOWN = re.compile(r"\.(md|markdown)$", re.I)
 STAGING = ".vault-"
 
@@ -56,10 +65,12 @@ def _hidden(path: str) -> bool:
 
 @dataclass
 class Part(InputPartition):
-    """A folder to list with all below it, or files to read."""
+    """A folder to list with all below it, files to read, or a share (which, of how
+    many) of the files that lie in a folder itself."""
 
     folder: str | None = None
     files: tuple[str, ...] = ()
+    share: tuple[int, int] | None = None
 
 
 class Wanted:
@@ -105,17 +116,43 @@ class _Reading:
             if not _hidden(path):
                 yield path, info
 
+    def _walk(self, folder: str, recursive: bool) -> Iterator[tuple[str, bool]]:
+        """Paths in a folder, and whether they are folders; without a list of all."""
+        fs, root = _open(self.uri)
+        if not isinstance(fs, afs.LocalFileSystem):
+            yield from ((p, i.type == afs.FileType.Directory) for p, i in self._list(folder, recursive))
+            return
+        left = [folder]
+        while left:
+            at = left.pop()
+            try:
+                entries = os.scandir(posixpath.join(root, at) if at else root)
+            except FileNotFoundError:
+                continue
+            with entries:
+                for e in entries:
+                    path = posixpath.join(at, e.name)
+                    if not _hidden(path) and (e.is_dir() or e.is_file()):
+                        yield path, e.is_dir()
+                        if recursive and e.is_dir():
+                            left.append(path)
+
+    def _names(self, part: Part) -> Iterator[str]:
+        if part.folder is None:
+            yield from part.files
+            return
+        which, of = part.share or (0, 1)
+        for path, is_folder in self._walk(part.folder, part.share is None):
+            if not is_folder and MARKDOWN.search(path) and self.wanted.file(path) and zlib.crc32(path.encode("utf-8", "surrogateescape")) % of == which:
+                yield path
+
     def _matching(self, folder: str) -> list[tuple[str, afs.FileInfo]]:
         return [(p, i) for p, i in self._list(folder, True) if i.type == afs.FileType.File and MARKDOWN.search(p) and self.wanted.file(p)]
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
         fs, root = _open(self.uri)
-        if part.folder is not None:
-            names = [p for p, _ in self._matching(part.folder)]
-        else:
-            names = list(part.files)
-        for begin in range(0, len(names), FILES):
-            some = names[begin : begin + FILES]
+        names = self._names(part)
+        while some := list(islice(names, FILES)):
             infos = fs.get_file_info([posixpath.join(root, n) for n in some])
             there = [(n, i) for n, i in zip(some, infos, strict=True) if i.type == afs.FileType.File]
             texts = []
@@ -134,16 +171,22 @@ class VaultReader(_Reading, DataSourceReader):
 
     def partitions(self) -> Sequence[Part]:
         """Folders are opened, nearest first, while there are few."""
-        folders, loose = [""], []
+        folders, loose, shares = [""], [], []
         while folders and len(folders) < SPLITS:
-            folder = folders.pop(0)
-            for path, info in self._list(folder, False):
-                if info.type == afs.FileType.Directory:
+            folder, files = folders.pop(0), 0
+            for path, is_folder in self._walk(folder, False):
+                if is_folder:
                     if self.wanted.folder(path):
                         folders.append(path)
                 elif MARKDOWN.search(path) and self.wanted.file(path):
-                    loose.append(path)
-        return [Part(folder=f) for f in folders] + [Part(files=tuple(loose[i : i + FILES])) for i in range(0, len(loose), FILES)] or [Part()]
+                    files += 1
+                    if len(loose) + files <= HELD:
+                        loose.append(path)
+            if len(loose) + files > HELD and files:
+                loose = [p for p in loose if posixpath.dirname(p) != folder]
+                of = min(SPLITS, -(-files // FILES))
+                shares += [Part(folder=folder, share=(i, of)) for i in range(of)]
+        return [Part(folder=f) for f in folders] + shares + [Part(files=tuple(loose[i : i + FILES])) for i in range(0, len(loose), FILES)] or [Part()]
 
 
 class VaultStream(_Reading, DataSourceStreamReader):
@@ -162,8 +205,12 @@ class VaultStream(_Reading, DataSourceStreamReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    staged: tuple[tuple[str, str], ...] = ()  # where it is, what it is to be called
-    removed: tuple[str, ...] = ()
+    folder: str  # of the attempt: files by number, and NAMES, the path of each; GONE, paths to remove
+    staged: int = 0
+    removed: int = 0
+
+
+NAMES, GONE = "names", "gone"
 
 
 class VaultWriter(DataSourceWriter):
@@ -174,41 +221,57 @@ class VaultWriter(DataSourceWriter):
         fs, root = _open(self.uri)
         mine = posixpath.join(root, self.job, uuid.uuid4().hex)
         fs.create_dir(mine, recursive=True)
-        staged, removed = [], []
-        for row in rows:
-            name = row["path"]
-            if not name or name.startswith("/") or ".." in name.split("/") or _hidden(name):
-                raise BadRequest("no path below a vault", {"path": name})
-            if row["contents"] is None:
-                removed.append(name)
-                continue
-            at = posixpath.join(mine, str(len(staged)))
-            with fs.open_output_stream(at) as f:
-                f.write(row["contents"].encode())
-            staged.append((at, name))
-        return Written(tuple(staged), tuple(removed))
+        staged = removed = 0
+        with fs.open_output_stream(posixpath.join(mine, NAMES)) as names, fs.open_output_stream(posixpath.join(mine, GONE)) as gone:
+            for row in rows:
+                name = row["path"]
+                if not name or name.startswith("/") or ".." in name.split("/") or _hidden(name):
+                    raise BadRequest("no path below a vault", {"path": name})
+                line = json.dumps(name).encode() + b"\n"
+                if row["contents"] is None:
+                    gone.write(line)
+                    removed += 1
+                    continue
+                with fs.open_output_stream(posixpath.join(mine, str(staged))) as f:
+                    f.write(row["contents"].encode())
+                names.write(line)
+                staged += 1
+        return Written(mine, staged, removed)
 
     def commit(self, messages: list) -> None:
         fs, root = _open(self.uri)
         done = [m for m in messages if m is not None]
-        kept = {name for m in done for _, name in m.staged}
-        gone = {name for m in done for name in m.removed} - kept
-        if self.overwrite:
-            there = fs.get_file_info(afs.FileSelector(root, recursive=True, allow_not_found=True))
-            gone |= {p for i in there if i.type == afs.FileType.File and MARKDOWN.search(p := posixpath.relpath(i.path, root)) and not _hidden(p)} - kept
 
-        def move(pair: tuple[str, str]) -> None:
-            to = posixpath.join(root, pair[1])
-            fs.create_dir(posixpath.dirname(to), recursive=True)
-            fs.move(pair[0], to)
+        def listed(m: Written, name: str) -> Iterator[tuple[int, str]]:
+            with fs.open_input_stream(posixpath.join(m.folder, name)) as f:
+                yield from enumerate(json.loads(x) for x in io.TextIOWrapper(f, "utf-8"))
+
+        @lru_cache(4096)
+        def make(folder: str) -> None:
+            fs.create_dir(folder, recursive=True)
+
+        def move(at: str, name: str) -> None:
+            to = posixpath.join(root, name)
+            make(posixpath.dirname(to))
+            fs.move(at, to)
 
         def remove(name: str) -> None:
             if fs.get_file_info(to := posixpath.join(root, name)).type == afs.FileType.File:
                 fs.delete_file(to)
 
-        with ThreadPoolExecutor(MOVERS) as pool:  # names alone pass here, no contents
-            list(pool.map(move, (pair for m in done for pair in m.staged)))
-            list(pool.map(remove, sorted(gone)))
+        def each(pool: ThreadPoolExecutor, f: Callable, args: Iterator[tuple]) -> None:
+            while some := list(islice(args, FILES)):
+                list(pool.map(lambda x: f(*x), some))
+
+        before = _Reading({"path": self.uri})
+        with ThreadPoolExecutor(MOVERS) as pool:  # names alone pass here, FILES at once, no contents
+            # What is written stays, though it be removed too or lie there already.
+            if self.overwrite:
+                each(pool, remove, ((p,) for p, is_folder in before._walk("", True) if not is_folder and MARKDOWN.search(p)))
+            for m in done:
+                each(pool, remove, ((name,) for _, name in (listed(m, GONE) if m.removed else ())))
+            for m in done:
+                each(pool, move, ((posixpath.join(m.folder, str(i)), name) for i, name in (listed(m, NAMES) if m.staged else ())))
         self._clear()
 
     def abort(self, messages: list) -> None:
