@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -127,16 +129,26 @@ def whole_word(text: Column, phrase: Column) -> Column:
 BLOCKED = r"[\x{370}-\x{10FFFF}&&[" + "".join(rf"\p{{Is{s}}}" for s in SCRIPTS) + "]]"
 
 
+def blocked_name(c: Column) -> Column:
+    """The rejected script of a text's earliest character of one, or null. Unlike
+    blocked_script's, this may be what a Python function gets."""
+    return _script_of(F.nullif(F.regexp_extract(c, BLOCKED, 0), F.lit("")))
+
+
+def _script_of(char: Column) -> Column:
+    # A script's name has no character of another.
+    return reduce(lambda x, s: F.regexp_replace(x, rf"^\p{{Is{s}}}$", s), SCRIPTS, char)
+
+
 def blocked_script(c: Column) -> Column:
     """The earliest character of a rejected script: script, char, index from 0,
     line and column from 1; null where there is none. A text is searched once."""
     once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
 
     def found(upto: Column, char: Column) -> Column:
-        script = F.coalesce(*[F.when(char.rlike(rf"\p{{Is{s}}}"), F.lit(s)) for s in SCRIPTS])
         line = F.length(upto) - F.length(F.replace(upto, F.lit("\n"), F.lit(""))) + 1
         column = F.length(F.substring_index(upto, "\n", -1)) + 1
-        return F.struct(script.alias("script"), char.alias("char"), F.length(upto).alias("index"), line.alias("line"), column.alias("column"))
+        return F.struct(_script_of(char).alias("script"), char.alias("char"), F.length(upto).alias("index"), line.alias("line"), column.alias("column"))
 
     def search(text: Column) -> Column:
         at = lambda cut: once(F.substring(text, F.length(cut[0]) + 1, F.lit(1)), lambda char: found(cut[0], char))

@@ -98,8 +98,8 @@ def stored(project, space: str, model: embedding.Model, make: Callable[[], Searc
 
 def check_gate(queries: DataFrame) -> DataFrame:
     """Queries in a rejected script fail as they pass."""
-    found = T.blocked_script(F.col("q"))
-    message = F.concat(F.lit("a query must be in English: "), found["script"])
+    found = T.blocked_name(F.col("q"))
+    message = F.concat(F.lit("a query must be in English: "), found)
     return queries.withColumn("q", F.when(found.isNotNull(), F.raise_error(message).cast("string")).otherwise(F.col("q")))
 
 

@@ -189,3 +189,5 @@ def test_texts_are_searched_once_for_scripts(spark):
     assert rows._jdf.queryExecution().optimizedPlan().toString().count(T.BLOCKED) == 1
     every = "".join(map(chr, [*range(1, 0x370)]))
     assert not spark.range(1).select(F.lit(every).rlike("|".join(rf"\p{{Is{s}}}" for s in T.SCRIPTS))).first()[0]
+    names = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string").select("id", embedding.embed(F.coalesce(T.blocked_name(F.col("t")), F.lit("")), embedding.find_model("hashing-64")).alias("v"), T.blocked_name(F.col("t")).alias("s"))
+    assert {r.id: r.s for r in names.collect()} == {i: s and s[0] for i, s in got.items()}
