@@ -2,7 +2,8 @@
 
 Postings are packed into blocks: of one word in one field, the documents of one
 interval (documents are dealt to intervals of about DOCS by a hash of their ids, the
-same for all words). A block knows the largest score its word gives in it. Blocks
+same for all words). A block knows the largest score its word gives in it, but for
+what is the same in all of the word's blocks and kept by the word. Blocks
 are sorted by word over ranges, so a word is in few files and few row groups, and one
 row for each file says which words it has from and to. A search opens the files of
 its words alone and filters them by the words themselves, which Parquet answers from
@@ -24,16 +25,20 @@ from __future__ import annotations
 import atexit
 import uuid
 from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..errors import BadRequest
-from ..storage import forget, materialise, shared_dir
+from ..functions import counting
+from ..storage import drop, forget, materialise, shared_dir
 from . import lexical
 from .ranking import top_k
 
@@ -73,11 +78,15 @@ class Sorted:
 def write_sorted(df: DataFrame, by: str, *then: str, name: str = "sorted", rows: int = FILE_ROWS) -> Sorted:
     """Writes df (a table, not a plan of much work: it is read twice) sorted by a
     column and then others, about so many rows a file."""
-    spark = df.sparkSession
     parts = max(1, -(-df.count() // rows))
+    return _written(df.where(F.col(by).isNotNull()).repartitionByRange(parts, by, *then).sortWithinPartitions(by, *then), by, name, parts)
+
+
+def _written(df: DataFrame, by: str, name: str, parts: int) -> Sorted:
+    """Writes df, which is sorted over so many partitions."""
+    spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexigraph-{name}-{uuid.uuid4().hex}"
-    small = {"parquet.block.size": ROW_GROUP, "parquet.page.size": PAGE}
-    df.where(F.col(by).isNotNull()).repartitionByRange(parts, by, *then).sortWithinPartitions(by, *then).write.options(**small).parquet(path)
+    df.write.options(**{"parquet.block.size": ROW_GROUP, "parquet.page.size": PAGE}).parquet(path)
     atexit.register(forget, spark, path)
     files = spark.read.schema(df.schema).parquet(path).select(F.col("_metadata.file_path").alias("path"), by).groupBy("path").agg(F.min(by).alias("low"), F.max(by).alias("high"))
     files = materialise(files, f"{name}-files", parts * 200)
@@ -87,39 +96,128 @@ def write_sorted(df: DataFrame, by: str, *then: str, name: str = "sorted", rows:
 
 @dataclass(frozen=True)
 class Clustered:
-    """blocks: token, field, block, most, doc, tf, len (lists), df, sorted by token;
-    fields: as in a lexical index."""
+    """blocks: token, field, block, peak (the largest score in it but for the word's
+    idf), doc, tf, len (lists), sorted by token; words: token, field, df, sorted by
+    token; fields: as in a lexical index."""
 
     blocks: Sorted
+    words: Sorted
     fields: DataFrame
 
+    def read(self, words: list[str]) -> DataFrame:
+        """(token, field, block, most, doc, tf, len, df) of words, MOST_WORDS at most."""
+        # The words' rows are as many as the fields that have them, the statistics one for each field.
+        known = self.words.read(words).join(F.broadcast(self.fields), "field").select("token", "field", "df", lexical.idf(F.col("n"), F.col("df")).alias("idf"))
+        return self.blocks.read(words).join(F.broadcast(known), ["token", "field"]).select("token", "field", "block", (F.col("idf") * F.col("peak")).alias("most"), "doc", "tf", "len", "df")
+
     def postings(self, words: list[str]) -> DataFrame:
         """(field, token, doc, tf, len, df) of words: a lexical index's postings."""
         zipped = F.explode(F.arrays_zip("doc", "tf", "len")).alias("p")
-        return self.blocks.read(words).select("field", "token", zipped, "df").select("field", "token", "p.doc", "p.tf", "p.len", "df")
+        return self.read(words).select("field", "token", zipped, "df").select("field", "token", "p.doc", "p.tf", "p.len", "df")
 
 
 def _scored():
     return lexical.bm25(F.col("tf"), F.col("len"), F.col("avg_len"), F.col("n"), F.col("df"))
 
 
+#: Postings that a task packs at once; documents whose postings of a word one task sorts.
+PACKED, GROUP = 1 << 19, 250_000
+
+
+def _lists(starts: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, n), pa.int32()), values)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where sorted rows differ from the one before."""
+    n = len(columns[0])
+    return np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0))) if n else np.zeros(0, np.int64)
+
+
+def _packed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Postings as they come, a row for each word, field and group of intervals."""
+
+    def pack(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        token, field = (pc.dictionary_encode(t[c].combine_chunks()) for c in ("token", "field"))
+        key = token.indices.to_numpy().astype(np.int64) * len(field.dictionary) + field.indices.to_numpy()
+        block = t["block"].combine_chunks().to_numpy()
+        order = np.lexsort((block, key))
+        first = _changes(key[order], block[order] // width)
+        at = pa.array(order)
+        names = ["block", "doc", "tf", "len"]
+        ps = pa.StructArray.from_arrays([t[c].combine_chunks().take(at) for c in names], names)
+        one = pa.array(order[first])
+        return pa.RecordBatch.from_arrays([t["token"].combine_chunks().take(one), t["field"].combine_chunks().take(one), pa.array(block[order[first]] // width), _lists(first, len(order), ps)], ["token", "field", "grp", "ps"])
+
+    held, n = [], 0
+    for b in batches:
+        held, n = [*held, b], n + b.num_rows
+        if n >= PACKED:
+            yield pack(held)
+            held, n = [], 0
+    if n:
+        yield pack(held)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], lengths: dict[str, float]) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows that _packed gave, sorted by word, field and group."""
+
+    def make(rows: pa.Table, run: np.ndarray) -> pa.RecordBatch:
+        ps, first = rows["ps"].combine_chunks(), _changes(run)
+        of, ps = np.repeat(run, ps.value_lengths().to_numpy()), ps.flatten()
+        block, doc = ps.field("block").to_numpy(), ps.field("doc")
+        place = np.empty(len(doc), np.int64)
+        place[pc.sort_indices(doc).to_numpy()] = np.arange(len(doc))
+        order = np.lexsort((place, block, of))
+        at = pa.array(order)
+        doc, tf, length = (ps.field(c).take(at) for c in ("doc", "tf", "len"))
+        starts = _changes(of[order], block[order])
+        row = pa.array(first[of[order][starts]])
+        names = rows["field"].combine_chunks().take(pa.array(first))
+        usual = np.array([lengths[f] for f in names.to_pylist()])[of[order]]
+        score = tf.to_numpy() * (lexical.K1 + 1) / (tf.to_numpy() + lexical.K1 * (1 - lexical.B + lexical.B * length.to_numpy() / usual))
+        columns = [rows["token"].combine_chunks().take(row), rows["field"].combine_chunks().take(row), pa.array(block[order][starts]), pa.array(np.maximum.reduceat(score, starts))]
+        return pa.RecordBatch.from_arrays([*columns, *[_lists(starts, len(order), x) for x in (doc, tf, length)]], ["token", "field", "block", "peak", "doc", "tf", "len"])
+
+    held = None
+    for b in (p for x in batches for p in counting.pieces(x, "ps", PACKED)):
+        rows = pa.Table.from_batches([b] if held is None else [*held.to_batches(), b]).combine_chunks()
+        runs = [pc.dictionary_encode(rows[c].combine_chunks()).indices.to_numpy() for c in ("token", "field", "grp")]
+        first = _changes(*runs)
+        run = np.repeat(np.arange(len(first)), np.diff(np.append(first, rows.num_rows)))
+        # The last word may go on.
+        if len(first) > 1:
+            yield make(rows.slice(0, first[-1]), run[: first[-1]])
+        held = rows.slice(first[-1])
+    if held is not None and held.num_rows:
+        yield make(held, np.zeros(held.num_rows, np.int64))
+
+
 def write(index: lexical.LexicalIndex, name: str = "clustered") -> Clustered:
-    """Writes an index's postings as blocks sorted by word."""
-    spark = index.postings.sparkSession
+    """Writes an index's postings as blocks sorted by word. Postings are packed where
+    texts lie, so that a word is moved once for all its documents of a piece, and moved
+    once, in order; what a word's documents come to is kept by the word."""
+    source = index.postings if index.counts is None else index.counts
+    types = dict(source.dtypes)
     fields = materialise(index.fields, f"{name}-fields")
+    lengths = {r["field"]: r["avg_len"] for r in fields.collect()}  # a row for each field of the schema
     n = fields.agg(F.max("n").alias("n")).first()["n"] or 0
     intervals = max(1, -(-n // DOCS))
-    # Postings are moved once, into blocks; df and scores are worked out from those.
-    source = index.postings if index.counts is None else index.counts
-    rows = source.withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(intervals)))
-    packed = materialise(rows.groupBy("token", "field", "block").agg(F.sort_array(F.collect_list(F.struct("doc", "tf", "len"))).alias("ps"), *([F.first("df").alias("df")] if "df" in rows.columns else [])), f"{name}-blocks")
-    if "df" not in packed.columns:
-        packed = packed.join(packed.groupBy("token", "field").agg(F.sum(F.size("ps")).alias("df")), ["token", "field"])
-    # The fields' statistics have a row for each field of the schema.
-    score = lambda p: lexical.bm25(p["tf"], p["len"], F.col("avg_len"), F.col("n"), F.col("df"))
-    packed = packed.join(F.broadcast(fields), "field").select("token", "field", "block", F.array_max(F.transform("ps", score)).alias("most"), *[F.col(f"ps.{c}").alias(c) for c in ("doc", "tf", "len")], "df")
-    packed = materialise(packed, f"{name}-scored")
-    return Clustered(write_sorted(packed, "token", "field", "block", name=f"{name}-sorted", rows=FILE_BLOCKS), fields)
+    width = -(-intervals // max(1, -(-n // GROUP)))
+    rows = source.where("token is not null").select("token", "field", F.pmod(F.xxhash64("doc"), F.lit(intervals)).alias("block"), "doc", "tf", "len")
+    packed = rows.mapInArrow(lambda batches: _packed(batches, width), f"token string, field string, grp bigint, ps array<struct<block:bigint,doc:{types['doc']},tf:{types['tf']},len:{types['len']}>>")
+    packed = materialise(packed, f"{name}-packed")
+    words = materialise(packed.groupBy("token", "field").agg(F.sum(F.size("ps")).alias("df")), f"{name}-words")
+    blocks = words.agg(F.sum(F.least("df", F.lit(intervals))).alias("n")).first()["n"] or 0  # at most
+    parts = max(1, -(-blocks // FILE_BLOCKS))
+    keys = ["token", "field", "grp"]
+    made = packed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(lambda batches: _blocks(batches, lengths), f"token string, field string, block bigint, peak double, doc array<{types['doc']}>, tf array<{types['tf']}>, len array<{types['len']}>")
+    made = _written(made, "token", f"{name}-sorted", parts)
+    by_word = write_sorted(words, "token", name=f"{name}-by-word")
+    for done in (packed, words):
+        drop(done)
+    return Clustered(made, by_word, fields)
 
 
 def search(queries: DataFrame, index: Clustered, boosts: dict[str, float], k: int, stop: bool = True) -> DataFrame:
@@ -152,7 +250,7 @@ KEPT = f"floor IS NULL OR most * (1 + {SLACK}) >= floor"
 def _boosted(index: Clustered, words: list[str], boosts: dict[str, float]):
     used = {f: float(b) for f, b in boosts.items() if b}
     boost = F.element_at(F.create_map(*[F.lit(x) for f, b in used.items() for x in (f, b)]), F.col("field"))
-    return index.blocks.read(words).where(F.col("field").isin(*used)), boost
+    return index.read(words).where(F.col("field").isin(*used)), boost
 
 
 def floors(by_interval: DataFrame, k: int) -> DataFrame:
