@@ -66,7 +66,7 @@ def adopt_actions(files: DataFrame, notes: DataFrame, adopted: DataFrame, gate_c
     unchanged, updated, claimed (a note of that title takes the file, once), or
     created; with the note."""
     body = F.col("body") if gate_code else T.strip_code(F.col("body"))
-    f = files.select("path", "title", T.blocked_script(body)["script"].alias("script"), T.text_hash(F.col("body")).alias("hash"), F.lower(T.trim_all(F.col("title"))).alias("title_key"))
+    f = files.select("path", "title", T.blocked_name(body).alias("script"), T.text_hash(F.col("body")).alias("hash"), F.lower(T.trim_all(F.col("title"))).alias("title_key"))
     known = adopted.select(F.col("source_path").alias("path"), F.col("note_id").alias("known_note"), F.col("body_hash").alias("known_hash"))
     f = f.join(known, "path", "left")
     skip = F.col("script").isNotNull() & F.lit(not import_anyway)
